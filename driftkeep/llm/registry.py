@@ -1,9 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from driftkeep.llm import exact_topk, kdtree_sharding
+from driftkeep.llm import bpe, exact_topk, feistel_pii, kdtree_sharding, toxicity, warc
 
 QUERIES = {
+    "op1_feistel_pseudonyms": feistel_pii.op1_feistel_pseudonyms,
     "op2_kdtree_sharding": kdtree_sharding.op2_kdtree_sharding,
+    "op3_bpe_roundtrip": bpe.op3_bpe_roundtrip,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_warc_bundles": warc.op8_warc_bundles,
     "op10_exact_topk": exact_topk.op10_exact_topk,
 }
 ORACLE_SQL = {"op10_exact_topk": exact_topk.SQL}
