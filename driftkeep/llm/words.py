@@ -42,9 +42,10 @@ class Powers:
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, PIECE + 4096)
-            with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.concatenate([[1], np.full(size - 1, self._b, np.uint64)]).astype(np.uint64))
-                self.down = np.cumprod(np.concatenate([[1], np.full(size - 1, self._i, np.uint64)]).astype(np.uint64))
+            steps = np.full(size, self._b, np.uint64), np.full(size, self._i, np.uint64)
+            for x in steps:
+                x[0] = 1
+            self.up, self.down = (np.cumprod(x) for x in steps)
         return self.up[:n], self.down[:n]
 
 
