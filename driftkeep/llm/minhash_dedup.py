@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftkeep.llm.components import connected
-from driftkeep.llm.shared import stash
+from driftkeep.llm.shared import numbered, stash
 from driftkeep.llm.tables import table
 from driftkeep.llm.words import batch_words, mix, shingles
 
@@ -159,13 +159,17 @@ def _verify(width: int, percent: int):
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and n_links (links checked and found at the row's representative).
+    """doc_id, n_shingles, component_id, kept, n_links, row and first_row.
+
+    n_links counts the links that were checked and found at the row's
+    representative; row numbers the input's rows as ``numbered`` does and
+    first_row is the smallest of the component.
 
     Documents are linked if 100 * intersection >= percent * union of their
     sets of ``width``-word shingles.
     """
     ratio = percent / 100
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
+    texts = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     signed = stash(texts.select("row", "doc_id", "text").mapInPandas(_sketch(width), SIGNED), "minhash-sig")
     classes = stash(signed.filter("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")), "minhash-classes")
     reps = stash(signed.select(F.col("row").alias("rep"), "sig", "n_shingles").join(classes.select("rep"), "rep", "left_semi"), "minhash-reps")
@@ -200,10 +204,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     least = classes.join(comp, "rep").groupBy("comp").agg(F.min("least").alias("component_id"))
     found = classes.join(comp, "rep").join(least, "comp")
     found = found.join(n_links, "rep", "left") if n_links is not None else found.withColumn("n_links", F.lit(0).cast("long"))
-    found = found.select("n_shingles", "d1", "d2", "component_id", "n_links", F.lit(True).alias("__in"))
+    found = found.select("n_shingles", "d1", "d2", "component_id", "n_links", "comp", F.lit(True).alias("__in"))
     out = signed.join(found, ["n_shingles", "d1", "d2"], "left")
     component = F.when(F.col("__in"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("n_links"), F.lit(0)).alias("n_links"), "row").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("n_links"), F.lit(0)).alias("n_links"), "row", F.coalesce("comp", "row").alias("first_row")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The first row of each component, all columns."""
+    rows = numbered(docs, "__row")
+    kept = near_duplicates(rows.drop("__row"), width, percent).filter(F.col("row") == F.col("first_row")).select(F.col("row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").drop("__row")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

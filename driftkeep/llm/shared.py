@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: list[str] = []
 
@@ -31,3 +33,15 @@ def stash(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     path = fresh_dir(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """The rows with a number each that stays the same however often and with whichever columns they are read.
+
+    A plain scan of files keeps its order; anything else (a shuffle before,
+    rows made on the driver) is written to the shared folder first.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    if not all(re.match(r"[\s:+-]*(Project|Filter|Relation)\b", x) for x in plan if x.strip()):
+        df = stash(df, "rows")
+    return df.withColumn(name, F.monotonically_increasing_id())
