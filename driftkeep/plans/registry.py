@@ -1,4 +1,7 @@
 """Registered queries and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from driftkeep.plans import search
+
+_ENTRIES = search.ENTRIES
+QUERIES = {k: v[0] for k, v in _ENTRIES.items()}
+ORACLE_SQL = {k: v[1] for k, v in _ENTRIES.items() if v[1]}
