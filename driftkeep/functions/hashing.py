@@ -37,7 +37,7 @@ def simhash_udf(tables: int, bits: int, dim: int, seed: int = 42):
     """The same signature by one matrix product per Arrow batch, for wide matrices."""
     planes = hyperplanes(tables, bits, dim, seed)
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<long>", F.PandasUDFType.SCALAR)
     def signature(vectors):
         import pandas as pd
 
@@ -99,3 +99,23 @@ def probes(z: Column, n: int) -> Column:
 
 def cross_polytope(z: Column) -> Column:
     return F.element_at(probes(z, 1), 1)
+
+
+def probe_udf(dim: int, tables: int, rotations: int, seed: int, n: int):
+    """Buckets of every table: array<struct<table, bucket>>, n probes a table, one matrix product per Arrow batch and table."""
+
+    @F.pandas_udf("array<struct<table: int, bucket: bigint>>", F.PandasUDFType.SCALAR)
+    def buckets(vectors):
+        import pandas as pd
+
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        x = np.stack([np.asarray(v, np.float64) for v in vectors])
+        found = []
+        for t in range(tables):
+            z = x @ rotation(dim, rotations, seed + t).T
+            near = np.argsort(-np.abs(z), axis=1, kind="stable")[:, :n]
+            found.append(2 * near + (np.take_along_axis(z, near, 1) < 0))
+        return pd.Series([[{"table": t, "bucket": int(b)} for t in range(tables) for b in found[t][i]] for i in range(len(x))])
+
+    return buckets

@@ -67,8 +67,8 @@ def hamming(queries: DataFrame, base: DataFrame, k: int, n_bits: int, dim: int,
 
 def _tables(df: DataFrame, vector: str, dim: int, tables: int, rotations: int, seed: int, n_probes: int, keep: list[Column]) -> DataFrame:
     """One row per table and probed bucket."""
-    each = [F.struct(F.lit(t).alias("table"), hashing.probes(hashing.rotated(F.col(vector), dim, rotations, seed + t), n_probes).alias("buckets")) for t in range(tables)]
-    return df.select(*keep, F.explode(F.array(*each)).alias("t")).select(*keep, F.col("t.table").alias("table"), F.explode("t.buckets").alias("bucket"))
+    buckets = hashing.probe_udf(dim, tables, rotations, seed, n_probes)(F.col(vector))
+    return df.select(*keep, F.explode(buckets).alias("t")).select(*keep, "t.table", "t.bucket")
 
 
 def multiprobe_candidates(queries: DataFrame, base: DataFrame, dim: int, tables: int = 16, n_probes: int = 64, base_probes: int = 1, rotations: int | None = None, seed: int = 42, bucket_cap: int | None = None) -> DataFrame:

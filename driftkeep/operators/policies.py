@@ -100,13 +100,13 @@ def semantic_dedup(df: DataFrame, capacity: int, epsilon: float = 0.1, key: str
 def reservoir_r(df: DataFrame, capacity: int, seed: int = 42, key: str = "key") -> DataFrame:
     """Decision log of the classic replacement reservoir with a seeded generator per stream."""
     _budget(df, capacity)
-    return run_machine(df, lambda: machines.ReplacingReservoir(capacity, seed), "pos", key)
+    return run_machine(df.withColumn("payload", F.lit(0)), lambda: machines.ReplacingReservoir(capacity, seed), "payload", key)
 
 
 def kept(log: DataFrame, key: str = "key") -> DataFrame:
     """Accepted and not evicted later: key, pos, item_id."""
-    gone = log.filter(F.col("evicted").isNotNull()).select(key, F.col("evicted").alias("pos"))
-    return log.filter("accepted").select(key, "pos", "item_id").join(gone, [key, "pos"], "left_anti")
+    gone = log.filter(F.col("evicted").isNotNull()).select(F.col(key).alias("__key"), F.col("evicted").alias("__pos"))
+    return log.filter("accepted").select(key, "pos", "item_id").join(gone, (F.col(key) == F.col("__key")) & (F.col("pos") == F.col("__pos")), "left_anti")
 
 
 def stats(log: DataFrame, signatures: DataFrame, key: str = "key") -> DataFrame:
