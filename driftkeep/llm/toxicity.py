@@ -38,7 +38,7 @@ INSULTS = frozenset("idiot moron stupid scum trash clown loser pathetic worthles
 #: The second person.
 YOU = frozenset("you your yours yourself ur u du dich dir dein deine ihr euch tu te toi ton ta tes vous votre ti tus vosotros usted".split())
 _WORDS = re.compile(r"[^\W\d_]+").findall
-_MASKED = re.compile(r"\b[^\W\d_]+(?:[0-9@$*!.][^\W\d_]+)+")
+_MASKED = re.compile(r"(?<!\w)[0-9@$!]?[^\W\d_]+(?:[0-9@$*!.][^\W\d_]+)+")
 _SPACED = re.compile(r"(?:\b[^\W\d_][ .\-_*]){3,}[^\W\d_]\b")
 _RUNS = re.compile(r"([^\W\d_])\1\1+")
 _PLAIN = str.maketrans({"1": "i", "0": "o", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": None, ".": None})
