@@ -6,11 +6,11 @@ minhashes instead of M*(M-1)*R. Texts with equal sets become one
 representative first. Tables give buckets; within a bucket the minhashes
 (a byte of each) and the set sizes are compared, and the best partners go to an
 exact check on full shingle sets. Links found join components, and the buckets
-are gone through again for pairs of different components, with eight times as
-many partners each time, until no pair is left unchecked: no partner is capped,
-yet a large group of copies costs few checks, for links that join nothing new
-aren't looked for. A bucket of over BUCKET representatives is divided by
-further collections, its members staying tied to its first one.
+are gone through again for pairs of different components, with 64 times as
+many partners each time, until none was left out: no partner is capped, yet a
+large group of copies costs few checks, for links that join nothing new aren't
+looked for. A bucket of over BUCKET representatives is divided by further
+minhashes, every part keeping the bucket's first member.
 
 The chance to miss a pair is that of sharing under two collections, about
 1e-4 at a similarity of 0.85 and less above it, and that of agreeing in fewer
@@ -41,7 +41,7 @@ from driftkeep.llm.tables import table
 from driftkeep.llm.words import batch_words, mix, shingles
 
 M, R = 14, 4
-BUCKET = 3000
+BUCKET = 20_000
 _SALTS = mix(np.arange(1, M * R + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 SIGNED = "row long, doc_id long, n_shingles long, d1 long, d2 long, sig binary"
 
@@ -87,50 +87,101 @@ def _tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "rep": np.repeat(part.rep.to_numpy(), len(i))})
 
 
-def _divide(sig: np.ndarray, rows: np.ndarray, depth: int) -> list[np.ndarray]:
-    """Parts of at most BUCKET members that share one more collection each, and what doesn't share any with its first."""
-    if len(rows) <= BUCKET or depth >= M:
-        return [rows[a : a + BUCKET] for a in range(0, len(rows), BUCKET)]
-    u = sig[rows, depth * R : depth * R + R].astype(np.uint64) @ np.array([1, 257, 65537, 16777259], np.uint64)
-    order = np.argsort(u, kind="stable")
-    cuts = np.flatnonzero(np.diff(u[order])) + 1
-    out = [np.concatenate([rows[:1], p]) if rows[0] != p[0] else p for p in np.split(rows[order], cuts)]
-    return [x for p in out for x in (_divide(sig, p, depth + 1) if len(p) > BUCKET else [p]) if len(x) > 1]
+def _divide(words: np.ndarray, rows: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Parts of at most BUCKET members that share more minhashes each; every part also holds the bucket's first member."""
+    if len(rows) <= BUCKET:
+        return [rows]
+    if depth == words.shape[1]:
+        return [np.concatenate([rows[:1], rows[a : a + BUCKET]]) if a else rows[:BUCKET] for a in range(0, len(rows), BUCKET)]
+    order = np.argsort(words[rows, depth], kind="stable")
+    cuts = np.flatnonzero(np.diff(words[rows[order], depth])) + 1
+    parts = [np.sort(p) for p in np.split(rows[order], cuts)]
+    return [x for p in parts for x in _divide(words, p if p[0] == rows[0] else np.concatenate([rows[:1], p]), depth + 1) if len(x) > 1]
+
+
+def _equal_bytes(x: np.ndarray) -> np.ndarray:
+    """How many bytes of each row of 64-bit words are zero."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    t = (x & low) + low
+    t |= x
+    t |= low
+    return np.bitwise_count(~t).sum(1)
+
+
+def _bucket_pairs(start: np.ndarray, words: np.ndarray, size: np.ndarray, comp: np.ndarray, least: float, ratio: float, fan: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Candidate pairs of members (earlier, later) of the buckets that rows lie in, and whether ``fan`` left any out.
+
+    ``start`` is the first row of each row's bucket. Each later member gives
+    its ``fan`` best partners in each other component, in the first round its
+    best one of all.
+    """
+    before = np.arange(len(start)) - start
+    total = np.concatenate([[0], np.cumsum(before)])
+    found: list[np.ndarray] = []
+    more, r = False, 0
+    while r < len(start):
+        stop = max(r + 1, int(np.searchsorted(total, total[r] + 1_000_000, "right")) - 1)
+        n = before[r:stop]
+        x = np.repeat(np.arange(r, stop), n)
+        y = np.repeat(start[r:stop] - (np.cumsum(n) - n), n) + np.arange(len(x))
+        r = stop
+        ok = (comp[x] != comp[y]) & (np.minimum(size[x], size[y]) >= ratio * np.maximum(size[x], size[y]))
+        x, y = x[ok], y[ok]
+        same = _equal_bytes(words[x] ^ words[y])
+        ok = same >= least
+        x, y, same = x[ok], y[ok], same[ok].astype(np.int64)
+        if not len(x):
+            continue
+        group = comp[y] if fan > 1 else np.zeros(len(y), np.int64)
+        order = np.lexsort((y, -same, group, x))
+        x, y, group = x[order], y[order], group[order]
+        head = np.concatenate([[True], (x[1:] != x[:-1]) | (group[1:] != group[:-1])])
+        rank = np.arange(len(x)) - np.maximum.accumulate(np.where(head, np.arange(len(x)), 0))
+        more |= bool((rank >= fan).any()) or fan == 1
+        found.append(np.stack([y, x], 1)[rank < fan])
+    both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    return both[:, 0], both[:, 1], more
 
 
 def _partners(share: float, ratio: float, fan: int):
-    """Candidate pairs of each bucket: for each member its ``fan`` best partners of each other component."""
+    """a, b, more: candidate pairs of the buckets of a partition, whose rows come sorted by key and rep."""
     least = share * M * R
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
-        sig = np.frombuffer(b"".join(pdf.sig), np.uint8).reshape(len(pdf), M * R)
-        rep, size, comp = pdf.rep.to_numpy(), pdf.n_shingles.to_numpy(), pdf.comp.to_numpy()
-        a_out, b_out = [], []
-        for rows in _divide(sig, np.arange(len(pdf)), 0):
-            s, z, c = sig[rows], size[rows], comp[rows]
-            for i in range(1, len(rows)):
-                other = np.flatnonzero((c[:i] != c[i]) & (np.minimum(z[:i], z[i]) >= ratio * np.maximum(z[:i], z[i])))
-                if not len(other):
-                    continue
-                same = (s[other] == s[i]).sum(1)
-                other, same = other[same >= least], same[same >= least]
-                if not len(other):
-                    continue
-                order = np.lexsort((other, -same, c[other]))
-                other = other[order]
-                group = c[other]
-                head = np.concatenate([[True], group[1:] != group[:-1]])
-                rank = np.arange(len(other)) - np.maximum.accumulate(np.where(head, np.arange(len(other)), 0))
-                best = other[rank < fan]
-                if fan == 1:  # one partner at first, whatever its component
-                    best = other[[int(np.argmax((s[other] == s[i]).sum(1)))]]
-                a_out.append(rep[rows[best]])
-                b_out.append(np.full(len(best), rep[rows[i]]))
-        a = np.concatenate(a_out) if a_out else np.empty(0, np.int64)
-        b = np.concatenate(b_out) if b_out else np.empty(0, np.int64)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    def work(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        keys, rep = pdf.key.to_numpy(), pdf.rep.to_numpy()
+        words = np.frombuffer(b"".join(pdf.sig), np.uint64).reshape(len(pdf), -1)
+        size, comp = pdf.n_shingles.to_numpy(), pdf.comp.to_numpy()
+        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        count = np.diff(np.append(head, len(keys)))
+        small = np.repeat(count <= BUCKET, count)
+        groups = [np.flatnonzero(small)] if small.any() else []
+        starts = [np.repeat(head, count)] if small.any() else []
+        if small.any():
+            # Rows of small buckets alone, with their bucket's first row among them.
+            place = np.cumsum(small) - 1
+            starts = [place[np.repeat(head, count)[small]]]
+        for h, n in zip(head[count > BUCKET], count[count > BUCKET], strict=True):
+            for part in _divide(words, np.arange(h, h + n), 0):
+                groups.append(part)
+                starts.append(np.zeros(len(part), np.int64))
+        for rows, start in zip(groups, starts, strict=True):
+            a, b, more = _bucket_pairs(start, words[rows], size[rows], comp[rows], least, ratio, fan)
+            x, y = rep[rows[a]], rep[rows[b]]
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "more": more})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            cut = int(np.searchsorted(pdf.key.to_numpy(), pdf.key.iloc[-1], "left"))
+            if cut:
+                yield from work(pd.concat([*held, pdf.iloc[:cut]], ignore_index=True))
+                held = []
+            held.append(pdf.iloc[cut:])
+        if held:
+            yield from work(pd.concat(held, ignore_index=True))
 
     return run
 
@@ -179,17 +230,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     short = reps.select("rep", "n_shingles", F.expr(f"cast(concat({', '.join(f'substring(sig, {4 * k + 1}, 1)' for k in range(M * R))}) as binary)").alias("sig"))
     comp = reps.select("rep", F.col("rep").alias("comp"))
     tested = links = None
-    fan, share = 1, ratio - 3.6 * (ratio * (1 - ratio) / (M * R)) ** 0.5
-    while True:
+    fan, share, more = 1, ratio - 3.6 * (ratio * (1 - ratio) / (M * R)) ** 0.5, True
+    while more:
         named = members.join(comp, "rep")
         mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        buckets = named.join(mixed, "key").join(short, "rep")
-        pairs = buckets.groupBy("key").applyInPandas(_partners(share, ratio, fan), "a long, b long").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stash(pairs, "minhash-pairs")
+        buckets = named.join(mixed, "key").join(short, "rep").select("key", "rep", "comp", "n_shingles", "sig")
+        raw = buckets.repartition("key").sortWithinPartitions("key", "rep").mapInPandas(_partners(share, ratio, fan), "a long, b long, more boolean")
+        found = stash(raw.groupBy("a", "b").agg(F.max("more").alias("more")), "minhash-pairs")
+        more = not found.filter("more").isEmpty()
+        pairs = found.select("a", "b") if tested is None else found.select("a", "b").join(tested, ["a", "b"], "left_anti")
         if pairs.isEmpty():
-            break
+            if fan > 1 and not more:
+                break
+            fan *= 64
+            continue
         used = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
         bodies = stash(texts.join(used, "row", "left_semi").select("row", "text"), "minhash-texts")
         left = pairs.join(bodies.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
@@ -199,7 +253,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         new = done.filter("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
         comp = connected(reps.select(F.col("rep").alias("node")), links).select(F.col("node").alias("rep"), F.col("root").alias("comp"))
-        fan *= 8
+        fan *= 64
     n_links = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links")) if links is not None else None
     least = classes.join(comp, "rep").groupBy("comp").agg(F.min("least").alias("component_id"))
     found = classes.join(comp, "rep").join(least, "comp")
