@@ -44,8 +44,8 @@ from driftkeep.llm.tables import table
 from driftkeep.llm.words import BYTE_VALUES, POWERS, mix
 
 LENGTH, SEED = 400, 48
-#: Spans that one suffix array takes, and bytes of text that anchors are sought in at a time.
-GROUP, PIECE = 600, 1 << 20
+#: Spans that one suffix array takes (some 2 MB of text and 250 MB of arrays), and bytes of text that anchors are sought in at a time.
+GROUP, PIECE = 2500, 1 << 20
 ANCHORS = "row long, key long, at int, lead int, n_windows int, content long"
 
 
