@@ -9,8 +9,8 @@ exact check on full shingle sets. Links found join components, and the buckets
 are gone through again for pairs of different components, with 64 times as
 many partners each time, until none was left out: no partner is capped, yet a
 large group of copies costs few checks, for links that join nothing new aren't
-looked for. A bucket of over BUCKET representatives is divided by further
-minhashes, every part keeping the bucket's first member.
+looked for. A bucket of over BUCKET representatives is dealt into blocks, and
+every block is compared with every other in a task of its own.
 
 The chance to miss a pair is that of sharing under two collections, about
 1e-4 at a similarity of 0.85 and less above it, and that of agreeing in fewer
@@ -87,18 +87,6 @@ def _tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "rep": np.repeat(part.rep.to_numpy(), len(i))})
 
 
-def _divide(words: np.ndarray, rows: np.ndarray, depth: int) -> list[np.ndarray]:
-    """Parts of at most BUCKET members that share more minhashes each; every part also holds the bucket's first member."""
-    if len(rows) <= BUCKET:
-        return [rows]
-    if depth == words.shape[1]:
-        return [np.concatenate([rows[:1], rows[a : a + BUCKET]]) if a else rows[:BUCKET] for a in range(0, len(rows), BUCKET)]
-    order = np.argsort(words[rows, depth], kind="stable")
-    cuts = np.flatnonzero(np.diff(words[rows[order], depth])) + 1
-    parts = [np.sort(p) for p in np.split(rows[order], cuts)]
-    return [x for p in parts for x in _divide(words, p if p[0] == rows[0] else np.concatenate([rows[:1], p]), depth + 1) if len(x) > 1]
-
-
 def _equal_bytes(x: np.ndarray) -> np.ndarray:
     """How many bytes of each row of 64-bit words are zero."""
     low = np.uint64(0x7F7F7F7F7F7F7F7F)
@@ -108,14 +96,13 @@ def _equal_bytes(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(~t).sum(1)
 
 
-def _bucket_pairs(start: np.ndarray, words: np.ndarray, size: np.ndarray, comp: np.ndarray, least: float, ratio: float, fan: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def _bucket_pairs(start: np.ndarray, before: np.ndarray, words: np.ndarray, size: np.ndarray, comp: np.ndarray, least: float, ratio: float, fan: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Candidate pairs of members (earlier, later) of the buckets that rows lie in, and whether ``fan`` left any out.
 
-    ``start`` is the first row of each row's bucket. Each later member gives
-    its ``fan`` best partners in each other component, in the first round its
-    best one of all.
+    A row is compared with the ``before`` rows from ``start`` on. Each later
+    member gives its ``fan`` best partners in each other component, in the
+    first round its best one of all.
     """
-    before = np.arange(len(start)) - start
     total = np.concatenate([[0], np.cumsum(before)])
     found: list[np.ndarray] = []
     more, r = False, 0
@@ -144,38 +131,31 @@ def _bucket_pairs(start: np.ndarray, words: np.ndarray, size: np.ndarray, comp:
 
 
 def _partners(share: float, ratio: float, fan: int):
-    """a, b, more: candidate pairs of the buckets of a partition, whose rows come sorted by key and rep."""
+    """a, b, more: candidate pairs of the buckets of a partition, whose rows come sorted by key, tile, right and rep."""
     least = share * M * R
 
     def work(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        keys, rep = pdf.key.to_numpy(), pdf.rep.to_numpy()
+        keys, tile, right, rep = pdf.key.to_numpy(), pdf.tile.to_numpy(), pdf.right.to_numpy(), pdf.rep.to_numpy()
         words = np.frombuffer(b"".join(pdf.sig), np.uint64).reshape(len(pdf), -1)
         size, comp = pdf.n_shingles.to_numpy(), pdf.comp.to_numpy()
-        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        head = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (tile[1:] != tile[:-1])]))
         count = np.diff(np.append(head, len(keys)))
-        small = np.repeat(count <= BUCKET, count)
-        groups = [np.flatnonzero(small)] if small.any() else []
-        starts = [np.repeat(head, count)] if small.any() else []
-        if small.any():
-            # Rows of small buckets alone, with their bucket's first row among them.
-            place = np.cumsum(small) - 1
-            starts = [place[np.repeat(head, count)[small]]]
-        for h, n in zip(head[count > BUCKET], count[count > BUCKET], strict=True):
-            for part in _divide(words, np.arange(h, h + n), 0):
-                groups.append(part)
-                starts.append(np.zeros(len(part), np.int64))
-        for rows, start in zip(groups, starts, strict=True):
-            a, b, more = _bucket_pairs(start, words[rows], size[rows], comp[rows], least, ratio, fan)
-            x, y = rep[rows[a]], rep[rows[b]]
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "more": more})
+        start = np.repeat(head, count)
+        # In a tile of two blocks the right block's rows meet the left block's only.
+        left = np.repeat(np.add.reduceat((right == 0).astype(np.int64), head), count)
+        before = np.where(right == 2, np.arange(len(keys)) - start, np.where(right == 1, left, 0))
+        a, b, more = _bucket_pairs(start, before, words, size, comp, least, ratio, fan)
+        x, y = rep[a], rep[b]
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "more": more})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for pdf in batches:
             if not len(pdf):
                 continue
-            cut = int(np.searchsorted(pdf.key.to_numpy(), pdf.key.iloc[-1], "left"))
+            last = (pdf.key == pdf.key.iloc[-1]) & (pdf.tile == pdf.tile.iloc[-1])
+            cut = int(np.argmax(last.to_numpy()))
             if cut:
                 yield from work(pd.concat([*held, pdf.iloc[:cut]], ignore_index=True))
                 held = []
@@ -186,6 +166,20 @@ def _partners(share: float, ratio: float, fan: int):
     return run
 
 
+def _tiled(members: DataFrame) -> DataFrame:
+    """tile and right for the members (key, rep, n of the bucket): a bucket of over BUCKET goes block against block.
+
+    A member is in the tiles of its block with every block. right is 2 where
+    all rows of a tile meet each other, else 0 or 1 for its two blocks.
+    """
+    blocks = F.expr(f"cast(ceil(n / {BUCKET}) as int)")
+    df = members.withColumn("__n", blocks).withColumn("__g", F.expr("cast(pmod(xxhash64(rep), __n) as int)"))
+    df = df.withColumn("__h", F.explode(F.expr("sequence(0, __n - 1)")))
+    tile = F.expr("cast(least(__g, __h) as long) * __n + greatest(__g, __h)")
+    right = F.expr("case when __g = __h then 2 when __g > __h then 1 else 0 end")
+    return df.withColumn("tile", tile).withColumn("right", right).drop("n", "__n", "__g", "__h")
+
+
 def _verify(width: int, percent: int):
     """Exact similarity of the texts of each row; the smaller set's hashes are sought in the larger."""
 
@@ -233,9 +227,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     fan, share, more = 1, ratio - 3.6 * (ratio * (1 - ratio) / (M * R)) ** 0.5, True
     while more:
         named = members.join(comp, "rep")
-        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        buckets = named.join(mixed, "key").join(short, "rep").select("key", "rep", "comp", "n_shingles", "sig")
-        raw = buckets.repartition("key").sortWithinPartitions("key", "rep").mapInPandas(_partners(share, ratio, fan), "a long, b long, more boolean")
+        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("key", "n")
+        buckets = _tiled(named.join(mixed, "key")).join(short, "rep").select("key", "tile", "right", "rep", "comp", "n_shingles", "sig")
+        raw = buckets.repartition("key", "tile").sortWithinPartitions("key", "tile", "right", "rep").mapInPandas(_partners(share, ratio, fan), "a long, b long, more boolean")
         found = stash(raw.groupBy("a", "b").agg(F.max("more").alias("more")), "minhash-pairs")
         more = not found.filter("more").isEmpty()
         pairs = found.select("a", "b") if tested is None else found.select("a", "b").join(tested, ["a", "b"], "left_anti")

@@ -123,6 +123,23 @@ def test_near_duplicates(corpus, nothing, monkeypatch, width, percent, bucket):
     assert minhash_dedup.near_duplicates(nothing).count() == 0
 
 
+def test_no_link_of_an_oversize_bucket_is_lost(spark, monkeypatch):
+    # Workers import the module anew, so the bucket has to be over the real BUCKET.
+    rng, n = random.Random(3), minhash_dedup.BUCKET // 2 + 100
+    rows = []
+    for i in range(n):
+        own = [f"{rng.getrandbits(32):x}" for _ in range(30)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own[:-1], "end"]))]
+
+    def one_bucket(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"key": 0, "rep": pdf.rep})
+
+    monkeypatch.setattr(minhash_dedup, "_tables", one_bucket)
+    df = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert df.filter("component_id <> doc_id - doc_id % 2").count() == 0
+
+
 def test_one_of_each_class_stays(corpus):
     df, rows = corpus
     left = minhash_dedup.keep_first(df, 3, 85)
