@@ -14,7 +14,9 @@ Everything is DataFrame expressions in the JVM. Without a match a text passes
 as it is.
 
 Defined results: a null or empty text stays null or empty with 0 findings. A
-match that fails validation stays as it is. Texts are read whole. Rows are
+match that fails validation stays as it is; in a run of groups with blanks or
+hyphens between, every card number or IBAN that begins and ends at a separator
+is found, whatever stands beside it. Texts are read whole. Rows are
 handled one by one, repeated ones included; all columns are kept, and added
 ones take a free name.
 """
@@ -39,6 +41,14 @@ PATTERNS = {
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
 
+#: A date, an address or a number with dots that begins where a run of digit groups would go on.
+_OTHER = rf"{PATTERNS['email']}|{PATTERNS['ipv4']}|(?:\d{{4}}/\d{{2}}/\d{{2}}|\d{{2}}/\d{{2}}/\d{{4}}|\d{{2}}\.\d{{2}}\.\d{{4}})(?![\d/-])|(?:\d{{3}}\.\d{{3}}[ .-]|\d{{3}}[ -]\d{{3}}\.)\d{{4}}(?![\w-])"
+#: Whole runs of groups, in which numbers are then looked for; possessive, so that long runs need no stack.
+RUNS = {
+    "iban": rf"(?<!\w)(?=[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2}})[A-Z0-9]++(?!\w)(?: (?!{_OTHER}|{PATTERNS['date']}|{PATTERNS['ssn']}|{PATTERNS['phone']})[A-Z0-9]++(?!\w|[./-]\d))*+",
+    "card": rf"(?<![\w-])(?=\d(?:[ -]?\d){{12}})\d++(?!\w|-(?!\d))(?:[ -](?!{_OTHER})\d++(?!\w|-(?!\d)))*+",
+}
+
 
 def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
@@ -80,11 +90,15 @@ def _luhn(d: str) -> str:
     return f"aggregate(sequence(1, size({d})), 0L, (q, n) -> q + if((size({d}) - n) % 2 = 1, if(element_at({d}, n) > 4, 2 * element_at({d}, n) - 9, 2 * element_at({d}, n)), element_at({d}, n)))"
 
 
+def _is_card(d: str) -> str:
+    return f"{_luhn(d)} % 10 = 0 and array_max({d}) > 0"
+
+
 def _card(m: str, key: str) -> str:
     """The issuer's six digits stay, the account is permuted, the check digit follows."""
     body = _let("acc", "slice(d, 7, size(d) - 7)", _feistel("card", "acc", "transform(acc, k -> 10L)", key))
     new = _let("w", f"concat(slice(d, 1, 6), {body}, array(0L))", f"concat(slice(w, 1, size(w) - 1), array(pmod(-({_luhn('w')}), 10L)))")
-    return _let("d", _digits(m), f"if({_luhn('d')} % 10 = 0 and array_max(d) > 0, {_let('u', _strings(new), _fill(m, 'u'))}, {m})")
+    return _let("d", _digits(m), f"if({_is_card('d')}, {_let('u', _strings(new), _fill(m, 'u'))}, {m})")
 
 
 def _phone(m: str, key: str) -> str:
@@ -109,14 +123,20 @@ def _ipv4(m: str, key: str) -> str:
     return _let("p", f"transform(split({m}, r'\\.'), k -> cast(k as bigint))", f"if(array_max(p) < 256, {new}, {m})")
 
 
+def _mod97(s: str) -> str:
+    return f"aggregate({_chars(s)}, 0L, (q, c) -> pmod(q * if(c rlike '[0-9]', 10, 100) + if(c rlike '[0-9]', ascii(c) - 48, ascii(c) - 55), 97L))"
+
+
+def _is_iban(ib: str) -> str:
+    return f"{_mod97(f'concat(substr({ib}, 5), substr({ib}, 1, 4))')} = 1"
+
+
 def _iban(m: str, key: str) -> str:
     """Country stays, the account's letters and digits are permuted in kind, check digits follow."""
-    value = lambda c: f"if({c} rlike '[0-9]', ascii({c}) - 48, ascii({c}) - 55)"
-    rest = lambda s: f"aggregate({_chars(s)}, 0L, (q, c) -> pmod(q * if(c rlike '[0-9]', 10, 100) + {value('c')}, 97L))"
     parts = _let("bc", _chars("substr(ib, 5)"), _let("w", _feistel("iban", "transform(bc, c -> cast(if(c rlike '[0-9]', ascii(c) - 48, ascii(c) - 65) as bigint))", "transform(bc, c -> if(c rlike '[0-9]', 10L, 26L))", key), "array_join(zip_with(bc, w, (c, k) -> if(c rlike '[0-9]', cast(k as string), chr(k + 65))), '')"))
-    new = _let("bb", parts, f"concat(substr(ib, 1, 2), lpad(cast(98 - {rest('concat(bb, substr(ib, 1, 2), chr(48), chr(48))')} as string), 2, '0'), bb)")
+    new = _let("bb", parts, f"concat(substr(ib, 1, 2), lpad(cast(98 - {_mod97('concat(bb, substr(ib, 1, 2), chr(48), chr(48))')} as string), 2, '0'), bb)")
     done = _let("nw", _chars(new), _fill(m, "nw", "[A-Z0-9]"))
-    return _let("ib", f"replace({m}, ' ', '')", f"if({rest('concat(substr(ib, 5), substr(ib, 1, 4))')} = 1, {done}, {m})")
+    return _let("ib", f"replace({m}, ' ', '')", f"if({_is_iban('ib')}, {done}, {m})")
 
 
 def _date(m: str, key: str) -> str:
@@ -152,18 +172,55 @@ def pseudonym_sql(m: str, key: str) -> str:
     return f"case {cases} else {m} end"
 
 
+_PIECE = "array<struct<s:string,hit:boolean>>"
+
+
+def _piece(s: str, hit: bool) -> str:
+    return f"array(named_struct('s', {s}, 'hit', {str(hit).lower()}))"
+
+
+def _scan(text: str, pattern: str, v: str, hit) -> str:
+    """Pieces of ``text``: what lies between matches of the pattern, and ``hit`` of each match; ``v`` names variables."""
+    return f"flatten(zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0), (a{v}, b{v}) -> concat({_piece(f'a{v}', False)}, if(b{v} is null, cast(array() as {_PIECE}), {hit(f'b{v}')}))))"
+
+
+def _windows(m: str, valid: str, v: str, rest) -> str:
+    """Pieces of a run of groups: the valid numbers that begin and end at separators, leftmost and longest first, and ``rest`` of what lies between.
+
+    ``valid`` is SQL for the text w. Groups are at odd places, separators at even ones; a number has 19 groups at most.
+    """
+    g, e, t, x = f"g{v}", f"e{v}", f"t{v}", f"x{v}"
+    join = lambda a, n: f"array_join(slice({g}, {a}, {n}), '')"
+    good = _let("w", join("i", "j - i + 1"), valid)
+    ends = f"transform(sequence(1, size({g})), i -> if(i % 2 = 0, 0, coalesce(array_max(filter(sequence(i, least(i + 36, size({g})), 2), j -> {good})), 0)))"
+    start = "named_struct('p', 1, 'c', cast(array() as array<struct<p:int,a:int,b:int>>))"
+    step = f"if(i >= {t}.p and {e}[i - 1] > 0, named_struct('p', {e}[i - 1] + 1, 'c', concat({t}.c, array(named_struct('p', {t}.p, 'a', i, 'b', {e}[i - 1])))), {t})"
+    found = f"flatten(transform({t}.c, {x} -> concat({rest(join(f'{x}.p', f'{x}.a - {x}.p'))}, {_piece(join(f'{x}.a', f'{x}.b - {x}.a + 1'), True)})))"
+    done = f"{t} -> concat({found}, {rest(join(f'{t}.p', f'size({g})'))})"
+    return _let(g, f"regexp_extract_all({m}, '[A-Z0-9]+|[ -]', 0)", _let(e, ends, f"aggregate(sequence(1, size({g})), {start}, ({t}, i) -> {step}, {done})"))
+
+
+def pieces_sql(text: str) -> str:
+    """SQL for the pieces of a text, an array of s and hit: joined they are the text, and each hit is one number to be tried."""
+    card = f"w rlike r'^(?:{PATTERNS['card']})$' and {_let('dw', _digits('w'), _is_card('dw'))}"
+    iban = f"w rlike r'^(?:{PATTERNS['iban']})$' and {_let('iw', "replace(w, ' ', '')", _is_iban('iw'))}"
+    short = "|".join(f"(?:{PATTERNS[k]})" for k in ("date", "ssn", "phone"))
+    cards = lambda m, v: _windows(m, card, f"c{v}", lambda s: _scan(s, short, f"s{v}", lambda b: _piece(b, True)))
+    ibans = lambda m: _windows(m, iban, "i", lambda s: _scan(s, RUNS["card"], "r", lambda b: cards(b, 1)))
+    kind = lambda b: f"case when {b} rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9 ]*$' then {ibans(b)} when {b} rlike '^[0-9][0-9 -]*$' and length(regexp_replace({b}, '[ -]', '')) > 12 then {cards(b, 2)} else {_piece(b, True)} end"
+    return _scan(text, "|".join(f"(?:{(PATTERNS | RUNS)[k]})" for k in PATTERNS), "0", kind)
+
+
 def pseudonymize(docs: DataFrame, key: str = DEMO_KEY, column: str = "text") -> DataFrame:
     """All columns, the text with pseudonyms, and ``n_pseudonyms``."""
     names = iter(f"__{i}" for i in range(99))
     found, made = (next(n for n in names if n not in docs.columns) for _ in range(2))
     count = next(n for n in ("n_pseudonyms", "n_pseudonyms_", "n_pseudonyms__") if n not in docs.columns)
-    every = "|".join(f"(?:{p})" for p in PATTERNS.values())
     # Most texts lack both a digit and an @: one cheap look spares them the patterns.
-    df = docs.withColumn(found, F.when(F.col(column).rlike("[0-9@]"), F.expr(f"regexp_extract_all(`{column}`, r'{every}', 0)")).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn(made, F.expr(f"transform({found}, m -> {pseudonym_sql('m', key)})"))
-    new = F.expr(f"array_join(zip_with(split(`{column}`, r'{every}', -1), {made}, (a, b) -> concat(a, coalesce(b, ''))), '')")
-    changed = F.coalesce(F.size(F.filter(F.zip_with(found, made, lambda a, b: a != b), lambda x: x)), F.lit(0))
-    return df.withColumn(column, F.when(F.size(found) > 0, new).otherwise(F.col(column))).withColumn(count, F.when(F.size(found) > 0, changed).otherwise(0)).drop(found, made)
+    df = docs.withColumn(found, F.when(F.col(column).rlike("[0-9@]"), F.expr(pieces_sql(f"`{column}`"))).otherwise(F.array().cast(_PIECE)))
+    df = df.withColumn(made, F.expr(f"transform({found}, m -> if(m.hit, {_let('ms', 'm.s', pseudonym_sql('ms', key))}, m.s))"))
+    changed = F.coalesce(F.size(F.filter(F.zip_with(found, made, lambda a, b: a["s"] != b), lambda x: x)), F.lit(0))
+    return df.withColumn(column, F.when(F.size(found) > 0, F.array_join(made, "")).otherwise(F.col(column))).withColumn(count, F.when(F.size(found) > 0, changed).otherwise(0)).drop(found, made)
 
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

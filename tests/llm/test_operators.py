@@ -247,6 +247,22 @@ def test_pseudonyms(spark, nothing):
     assert feistel_pii.pseudonymize(nothing).count() == 0
 
 
+def test_numbers_beside_others(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    texts = [
+        (f"{card} 12/25", [card]), ("4041894974608795 123", ["4041894974608795"]), ("7 4041894974608795", ["4041894974608795"]), (f"1234 5678 {card}", [card]), (f"{card} 4041894974608795 9", [card, "4041894974608795"]),
+        (f"{iban} ABC", [iban]), (f"{iban} 12", [iban]), (f"AB12 {iban}", [iban]), (f"{iban} {card}", [iban, card]), (f"AB12 {card}", [card]),
+        (f"{card} 7 123-45-6789", [card, "123-45-6789"]), (f"{card} 10.0.0.1", [card, "10.0.0.1"]), (f"{card} 12/25/2024", [card, "12/25/2024"]), (f"{card} 12.b@x.org", [card, "12.b@"]), (f"{iban} 988 555-2485", [iban, "988 555-2485"]),
+    ]
+    same = ["1 " * 9000, "12" * 9000, "AA11" * 9000, "4111 1111 1111 1112 12", "x-4111111111111111", "4111111111111111-x", "AB12 WORD WORD WORD ABC"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([t for t, _ in texts] + same)], "doc_id long, text string")
+    got = {r.doc_id: r for r in feistel_pii.pseudonymize(df).collect()}
+    for i, (t, values) in enumerate(texts):
+        assert got[i].n_pseudonyms == len(values) and not any(v in got[i].text for v in values), (t, got[i].text)
+    for i, t in enumerate(same[1:], len(texts) + 1):
+        assert got[i].text == t and got[i].n_pseudonyms == 0
+
+
 def test_dates_are_permuted_one_to_one(spark):
     days = spark.range(36525).select(F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     out = feistel_pii.pseudonymize(days.withColumn("doc_id", F.lit(1))).agg(F.countDistinct("text"), F.min("text"), F.max("text")).first()
