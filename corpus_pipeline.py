@@ -17,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    """Documents without their source's boilerplate lines; copies of a text count once, so that they don't make its lines boilerplate."""
+    return line_dedup.dedup_lines(docs, once=True).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ Defined results: lines are split at "\\n"; they are compared without white
 space at their ends. Blank lines are never counted nor dropped. A line must be
 on at least ``min_pages`` pages, so a host of a few pages keeps its text. A
 null text stays null, a null host is a host of its own. Repeated rows are pages
-of their own; equal lines count once per page. A page whose lines all go keeps
+of their own unless ``once`` is set; equal lines count once per page. A page whose lines all go keeps
 its row with an empty text. All columns are kept; added ones take a free name.
 """
 
@@ -31,19 +31,22 @@ def _key(line: F.Column) -> F.Column:
     return F.md5(F.trim(line).cast("binary"))
 
 
-def boilerplate(docs: DataFrame, text: str, host: str, ratio: float, min_pages: int) -> DataFrame:
-    """host and the array of hashes of its boilerplate lines."""
+def boilerplate(docs: DataFrame, text: str, host: str, ratio: float, min_pages: int, once: bool = False) -> DataFrame:
+    """host and the array of hashes of its boilerplate lines; with ``once`` the host's equal texts count as one page."""
     h = F.col(host).cast("string").alias("__host")
-    totals = docs.groupBy(h).agg(F.count(F.lit(1)).alias("__pages")).filter(F.col("__pages") >= min_pages)
+    page = [F.md5(F.col(text).cast("binary")).alias("__page")] if once else []
+    pages = docs.select(h, *page)
+    totals = (pages.distinct() if once else pages).groupBy("__host").agg(F.count(F.lit(1)).alias("__pages")).filter(F.col("__pages") >= min_pages)
     lines = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), _key))
-    counts = docs.select(h, F.explode(lines).alias("__line")).groupBy("__host", "__line").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_pages)
+    on = docs.select(h, *page, F.explode(lines).alias("__line"))
+    counts = (on.distinct() if once else on).groupBy("__host", "__line").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_pages)
     found = counts.alias("c").join(totals.alias("t"), F.col("c.__host").eqNullSafe(F.col("t.__host"))).filter(F.col("__n") > ratio * F.col("__pages"))
     return found.select(F.col("c.__host").alias("__host"), "__line").groupBy("__host").agg(F.collect_set("__line").alias("__drop"))
 
 
-def dedup_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, text: str = "text", host: str = "source") -> DataFrame:
+def dedup_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, text: str = "text", host: str = "source", once: bool = False) -> DataFrame:
     """All columns, the text without its host's boilerplate, and ``n_lines``, ``n_dropped``."""
-    known = boilerplate(docs, text, host, ratio, min_pages)
+    known = boilerplate(docs, text, host, ratio, min_pages, once)
     free = lambda n: n if n not in docs.columns else free(n + "_")
     joined = docs.join(known, F.col(host).cast("string").eqNullSafe(F.col("__host")), "left").drop("__host")
     lines = F.split(text, "\n")

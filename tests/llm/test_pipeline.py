@@ -20,3 +20,10 @@ def test_stages(spark):
     assert classes.filter("n_links > 0").count() == 0
     out = corpus_pipeline.run(spark, DIR)
     assert out.count() == before and out.filter("n_tokens is null").count() == 0
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    rows = [(i, "one page\nand its copies", "a") for i in range(12)] + [(100 + i, f"menu\nown line {i}", "a") for i in range(15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, df, DIR).collect()}
+    assert got == {i: f"own line {i - 100}" if i >= 100 else t for i, t, _ in rows}
