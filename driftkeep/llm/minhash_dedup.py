@@ -12,9 +12,10 @@ large group of copies costs few checks, for links that join nothing new aren't
 looked for. A bucket of over BUCKET representatives is dealt into blocks, and
 every block is compared with every other in a task of its own.
 
-The chance to miss a pair is that of sharing under two collections, about
-1e-4 at a similarity of 0.85 and less above it, and that of agreeing in fewer
-than the required share of minhashes (under 1e-3 at 0.85). Components need one
+M follows from the threshold. The chance to miss a pair right at it is that of
+sharing under two collections (5.3e-4 for 14 collections at a similarity of
+0.85, 3.9e-4 for 20 at 0.8) and that of agreeing in fewer than the required
+minhashes (3.4e-4 at 0.85, 2.2e-4 at 0.8); it falls fast above. Components need one
 path only, so a missed pair rarely splits one.
 
 Words: A-Z lowered, runs of other characters than \\x20 and \\x09-\\x0D.
@@ -29,6 +30,7 @@ doc_id and text are read. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -40,13 +42,34 @@ from driftkeep.llm.shared import numbered, stash
 from driftkeep.llm.tables import table
 from driftkeep.llm.words import batch_words, mix, shingles
 
-M, R = 14, 4
+R = 4
+#: The chance that a pair at the threshold shares under two collections, and that it agrees in too few minhashes, at most.
+MISS, CUT_MISS = 6e-4, 5e-4
 BUCKET = 20_000
-_SALTS = mix(np.arange(1, M * R + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 SIGNED = "row long, doc_id long, n_shingles long, d1 long, d2 long, sig binary"
 
 
-def _sketch(width: int):
+def collections(percent: int) -> int:
+    """How many collections keep the chance to share under two at the threshold within MISS: 14 at least and even, for whole signature words."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent is from 50 to 100")
+    p, m = (percent / 100) ** R, 14
+    while (1 - p) ** m + m * p * (1 - p) ** (m - 1) > MISS:
+        m += 2
+    return m
+
+
+def least_equal(percent: int, n: int) -> int:
+    """The largest number of n minhashes that a pair at the threshold reaches but for a chance of CUT_MISS."""
+    s, c, below = percent / 100, 0, 0.0
+    while c < n and (below := below + comb(n, c) * s**c * (1 - s) ** (n - c)) <= CUT_MISS:
+        c += 1
+    return c
+
+
+def _sketch(width: int, m: int):
+    salts = mix(np.arange(1, m * R + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [(t if isinstance(t, str) else "").encode("utf-8", "replace") for t in pdf.text]
@@ -55,11 +78,11 @@ def _sketch(width: int):
                 v, o = shingles(h, off, width)
                 size = np.diff(o)
                 some = np.flatnonzero(size > 0)
-                sig = np.zeros((n, M * R), np.uint32)
+                sig = np.zeros((n, m * R), np.uint32)
                 d1, d2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 if len(some):
                     first = o[:-1][some]
-                    for k, salt in enumerate(_SALTS):
+                    for k, salt in enumerate(salts):
                         x = v * salt
                         x ^= x >> np.uint64(29)
                         x *= np.uint64(0xBF58476D1CE4E5B9)
@@ -73,18 +96,22 @@ def _sketch(width: int):
     return run
 
 
-def _tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _tables(m: int):
     """A key for each pair of collections of each representative."""
-    for pdf in batches:
-        for a in range(0, len(pdf), 2000):
-            part = pdf.iloc[a : a + 2000]
-            sig = np.frombuffer(b"".join(part.sig), np.uint32).reshape(-1, M, R).astype(np.uint64)
-            u = np.zeros(sig.shape[:2], np.uint64)
-            for r in range(R):
-                u = mix(u * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r] + np.uint64(1))
-            i, j = np.triu_indices(M, 1)
-            keys = mix(u[:, i] + mix(u[:, j] + np.arange(1, len(i) + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)))
-            yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "rep": np.repeat(part.rep.to_numpy(), len(i))})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), 2000):
+                part = pdf.iloc[a : a + 2000]
+                sig = np.frombuffer(b"".join(part.sig), np.uint32).reshape(-1, m, R).astype(np.uint64)
+                u = np.zeros(sig.shape[:2], np.uint64)
+                for r in range(R):
+                    u = mix(u * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r] + np.uint64(1))
+                i, j = np.triu_indices(m, 1)
+                keys = mix(u[:, i] + mix(u[:, j] + np.arange(1, len(i) + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)))
+                yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "rep": np.repeat(part.rep.to_numpy(), len(i))})
+
+    return run
 
 
 def _equal_bytes(x: np.ndarray) -> np.ndarray:
@@ -96,7 +123,7 @@ def _equal_bytes(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(~t).sum(1)
 
 
-def _bucket_pairs(start: np.ndarray, before: np.ndarray, words: np.ndarray, size: np.ndarray, comp: np.ndarray, least: float, ratio: float, fan: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def _bucket_pairs(start: np.ndarray, before: np.ndarray, words: np.ndarray, size: np.ndarray, comp: np.ndarray, least: int, ratio: float, fan: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Candidate pairs of members (earlier, later) of the buckets that rows lie in, and whether ``fan`` left any out.
 
     A row is compared with the ``before`` rows from ``start`` on. Each later
@@ -130,9 +157,8 @@ def _bucket_pairs(start: np.ndarray, before: np.ndarray, words: np.ndarray, size
     return both[:, 0], both[:, 1], more
 
 
-def _partners(share: float, ratio: float, fan: int):
+def _partners(least: int, ratio: float, fan: int):
     """a, b, more: candidate pairs of the buckets of a partition, whose rows come sorted by key, tile, right and rep."""
-    least = share * M * R
 
     def work(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         keys, tile, right, rep = pdf.key.to_numpy(), pdf.tile.to_numpy(), pdf.right.to_numpy(), pdf.rep.to_numpy()
@@ -213,23 +239,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Documents are linked if 100 * intersection >= percent * union of their
     sets of ``width``-word shingles.
     """
-    ratio = percent / 100
+    ratio, m = percent / 100, collections(percent)
+    agree = least_equal(percent, m * R)
     texts = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    signed = stash(texts.select("row", "doc_id", "text").mapInPandas(_sketch(width), SIGNED), "minhash-sig")
+    signed = stash(texts.select("row", "doc_id", "text").mapInPandas(_sketch(width, m), SIGNED), "minhash-sig")
     classes = stash(signed.filter("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")), "minhash-classes")
     reps = stash(signed.select(F.col("row").alias("rep"), "sig", "n_shingles").join(classes.select("rep"), "rep", "left_semi"), "minhash-reps")
-    keys = reps.select("rep", "sig").mapInPandas(_tables, "key long, rep long")
+    keys = reps.select("rep", "sig").mapInPandas(_tables(m), "key long, rep long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = stash(keys.join(shared, "key"), "minhash-members")
-    short = reps.select("rep", "n_shingles", F.expr(f"cast(concat({', '.join(f'substring(sig, {4 * k + 1}, 1)' for k in range(M * R))}) as binary)").alias("sig"))
+    short = reps.select("rep", "n_shingles", F.expr(f"cast(concat({', '.join(f'substring(sig, {4 * k + 1}, 1)' for k in range(m * R))}) as binary)").alias("sig"))
     comp = reps.select("rep", F.col("rep").alias("comp"))
     tested = links = None
-    fan, share, more = 1, ratio - 3.6 * (ratio * (1 - ratio) / (M * R)) ** 0.5, True
+    fan, more = 1, True
     while more:
         named = members.join(comp, "rep")
         mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("key", "n")
         buckets = _tiled(named.join(mixed, "key")).join(short, "rep").select("key", "tile", "right", "rep", "comp", "n_shingles", "sig")
-        raw = buckets.repartition("key", "tile").sortWithinPartitions("key", "tile", "right", "rep").mapInPandas(_partners(share, ratio, fan), "a long, b long, more boolean")
+        raw = buckets.repartition("key", "tile").sortWithinPartitions("key", "tile", "right", "rep").mapInPandas(_partners(agree, ratio, fan), "a long, b long, more boolean")
         found = stash(raw.groupBy("a", "b").agg(F.max("more").alias("more")), "minhash-pairs")
         more = not found.filter("more").isEmpty()
         pairs = found.select("a", "b") if tested is None else found.select("a", "b").join(tested, ["a", "b"], "left_anti")

@@ -135,11 +135,20 @@ def test_no_link_of_an_oversize_bucket_is_lost(spark, monkeypatch):
         for pdf in batches:
             yield pd.DataFrame({"key": 0, "rep": pdf.rep})
 
-    monkeypatch.setattr(minhash_dedup, "_tables", one_bucket)
+    monkeypatch.setattr(minhash_dedup, "_tables", lambda m: one_bucket)
     df = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
     assert df.filter("component_id <> doc_id - doc_id % 2").count() == 0
 
 
+def test_pairs_at_the_threshold_are_rarely_missed(spark):
+    rng, rows = random.Random(4), []
+    for i in range(3000):
+        own = [f"{rng.getrandbits(32):x}" for _ in range(104)]
+        rows += [(2 * i, " ".join(own[:94])), (2 * i + 1, " ".join(own[:84] + own[94:]))]  # 80 of 100 shingles
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert got.filter("component_id % 2 = 1").count() <= 8
+
+
 def test_one_of_each_class_stays(corpus):
     df, rows = corpus
     left = minhash_dedup.keep_first(df, 3, 85)
