@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftkeep.llm.shared import stash
+from driftkeep.llm.shared import discard, stash
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -19,12 +19,16 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = edges.select("a", "b").filter("a <> b")
     both = stash(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     label = stash(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "cc-label")
+    kept = label
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
         step = label.join(near, label.node == near.a).select("node", F.col("root").alias("was"), F.least("root", "m").alias("mid"))
         hop = label.select(F.col("node").alias("mid"), F.col("root").alias("up"))
         after = stash(step.join(hop, "mid", "left").select("node", "was", F.least("mid", F.coalesce("up", "mid")).alias("root")), "cc-label")
-        label = after.select("node", "root")
-        if after.filter("was <> root").isEmpty():
+        done = after.filter("was <> root").isEmpty()
+        discard(kept)
+        label, kept = after.select("node", "root"), after
+        if done:
             break
+    discard(both)
     return nodes.join(label, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -3,14 +3,21 @@
 M small collections of R minhashes each are computed per distinct shingle set;
 a table key is a pair of collections, so M*(M-1)/2 tables of 2*R rows cost M*R
 minhashes instead of M*(M-1)*R. Texts with equal sets become one
-representative first. Tables give buckets; within a bucket the minhashes
-(a byte of each) and the set sizes are compared, and the best partners go to an
-exact check on full shingle sets. Links found join components, and the buckets
-are gone through again for pairs of different components, with 64 times as
-many partners each time, until none was left out: no partner is capped, yet a
-large group of copies costs few checks, for links that join nothing new aren't
-looked for. A bucket of over BUCKET representatives is dealt into blocks, and
-every block is compared with every other in a task of its own.
+representative first.
+
+1. Tables give buckets. Within a bucket the set sizes and the minhashes (a byte
+   of each) say which members may be linked; the bucket gives a tree over each
+   connected part of that graph, at most one row a member. Parts that share
+   members over all buckets join to families: no link leaves a family.
+2. Families are decided exactly, on full shingle sets. A family is dealt into
+   blocks of about BLOCK members or BLOCK_SHINGLES shingles, and each block is
+   worked through in memory: links inside one component aren't looked for, and
+   only a tree of links is returned. Of each component found one member meets
+   those of the other blocks.
+3. In a family that still has several components, members outside the largest
+   meet each other and the largest, block against block, a task for a tile. So
+   no pair of two components is left out, and none is ever a row: compute grows
+   with the product of unlinked members of a family, rows with their blocks.
 
 M follows from the threshold. The chance to miss a pair right at it is that of
 sharing under two collections (5.3e-4 for 14 collections at a similarity of
@@ -18,7 +25,7 @@ sharing under two collections (5.3e-4 for 14 collections at a similarity of
 minhashes (3.4e-4 at 0.85, 2.2e-4 at 0.8); it falls fast above. Components need one
 path only, so a missed pair rarely splits one.
 
-Words: A-Z lowered, runs of other characters than \\x20 and \\x09-\\x0D.
+Words: A-Z lowered, runs of other characters than \\x20 and \\x09-\\x0D. A set holds 64-bit hashes of shingles.
 Defined results: fewer words than a shingle make one shingle of all of them; no
 words, an empty or a null text make an empty set, which is linked with nothing.
 Rows with a null doc_id take part; a component's id is its smallest doc_id that
@@ -38,14 +45,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftkeep.llm.components import connected
-from driftkeep.llm.shared import numbered, stash
+from driftkeep.llm.shared import bounded, discard, free_name, numbered, stash
 from driftkeep.llm.tables import table
 from driftkeep.llm.words import batch_words, mix, shingles
 
 R = 4
 #: The chance that a pair at the threshold shares under two collections, and that it agrees in too few minhashes, at most.
 MISS, CUT_MISS = 6e-4, 5e-4
+#: Members of a bucket that meet in one task; a larger bucket goes block against block.
 BUCKET = 20_000
+#: Members and shingles of a block of a family.
+BLOCK, BLOCK_SHINGLES = 2_000, 2_000_000
+#: Bytes of bit sets that a tile may take; with more, sets are intersected one by one.
+BITS = 1 << 26
 SIGNED = "row long, doc_id long, n_shingles long, d1 long, d2 long, sig binary"
 
 
@@ -123,57 +135,93 @@ def _equal_bytes(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(~t).sum(1)
 
 
-def _bucket_pairs(start: np.ndarray, before: np.ndarray, words: np.ndarray, size: np.ndarray, comp: np.ndarray, least: int, ratio: float, fan: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Candidate pairs of members (earlier, later) of the buckets that rows lie in, and whether ``fan`` left any out.
+def _sums_to(total: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges whose sums are at most ``most``, one item at least."""
+    ends, at = np.cumsum(total), 0
+    while at < len(total):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, stop
+        at = stop
 
-    A row is compared with the ``before`` rows from ``start`` on. Each later
-    member gives its ``fan`` best partners in each other component, in the
-    first round its best one of all.
+
+def _alike(x: np.ndarray, y: np.ndarray, words: np.ndarray, size: np.ndarray, least: int, ratio: float) -> np.ndarray:
+    """Which of the pairs (x, y) can be linked by their set sizes and minhashes."""
+    at = np.flatnonzero(np.minimum(size[x], size[y]) >= ratio * np.maximum(size[x], size[y]))
+    ok = np.zeros(len(x), bool)
+    ok[at] = _equal_bytes(words[x[at]] ^ words[y[at]]) >= least
+    return ok
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each member's component under the pairs (a, b)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        if (root[a] == low).all() and (root[b] == low).all():
+            return root
+        for x in (root[a], root[b], a, b):
+            np.minimum.at(root, x, low)
+        while (up := root[root]).sum() != root.sum():
+            root = up
+
+
+def _wide_part(members: np.ndarray, left: int, words: np.ndarray, size: np.ndarray, least: int, ratio: float) -> np.ndarray:
+    """Pairs that span the connected parts of a wide bucket: those reached are compared with those not yet reached only.
+
+    With ``left`` under all members the first ``left`` meet the others only.
     """
-    total = np.concatenate([[0], np.cumsum(before)])
     found: list[np.ndarray] = []
-    more, r = False, 0
-    while r < len(start):
-        stop = max(r + 1, int(np.searchsorted(total, total[r] + 1_000_000, "right")) - 1)
-        n = before[r:stop]
-        x = np.repeat(np.arange(r, stop), n)
-        y = np.repeat(start[r:stop] - (np.cumsum(n) - n), n) + np.arange(len(x))
-        r = stop
-        ok = (comp[x] != comp[y]) & (np.minimum(size[x], size[y]) >= ratio * np.maximum(size[x], size[y]))
-        x, y = x[ok], y[ok]
-        same = _equal_bytes(words[x] ^ words[y])
-        ok = same >= least
-        x, y, same = x[ok], y[ok], same[ok].astype(np.int64)
-        if not len(x):
+    open_ = np.ones(len(members), bool)
+    for first in range(len(members)):
+        if not open_[first]:
             continue
-        group = comp[y] if fan > 1 else np.zeros(len(y), np.int64)
-        order = np.lexsort((y, -same, group, x))
-        x, y, group = x[order], y[order], group[order]
-        head = np.concatenate([[True], (x[1:] != x[:-1]) | (group[1:] != group[:-1])])
-        rank = np.arange(len(x)) - np.maximum.accumulate(np.where(head, np.arange(len(x)), 0))
-        more |= bool((rank >= fan).any()) or fan == 1
-        found.append(np.stack([y, x], 1)[rank < fan])
-    both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-    return both[:, 0], both[:, 1], more
-
-
-def _partners(least: int, ratio: float, fan: int):
-    """a, b, more: candidate pairs of the buckets of a partition, whose rows come sorted by key, tile, right and rep."""
+        open_[first] = False
+        front = np.array([first])
+        while len(front):
+            now, front = front[:64], front[64:]
+            rest = np.flatnonzero(open_)
+            for a in range(0, len(rest), 16_000):
+                part = rest[a : a + 16_000]
+                x, y = np.repeat(now, len(part)), np.tile(part, len(now))
+                if left < len(members):
+                    across = (x < left) != (y < left)
+                    x, y = x[across], y[across]
+                ok = _alike(members[x], members[y], words, size, least, ratio)
+                x, y = x[ok], y[ok]
+                y, one = np.unique(y, return_index=True)
+                open_[y] = False
+                found.append(np.stack([members[x[one]], members[y]], 1))
+                front = np.concatenate([front, y])
+    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+
+
+def _parts(least: int, ratio: float):
+    """a, b: a tree over each connected part of the buckets of a partition, whose rows come sorted by key, tile, right and rep."""
 
     def work(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         keys, tile, right, rep = pdf.key.to_numpy(), pdf.tile.to_numpy(), pdf.right.to_numpy(), pdf.rep.to_numpy()
         words = np.frombuffer(b"".join(pdf.sig), np.uint64).reshape(len(pdf), -1)
-        size, comp = pdf.n_shingles.to_numpy(), pdf.comp.to_numpy()
+        size = pdf.n_shingles.to_numpy()
         head = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (tile[1:] != tile[:-1])]))
         count = np.diff(np.append(head, len(keys)))
-        start = np.repeat(head, count)
         # In a tile of two blocks the right block's rows meet the left block's only.
-        left = np.repeat(np.add.reduceat((right == 0).astype(np.int64), head), count)
-        before = np.where(right == 2, np.arange(len(keys)) - start, np.where(right == 1, left, 0))
-        a, b, more = _bucket_pairs(start, before, words, size, comp, least, ratio, fan)
-        x, y = rep[a], rep[b]
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "more": more})
+        left = np.where(right[head] == 2, count, np.add.reduceat((right == 0).astype(np.int64), head))
+        pairs = [_wide_part(np.arange(head[i], head[i] + count[i]), int(left[i]), words, size, least, ratio) for i in np.flatnonzero(count > 256)]
+        small = count <= 256
+        before = np.where(right == 2, np.arange(len(keys)) - np.repeat(head, count), np.where(right == 1, np.repeat(left, count), 0))
+        before[~np.repeat(small, count)] = 0
+        start = np.repeat(head, count)
+        for lo, hi in _sums_to(before, 1_000_000):
+            n = before[lo:hi]
+            x = np.repeat(np.arange(lo, hi), n)
+            y = np.repeat(start[lo:hi] - (np.cumsum(n) - n), n) + np.arange(len(x))
+            ok = _alike(x, y, words, size, least, ratio)
+            pairs.append(np.stack([y[ok], x[ok]], 1))
+        both = np.concatenate(pairs)
+        root = _roots(len(keys), both[:, 0], both[:, 1])
+        child = np.flatnonzero(root != np.arange(len(keys)))
+        tree = np.unique(np.stack([rep[root[child]], rep[child]], 1), axis=0)
+        yield pd.DataFrame({"a": tree[:, 0], "b": tree[:, 1]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -192,52 +240,175 @@ def _partners(least: int, ratio: float, fan: int):
     return run
 
 
-def _tiled(members: DataFrame) -> DataFrame:
-    """tile and right for the members (key, rep, n of the bucket): a bucket of over BUCKET goes block against block.
+def _tiled(members: DataFrame, blocks: str, wide: str = "0") -> DataFrame:
+    """tile and right for members that go block against block; ``blocks`` and ``wide`` are SQL for numbers of blocks of a member's group.
 
-    A member is in the tiles of its block with every block. right is 2 where
-    all rows of a tile meet each other, else 0 or 1 for its two blocks.
+    A member is in the tiles of its block with every block, but not in those of
+    two of the last ``wide`` blocks, which the column main deals it to. right is
+    2 where all rows of a tile meet each other, else 0 or 1 for its two blocks.
     """
-    blocks = F.expr(f"cast(ceil(n / {BUCKET}) as int)")
-    df = members.withColumn("__n", blocks).withColumn("__g", F.expr("cast(pmod(xxhash64(rep), __n) as int)"))
-    df = df.withColumn("__h", F.explode(F.expr("sequence(0, __n - 1)")))
+    df = members.withColumn("__n", F.expr(f"cast({blocks} as int)")).withColumn("__w", F.expr(f"cast({wide} as int)"))
+    main = "main" if "main" in members.columns else "false"
+    rest = "(__n - __w)"
+    df = df.withColumn("__g", F.expr(f"cast(if({main}, {rest} + pmod(xxhash64(rep), greatest(__w, 1)), pmod(xxhash64(rep), greatest({rest}, 1))) as int)"))
+    df = df.withColumn("__h", F.explode(F.expr(f"if({main}, if({rest} = 0, array(), sequence(0, {rest} - 1)), sequence(0, __n - 1))")))
     tile = F.expr("cast(least(__g, __h) as long) * __n + greatest(__g, __h)")
     right = F.expr("case when __g = __h then 2 when __g > __h then 1 else 0 end")
-    return df.withColumn("tile", tile).withColumn("right", right).drop("n", "__n", "__g", "__h")
+    return df.withColumn("tile", tile).withColumn("right", right).drop("__n", "__w", "__g", "__h")
+
+
+class Tile:
+    """Members of a tile: sorted shingle hashes, minhash bytes and components, which links join."""
+
+    def __init__(self, sets: list[np.ndarray], words: np.ndarray, comp: np.ndarray):
+        self.sets, self.words = sets, words
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.lab = np.unique(comp, return_inverse=True)[1]
+        self.bits: np.ndarray | None = None
+
+    def _bit_sets(self) -> np.ndarray:
+        """A bit for each shingle that two members have at least; no columns where these would be over BITS bytes."""
+        ids, df = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)[1:]
+        column = np.cumsum(df > 1) - 1
+        width = (int((df > 1).sum()) + 63) // 64 * 64
+        if len(self.sets) * width // 8 > BITS:
+            return np.empty((len(self.sets), 0), np.uint64)
+        row = np.repeat(np.arange(len(self.sets)), self.size)
+        shared = df[ids] > 1
+        flat = np.zeros((len(self.sets), width // 8), np.uint8)
+        for a in range(0, len(self.sets), 256):
+            part = shared & (row >= a) & (row < a + 256)
+            dense = np.zeros((min(256, len(self.sets) - a), width), np.uint8)
+            dense[row[part] - a, column[ids[part]]] = 1
+            flat[a : a + 256] = np.packbits(dense, axis=1)
+        return flat.view(np.uint64) if width else np.zeros((len(self.sets), 1), np.uint64)
+
+    def linked(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        if self.bits is None:
+            self.bits = self._bit_sets()
+        if self.bits.shape[1]:
+            step = max(1, (1 << 22) // self.bits.shape[1])
+            both = np.concatenate([np.bitwise_count(self.bits[x[a : a + step]] & self.bits[y[a : a + step]]).sum(1, dtype=np.int64) for a in range(0, len(x), step)])
+        else:
+            both = np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for i, j in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
+        return 100 * both >= percent * (self.size[x] + self.size[y] - both)
+
+    def links(self, left: int, least: int, percent: int) -> list[tuple[int, int]]:
+        """A tree of links over what links join, besides the given components; with ``left`` under all the first ``left`` meet the others only."""
+        n, out = len(self.sets), []
+        across = left < n
+        lo, step = 0, 1
+        while lo < (left if across else n - 1):
+            hi = min(lo + step, left if across else n - 1)
+            step = min(64, 2 * step)
+            x = np.repeat(np.arange(lo, hi), n - (left if across else lo + 1))
+            y = np.tile(np.arange(left if across else lo + 1, n), hi - lo)
+            lo = hi
+            ok = (self.lab[x] != self.lab[y]) & (x < y)
+            x, y = x[ok], y[ok]
+            ok = _alike(x, y, self.words, self.size, least, percent / 100)
+            x, y = x[ok], y[ok]
+            # Pairs are checked in growing parts, as every link spares the pairs it joins.
+            while len(x):
+                part = slice(0, max(1024, n))
+                ok = self.linked(x[part], y[part], percent)
+                for i, j in zip(x[part][ok].tolist(), y[part][ok].tolist(), strict=True):
+                    if self.lab[i] != self.lab[j]:
+                        out.append((i, j))
+                        self.lab[self.lab == self.lab[j]] = self.lab[i]
+                x, y = x[part.stop :], y[part.stop :]
+                ok = self.lab[x] != self.lab[y]
+                x, y = x[ok], y[ok]
+        return out
 
 
-def _verify(width: int, percent: int):
-    """Exact similarity of the texts of each row; the smaller set's hashes are sought in the larger."""
+def _sets(texts: pd.Series, width: int) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for _, h, off in batch_words((t if isinstance(t, str) else "").encode("utf-8", "replace") for t in texts):
+        v, o = shingles(h, off, width)
+        out += [v[o[i] : o[i + 1]].copy() for i in range(len(o) - 1)]
+    return out
 
-    def sets(texts: pd.Series) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for _, h, off in batch_words((t or "").encode("utf-8", "replace") for t in texts):
-            v, o = shingles(h, off, width)
-            out += [v[o[i] : o[i + 1]] for i in range(len(o) - 1)]
-        return out
+
+def _exact(width: int, percent: int, least: int):
+    """a, b: a tree of the links of the tiles of a partition, whose rows come sorted by family, tile and right."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: tuple[int, int] | None = None
+        held: list[tuple] = []
+        found: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if len(held) > 1:
+                right, rep, comp, sig, sets = zip(*held, strict=True)
+                words = np.frombuffer(b"".join(sig), np.uint64).reshape(len(held), -1)
+                left = len(held) if right[0] == 2 else right.count(0)
+                found.extend((rep[i], rep[j]) for i, j in Tile(list(sets), words, np.array(comp)).links(left, least, percent))
+            held.clear()
+
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 part = pdf.iloc[at : at + 500]
-                ok = []
-                for x, y in zip(sets(part.text_a), sets(part.text_b), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield pd.DataFrame({"a": part.a.to_numpy(), "b": part.b.to_numpy(), "linked": ok})
+                rows = zip(part.family.tolist(), part.tile.tolist(), part.right.tolist(), part.rep.tolist(), part.comp.tolist(), part.sig, _sets(part.text, width), strict=True)
+                for family, tile, *row in rows:
+                    if (family, tile) != key:
+                        close()
+                        key = family, tile
+                    held.append(tuple(row))
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+                found.clear()
+        close()
+        if found:
+            yield pd.DataFrame(found, columns=["a", "b"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_links, row and first_row.
+def _exact_links(rows: DataFrame, bodies: DataFrame, width: int, percent: int, agree: int, name: str) -> DataFrame:
+    """Trees of links of tiled members (family, tile, right, rep, comp)."""
+    tiles = bodies.join(bounded(rows.select("family", "tile", "right", "rep", "comp"), 250_000), "rep").select("family", "tile", "right", "rep", "comp", "sig", "text")
+    dealt = tiles.repartition("family", "tile").sortWithinPartitions("family", "tile", "right", "rep")
+    return stash(dealt.mapInPandas(_exact(width, percent, agree), "a long, b long"), name)
+
+
+def _joined(families: DataFrame, links: DataFrame) -> DataFrame:
+    """family, rep, weight and comp, the smallest member of its component under the links."""
+    roots = connected(families.select(F.col("rep").alias("node")), links).select(F.col("node").alias("rep"), F.col("root").alias("comp"))
+    return families.drop("comp").join(roots, "rep")
+
+
+def _links(families: DataFrame, bodies: DataFrame, width: int, percent: int, agree: int) -> DataFrame:
+    """Trees of links that join all components of the families (family, rep, weight)."""
+    blocks = f"greatest(ceil(count(1) / {BLOCK}), ceil(sum(weight) / {BLOCK_SHINGLES}))"
+    sized = lambda df: df.groupBy("family").agg(F.expr(blocks).cast("int").alias("blocks"))
+    dealt = families.join(sized(families), "family").withColumn("comp", F.col("rep"))
+    one = dealt.withColumn("tile", F.expr("pmod(xxhash64(rep), blocks)")).withColumn("right", F.lit(2))
+    links = _exact_links(one, bodies, width, percent, agree, "minhash-links")
+    wide = dealt.filter("blocks > 1").select("family", "rep", "weight")
+    if wide.isEmpty():
+        return links
+    wide = stash(wide, "minhash-wide")
+    near = stash(_joined(wide, links.join(wide.select(F.col("rep").alias("a")), "a", "left_semi")), "minhash-wide-comp")
+    heads = near.filter("rep = comp").join(sized(near.filter("rep = comp")), "family")
+    tiles = heads.withColumn("tile", F.expr("pmod(xxhash64(rep), blocks)")).withColumn("right", F.lit(2))
+    more = _exact_links(tiles, bodies, width, percent, agree, "minhash-links")
+    links = links.unionByName(more)
+    near = stash(_joined(wide, near.select(F.col("comp").alias("a"), F.col("rep").alias("b")).unionByName(more)), "minhash-wide-comp")
+    sizes = near.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("family").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("most")).filter("comps > 1").select("family", "most")
+    apart = near.join(largest, "family").withColumn("main", F.expr("comp = most")).drop("most")
+    n = apart.groupBy("family", "main").agg(F.expr(blocks).cast("int").alias("k")).groupBy("family").agg(F.sum("k").alias("blocks"), F.max(F.when(F.col("main"), F.col("k"))).alias("wide"))
+    tiles = _tiled(apart.join(n, "family"), "blocks", "wide")
+    return links.unionByName(_exact_links(tiles, bodies, width, percent, agree, "minhash-links"))
+
 
-    n_links counts the links that were checked and found at the row's
-    representative; row numbers the input's rows as ``numbered`` does and
-    first_row is the smallest of the component.
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, row and first_row.
 
-    Documents are linked if 100 * intersection >= percent * union of their
-    sets of ``width``-word shingles.
+    row numbers the input's rows as ``numbered`` does and first_row is the
+    smallest of the component. Documents are linked if 100 * intersection >=
+    percent * union of their sets of ``width``-word shingles.
     """
     ratio, m = percent / 100, collections(percent)
     agree = least_equal(percent, m * R)
@@ -246,50 +417,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = stash(signed.filter("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")), "minhash-classes")
     reps = stash(signed.select(F.col("row").alias("rep"), "sig", "n_shingles").join(classes.select("rep"), "rep", "left_semi"), "minhash-reps")
     keys = reps.select("rep", "sig").mapInPandas(_tables(m), "key long, rep long")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stash(keys.join(shared, "key"), "minhash-members")
     short = reps.select("rep", "n_shingles", F.expr(f"cast(concat({', '.join(f'substring(sig, {4 * k + 1}, 1)' for k in range(m * R))}) as binary)").alias("sig"))
-    comp = reps.select("rep", F.col("rep").alias("comp"))
-    tested = links = None
-    fan, more = 1, True
-    while more:
-        named = members.join(comp, "rep")
-        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("key", "n")
-        buckets = _tiled(named.join(mixed, "key")).join(short, "rep").select("key", "tile", "right", "rep", "comp", "n_shingles", "sig")
-        raw = buckets.repartition("key", "tile").sortWithinPartitions("key", "tile", "right", "rep").mapInPandas(_partners(agree, ratio, fan), "a long, b long, more boolean")
-        found = stash(raw.groupBy("a", "b").agg(F.max("more").alias("more")), "minhash-pairs")
-        more = not found.filter("more").isEmpty()
-        pairs = found.select("a", "b") if tested is None else found.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        if pairs.isEmpty():
-            if fan > 1 and not more:
-                break
-            fan *= 64
-            continue
-        used = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-        bodies = stash(texts.join(used, "row", "left_semi").select("row", "text"), "minhash-texts")
-        left = pairs.join(bodies.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
-        both = left.join(bodies.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
-        done = stash(both.mapInPandas(_verify(width, percent), "a long, b long, linked boolean"), "minhash-checked")
-        tested = done.select("a", "b") if tested is None else tested.unionByName(done.select("a", "b"))
-        new = done.filter("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        comp = connected(reps.select(F.col("rep").alias("node")), links).select(F.col("node").alias("rep"), F.col("root").alias("comp"))
-        fan *= 64
-    n_links = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links")) if links is not None else None
-    least = classes.join(comp, "rep").groupBy("comp").agg(F.min("least").alias("component_id"))
-    found = classes.join(comp, "rep").join(least, "comp")
-    found = found.join(n_links, "rep", "left") if n_links is not None else found.withColumn("n_links", F.lit(0).cast("long"))
-    found = found.select("n_shingles", "d1", "d2", "component_id", "n_links", "comp", F.lit(True).alias("__in"))
+    buckets = _tiled(members, f"ceil(n / {BUCKET})").join(short, "rep").select("key", "tile", "right", "rep", "n_shingles", "sig")
+    raw = buckets.repartition("key", "tile").sortWithinPartitions("key", "tile", "right", "rep").mapInPandas(_parts(agree, ratio), "a long, b long")
+    tree = stash(raw.distinct(), "minhash-tree")
+    discard(members)
+    nodes = tree.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    families = connected(nodes, tree).select(F.col("node").alias("rep"), F.col("root").alias("family"))
+    families = stash(families.join(short.select("rep", F.col("n_shingles").cast("long").alias("weight")), "rep"), "minhash-families")
+    bodies = texts.select(F.col("row").alias("rep"), "text").join(bounded(families.select("rep")), "rep", "left_semi").join(short.select("rep", "sig"), "rep")
+    links = _links(families, stash(bodies, "minhash-texts"), width, percent, agree)
+    comp = connected(classes.select(F.col("rep").alias("node")), links).select(F.col("node").alias("rep"), F.col("root").alias("comp"))
+    named = stash(classes.join(comp, "rep"), "minhash-named")
+    found = named.join(named.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("n_shingles", "d1", "d2", "component_id", "comp", F.lit(True).alias("found"))
     out = signed.join(found, ["n_shingles", "d1", "d2"], "left")
-    component = F.when(F.col("__in"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("n_links"), F.lit(0)).alias("n_links"), "row", F.coalesce("comp", "row").alias("first_row")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "row", F.coalesce("comp", "row").alias("first_row")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The first row of each component, all columns."""
-    rows = numbered(docs, "__row")
-    kept = near_duplicates(rows.drop("__row"), width, percent).filter(F.col("row") == F.col("first_row")).select(F.col("row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").drop("__row")
+    name = free_name("row", docs)
+    rows = numbered(docs, name)
+    gone = stash(near_duplicates(rows.select("doc_id", "text"), width, percent).filter("row <> first_row").select(F.col("row").alias(name)), "minhash-gone")
+    return rows.join(bounded(gone), name, "left_anti").drop(name)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

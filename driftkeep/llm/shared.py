@@ -32,7 +32,40 @@ def stash(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stashed tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_stashed_at", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of the shared folder; for when every result has been written or read."""
+    _delete(spark, f"{shared_dir(spark)}/driftkeep")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A narrow table marked for broadcast if it is counted to have at most ``rows`` rows, else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """The name, lengthened by underscores until no table has such a column."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def numbered(df: DataFrame, name: str = "row") -> DataFrame:

@@ -1,15 +1,17 @@
 """Vectorised word hashing over UTF-8 buffers.
 
-A batch of texts becomes one byte buffer; words are found with a lookup table
-and hashed with prefix sums of a polynomial modulo 2**64, so the cost is a few
-array passes instead of a Python object per word. Pieces of at most PIECE
-bytes are worked on at a time, cut at white space, so a very long text costs
-memory for its word hashes only.
+A batch of texts becomes one byte buffer; words are found with a lookup table.
+A word of up to eight bytes is one 64-bit number, which a bijection hashes, so
+the cost is a few array passes instead of a Python object per word; a longer
+word is hashed by BLAKE2b, with the recent ones remembered. Pieces of at most
+PIECE bytes are worked on at a time, cut at white space, so a very long text
+costs memory for its word hashes only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 
@@ -63,6 +65,22 @@ for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
     NON_ALNUM[_lo:_hi] = False
 
 
+#: The bytes of a little-endian number that a word of 0 to 8 bytes has.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_known: dict[bytes, int] = {}
+
+
+def _long_word(word: bytes) -> int:
+    h = _known.get(word)
+    if h is None:
+        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            if len(_known) >= 1 << 17:
+                _known.clear()
+            _known[word] = h
+    return h
+
+
 def _piece_words(buf: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of one buffer."""
     sep = separators[buf]
@@ -70,12 +88,15 @@ def _piece_words(buf: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, n
     start, end = edge[0::2], edge[1::2]
     if not len(start):
         return np.empty(0, np.uint64), start, end
-    up, down = POWERS.get(len(buf) + 1)
-    total = np.empty(len(buf) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(BYTE_VALUES[ASCII_LOWER[buf]] * up[1:], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return mix(h + (end - start).astype(np.uint64)), start, end
+    low = np.concatenate([ASCII_LOWER[buf], np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(buf) + 1, np.uint64, low, strides=(1,))
+    size = end - start
+    h = mix((lanes[start] & _FIRST_BYTES[np.minimum(size, 8)]) ^ mix(size.astype(np.uint64)))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        data = low.tobytes()
+        h[long] = [_long_word(data[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return h, start, end
 
 
 def _pieces(data: bytes, separators: np.ndarray) -> Iterator[tuple[int, bytes]]:
