@@ -8,20 +8,22 @@ removed wherever it is, documents being the borders.
    under one hash, at one offset from it. Neighbouring windows mostly choose
    the same place: a document has about 2 choices in LENGTH - SEED bytes. A
    choice with the windows that made it is an anchor; its span is the text of
-   those windows.
-2. Anchors are counted by hash. Spans with equal content count as one with a
-   number of occurrences, so groups of copies shrink before they are exchanged.
-   A hash met once is no repeat; a content met twice is repeated as a whole.
+   those windows. Neighbouring anchors with equal contents, as in a run of one
+   byte or of a short period, are one row with a number of times.
+2. Anchors are counted by hash. Spans with equal content (a 128-bit BLAKE2b
+   digest of the bytes and the place of the anchor) count as one with a number
+   of occurrences, so groups of copies shrink before they are exchanged. A hash
+   met once is no repeat; a content met twice is repeated as a whole.
 3. Where a hash has different contents, one span of each is fetched and an
    enhanced suffix array of the group's spans is built: suffixes sorted to
    LENGTH bytes by prefix doubling, common prefixes of neighbours, and the
    tree of common-prefix intervals by a stack scan. An interval of at least
    LENGTH whose suffixes differ in what precedes them (a text border differs
    from all) is a maximal repeat; it is output with all of its occurrences, and
-   covers its windows there. A group of over GROUP spans is divided exactly:
-   by the distance of a window from the anchor, with which equal windows agree,
-   in halves until the parts are small or one distance is left, where equal
-   contents are equal windows and no array is needed.
+   covers its windows there. A group of over GROUP spans isn't given to one
+   task: its windows are exchanged one by one under their distance from the
+   anchor, with which equal windows agree, and the digest of their bytes; equal
+   digests there are equal windows and no array is needed.
 4. The covered windows of each document are united and cut out.
 
 Defined results: a null or empty text has 0 bytes and nothing to remove. Texts
@@ -33,6 +35,7 @@ text are read. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -46,7 +49,7 @@ from driftkeep.llm.words import BYTE_VALUES, POWERS, mix
 LENGTH, SEED = 400, 48
 #: Spans that one suffix array takes (some 2 MB of text and 250 MB of arrays), and bytes of text that anchors are sought in at a time.
 GROUP, PIECE = 2500, 1 << 20
-ANCHORS = "row long, key long, at int, lead int, n_windows int, content long"
+ANCHORS = "row long, key long, at int, lead int, n_windows int, content binary, times int"
 
 
 def _hashes(buf: np.ndarray, size: int, prefix: np.ndarray) -> np.ndarray:
@@ -72,11 +75,15 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+def _digest(data: bytes) -> bytes:
+    return blake2b(data, digest_size=16).digest()
+
+
 def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchors of the texts [start, end) of a buffer: text, hash, place, first window, number of windows, content hash."""
+    """Anchors of the texts [start, end) of a buffer: text, hash, place, first window, number of windows, content, times it follows itself."""
     none = np.empty(0, np.int64)
     if len(buf) < LENGTH:
-        return none, none.astype(np.uint64), none, none, none, none.astype(np.uint64)
+        return none, none.astype(np.uint64), none, none, none, none.astype(object), none
     prefix = _prefix(buf)
     h = _hashes(buf, SEED, prefix)
     # 40 bits of hash, then the place: the smallest value is the leftmost smallest hash.
@@ -89,9 +96,14 @@ def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     head = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])])) if len(text) else none
     count = np.diff(np.append(head, len(text)))
     first, at = window[head], chosen[head]
-    _, down = POWERS.get(len(buf) + 1)
-    content = mix((prefix[first + count + LENGTH - 1] - prefix[first]) * down[first] + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + count.astype(np.uint64))
-    return text[head], mix(h[at]), at, first, count, content
+    lead, key, data = at - first, mix(h[at]), buf.tobytes()
+    content = np.empty(len(head), object)
+    content[:] = [_digest(b"%d:" % d + data[a : a + n + LENGTH - 1]) for a, n, d in zip(first.tolist(), count.tolist(), lead.tolist(), strict=True)]
+    own = np.ones(len(head), bool)
+    if len(head):
+        own[1:] = (content[1:] != content[:-1]) | (key[1:] != key[:-1]) | (text[head[1:]] != text[head[:-1]])
+    times = np.diff(np.append(np.flatnonzero(own), len(head)))
+    return text[head][own], key[own], at[own], first[own], count[own], content[own], times
 
 
 def _texts(column: pd.Series) -> list[bytes]:
@@ -104,9 +116,9 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def emit(rows: list[int], parts: list[bytes], shift: list[int]) -> pd.DataFrame:
         size = np.array([len(p) for p in parts])
         ends = np.cumsum(size)
-        text, key, at, first, count, content = anchors(np.frombuffer(b"".join(parts), np.uint8), ends - size, ends)
+        text, key, at, first, count, content, times = anchors(np.frombuffer(b"".join(parts), np.uint8), ends - size, ends)
         base = (ends - size - np.array(shift))[text]
-        return pd.DataFrame({"row": np.array(rows, np.int64)[text], "key": key.view(np.int64), "at": at - base, "lead": at - first, "n_windows": count, "content": content.view(np.int64)})
+        return pd.DataFrame({"row": np.array(rows, np.int64)[text], "key": key.view(np.int64), "at": at - base, "lead": at - first, "n_windows": count, "content": content, "times": times})
 
     for pdf in batches:
         rows, parts, shift, held = [], [], [], 0
@@ -293,52 +305,40 @@ def _arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from work(held)
 
 
-def _divided(spans: DataFrame, parts: int) -> DataFrame:
-    """The spans of crowded keys as pieces, by the distance of a window from the anchor."""
-    far = LENGTH - SEED + 1
-    edges = [far * i // parts for i in range(parts + 1)]
-    slots = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in zip(edges, edges[1:], strict=False) if b > a])
-    x = spans.withColumn("s", F.explode(slots))
-    lead = F.least(F.col("lead"), F.col("s.b") - 1)
-    end = F.greatest(F.col("lead") - F.col("n_windows") + 1, F.col("s.a"))
-    skip, n = F.col("lead") - lead, lead - end + 1
-    x = x.filter(n > 0).select("base", "row", "single", (F.col("start") + skip).alias("start"), lead.alias("lead"), n.cast("int").alias("n_windows"), F.xxhash64("base", F.lit(parts), "s.a").alias("key"), F.substring("span", skip + 1, n + LENGTH - 1).alias("span"))
-    return x
+WINDOWS = "key long, far int, content binary, row long, start long, single boolean"
+
+
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each window of the spans with its distance from the anchor and the digest of its bytes."""
+    for pdf in batches:
+        for at in range(0, len(pdf), 200):
+            part = pdf.iloc[at : at + 200]
+            n = part.n_windows.to_numpy()
+            i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            content = [_digest(x[w : w + LENGTH]) for x, k in zip(part.span, n.tolist(), strict=True) for w in range(k)]
+            yield pd.DataFrame({"key": np.repeat(part.key.to_numpy(), n), "far": np.repeat(part.lead.to_numpy(), n) - i, "content": content, "row": np.repeat(part.row.to_numpy(), n), "start": np.repeat(part.start.to_numpy(), n) + i, "single": np.repeat(part.single.to_numpy(), n)})
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """row, start, n: runs of windows that are repeated, of documents with the columns row and text."""
     found = stash(docs.mapInPandas(_find, ANCHORS), "suffix-anchors")
     same = ["key", "lead", "n_windows", "content"]
-    contents = stash(found.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("one")), "suffix-contents")
+    contents = stash(found.groupBy(*same).agg(F.sum("times").alias("n"), F.min(F.struct("row", "at")).alias("one")), "suffix-contents")
     copies = contents.filter("n > 1").select(*same)
-    whole = found.join(copies, same).select("row", (F.col("at") - F.col("lead")).cast("long").alias("start"), F.col("n_windows").cast("long").alias("n"))
-    mixed = contents.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter("d > 1").select("key")
-    wanted = contents.join(mixed, "key").select("key", F.col("one.row").alias("row"), (F.col("one.at") - F.col("lead")).cast("long").alias("start"), "lead", "n_windows", (F.col("n") == 1).alias("single"))
+    whole = found.join(copies, same).select("row", (F.col("at") - F.col("lead")).cast("long").alias("start"), (F.col("n_windows").cast("long") * F.col("times")).alias("n"))
+    mixed = contents.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter("d > 1")
+    wanted = contents.join(mixed, "key").select("key", F.col("one.row").alias("row"), (F.col("one.at") - F.col("lead")).cast("long").alias("start"), "lead", "n_windows", (F.col("n") == 1).alias("single"), (F.col("d") > GROUP).alias("crowded"))
     body = F.col("text").cast("binary")
     cut = F.expr(f"substring(cast(text as binary), cast(start as int) + 1, n_windows + {LENGTH - 1})")
-    spans = stash(wanted.join(docs.filter(F.length(body) >= LENGTH), "row").select(F.col("key").alias("base"), "key", "row", "start", "lead", "n_windows", "single", cut.alias("span")), "suffix-spans")
-    runs, parts = [whole], 1
-    while True:
-        crowd = stash(spans.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") > GROUP).select("key"), "suffix-crowd")
-        crowded = not crowd.isEmpty() and parts < LENGTH - SEED + 1
-        small = spans.join(crowd, "key", "left_anti") if crowded else spans
-        sorted_ = small.select("key", "row", "start", "single", "span").repartition("key").sortWithinPartitions("key")
-        runs.append(sorted_.mapInPandas(_arrays, RUNS))
-        if not crowded:
-            break
-        parts = min(4 * parts, LENGTH - SEED + 1)
-        pieces = _divided(spans.join(crowd, "key", "left_semi"), parts)
-        counted = stash(pieces.withColumn("content", F.xxhash64("span", "lead")), "suffix-pieces")
-        alike = counted.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start")).alias("one"))
-        again = alike.filter("n > 1").select("key", "content")
-        runs.append(counted.join(again, ["key", "content"]).filter("single").select("row", "start", F.col("n_windows").cast("long").alias("n")))
-        firsts = alike.select("key", "content", F.col("one.row").alias("row"), F.col("one.start").alias("start"), (F.col("n") == 1).alias("alone"))
-        spans = stash(counted.join(firsts, ["key", "content", "row", "start"]).select("base", "key", "row", "start", "lead", "n_windows", (F.col("single") & F.col("alone")).alias("single"), "span"), "suffix-spans")
-    out = runs[0]
-    for r in runs[1:]:
-        out = out.unionByName(r)
-    return out
+    spans = stash(wanted.join(docs.filter(F.length(body) >= LENGTH), "row").select("key", "row", "start", "lead", "n_windows", "single", "crowded", cut.alias("span")), "suffix-spans")
+    sorted_ = spans.filter("not crowded").select("key", "row", "start", "single", "span").repartition("key").sortWithinPartitions("key")
+    runs = whole.unionByName(sorted_.mapInPandas(_arrays, RUNS))
+    crowd = spans.filter("crowded")
+    if crowd.isEmpty():
+        return runs
+    windows = stash(crowd.select("key", "row", "start", "lead", "n_windows", "single", "span").mapInPandas(_windows, WINDOWS), "suffix-windows")
+    again = windows.groupBy("key", "far", "content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return runs.unionByName(windows.filter("single").join(again, ["key", "far", "content"]).select("row", "start", F.lit(1).cast("long").alias("n")))
 
 
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -369,4 +369,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, and the bytes that are kept as text (a character that a removal splits shows as U+FFFD)."""
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text.alias("text"))

@@ -92,6 +92,18 @@ def test_repeated_bytes(corpus, nothing, monkeypatch, group):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_periodic_and_very_long_texts(spark):
+    own = "".join(RNG.choice("abcdefgh ") for _ in range((1 << 20) + 700))
+    rows = [(0, "=" * 3000), (1, "abc" * 700 + "x" + "abc" * 300), (2, own), (3, "q" + own[1_048_000:1_048_900] + "q"), (4, "ab" * 150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = df.withColumn("row", F.col("doc_id")).mapInPandas(suffix_dedup._find, suffix_dedup.ANCHORS)
+    assert found.filter("row < 2").count() < 200  # of 5,203 windows
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(df).collect()}
+    for (i, t), b in zip(rows[:2] + rows[4:], brute_repeats([t for _, t in rows[:2] + rows[4:]]), strict=True):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == b
+    assert (got[2].n_removed, got[3].n_removed, bytes(got[3].kept)) == (900, 900, b"qq")
+
+
 def brute_classes(rows, width, percent):
     sets = []
     for _, t, *_ in rows:
