@@ -102,9 +102,9 @@ def cross_polytope(z: Column) -> Column:
 
 
 def probe_udf(dim: int, tables: int, rotations: int, seed: int, n: int):
-    """Buckets of every table: array<struct<table, bucket>>, n probes a table, one matrix product per Arrow batch and table."""
+    """Buckets of every table: array<struct<table, bucket, probe, strength>>, n probes a table, one matrix product per Arrow batch and table."""
 
-    @F.pandas_udf("array<struct<table: int, bucket: bigint>>", F.PandasUDFType.SCALAR)
+    @F.pandas_udf("array<struct<table: int, bucket: bigint, probe: int, strength: double>>", F.PandasUDFType.SCALAR)
     def buckets(vectors):
         import pandas as pd
 
@@ -115,7 +115,8 @@ def probe_udf(dim: int, tables: int, rotations: int, seed: int, n: int):
         for t in range(tables):
             z = x @ rotation(dim, rotations, seed + t).T
             near = np.argsort(-np.abs(z), axis=1, kind="stable")[:, :n]
-            found.append(2 * near + (np.take_along_axis(z, near, 1) < 0))
-        return pd.Series([[{"table": t, "bucket": int(b)} for t in range(tables) for b in found[t][i]] for i in range(len(x))])
+            at = np.take_along_axis(z, near, 1)
+            found.append((2 * near + (at < 0), np.abs(at)))
+        return pd.Series([[{"table": t, "bucket": b, "probe": p, "strength": s} for t in range(tables) for p, (b, s) in enumerate(zip(found[t][0][i].tolist(), found[t][1][i].tolist(), strict=True))] for i in range(len(x))])
 
     return buckets

@@ -1,8 +1,9 @@
 """Nearest-neighbour search: exact, by bucket, by region, by code.
 
-The query side is a bounded set. It is counted and broadcast while it has at
-most BROADCAST_QUERIES rows; a larger set is replicated over row groups of the
-base by an equi-join, so neither way sends the base anywhere but to its own
+Exact search is a product of blocks (:mod:`driftkeep.operators.blocks`). Where
+a score is an expression, the query side is counted and broadcast while it has
+at most BROADCAST_QUERIES rows; a larger set is replicated over row groups of
+the base by an equi-join, so neither way sends the base anywhere but to its own
 top-k. Partial top-k by partition comes from the window group limit.
 """
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from driftkeep.functions import hashing
 from driftkeep.functions.vectors import dot, l2_squared, similarity
+from driftkeep.operators import blocks
 
 BROADCAST_QUERIES, GROUP_ROWS = 10_000, 100_000
 
@@ -35,13 +37,14 @@ def against(queries: DataFrame, base: DataFrame) -> DataFrame:
 
 def exact(queries: DataFrame, base: DataFrame, k: int, metric: str = "ip") -> DataFrame:
     """query_id, item_id, score, rank for queries (query_id, q) and base (item_id, v)."""
-    scored = against(queries, base).select("query_id", "item_id", similarity(metric, F.col("q"), F.col("v")).alias("score"))
-    return top_k(scored, k)
+    if metric not in ("ip", "cosine", "l2"):
+        raise ValueError(f"unknown metric: {metric}")
+    return top_k(blocks.nearest(queries, base, k, metric), k)
 
 
 def exact_unique(queries: DataFrame, base: DataFrame, k: int, metric: str = "ip") -> DataFrame:
-    """The k best distinct item ids, each by its best copy."""
-    scored = against(queries, base).select("query_id", "item_id", similarity(metric, F.col("q"), F.col("v")).alias("score"))
+    """The k best distinct item ids, each by its best copy. The base is dealt by item, so copies meet without pairs being exchanged."""
+    scored = against(queries, base.repartition("item_id")).select("query_id", "item_id", similarity(metric, F.col("q"), F.col("v")).alias("score"))
     return top_k(scored.groupBy("query_id", "item_id").agg(F.max("score").alias("score")), k)
 
 
@@ -66,23 +69,37 @@ def hamming(queries: DataFrame, base: DataFrame, k: int, n_bits: int, dim: int,
 
 
 def _tables(df: DataFrame, vector: str, dim: int, tables: int, rotations: int, seed: int, n_probes: int, keep: list[Column]) -> DataFrame:
-    """One row per table and probed bucket."""
+    """One row per table and probed bucket, with the place in the table's probe order and the strength, the coordinate's magnitude."""
     buckets = hashing.probe_udf(dim, tables, rotations, seed, n_probes)(F.col(vector))
-    return df.select(*keep, F.explode(buckets).alias("t")).select(*keep, "t.table", "t.bucket")
+    return df.select(*keep, F.explode(buckets).alias("t")).select(*keep, "t.table", "t.bucket", "t.probe", "t.strength")
 
 
-def multiprobe_candidates(queries: DataFrame, base: DataFrame, dim: int, tables: int = 16, n_probes: int = 64, base_probes: int = 1, rotations: int | None = None, seed: int = 42, bucket_cap: int | None = None) -> DataFrame:
+def multiprobe_candidates(queries: DataFrame, base: DataFrame, dim: int, tables: int = 16, n_probes: int = 64, base_probes: int = 1, rotations: int | None = None, seed: int = 42, bucket_cap: int | None = None, alpha: float = 0.01, total_probes: int | None = None) -> DataFrame:
     """Distinct (query_id, item_id) that share a probed bucket of cross-polytope tables.
 
-    ``base_probes`` over 1 files each item under several buckets; ``bucket_cap``
-    then keeps the items of each bucket that lie nearest to its axis.
+    ``total_probes`` is a budget over all tables, at least one a table: each
+    table's own bucket, then the strongest coordinates of any table. Without
+    it every table has ``n_probes``. ``base_probes`` over 1 files each item
+    under several buckets. ``bucket_cap`` thins such an index: a bucket keeps
+    the items that lie nearest to its axis, ``bucket_cap`` of them or the share
+    ``alpha`` if that is more; without it all stay, and the candidates are the
+    whole buckets.
     """
     rotations = rotations or (2 if dim <= 128 else 1)
     filed = _tables(base, "v", dim, tables, rotations, seed, base_probes, [F.col("item_id")])
     if bucket_cap:
-        filed = filed.withColumn("n", F.row_number().over(Window.partitionBy("table", "bucket").orderBy("item_id"))).filter(F.col("n") <= bucket_cap).drop("n")
+        bucket = Window.partitionBy("table", "bucket")
+        filed = filed.withColumn("n", F.row_number().over(bucket.orderBy(F.desc("strength"), "item_id"))).withColumn("m", F.count(F.lit(1)).over(bucket))
+        filed = filed.filter(F.col("n") <= F.greatest(F.lit(bucket_cap), F.ceil(F.col("m") * F.lit(alpha))))
+    if total_probes is not None:
+        if total_probes < tables:
+            raise ValueError("a probe a table is the least")
+        n_probes = min(total_probes - tables + 1, 2 * hashing.power_of_two(dim))
     asked = _tables(queries, "q", dim, tables, rotations, seed, n_probes, [F.col("query_id")])
-    return asked.join(filed, ["table", "bucket"]).select("query_id", "item_id").distinct()
+    if total_probes is not None:
+        order = Window.partitionBy("query_id").orderBy(F.col("probe") > 0, F.desc("strength"), "table", "probe")
+        asked = asked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= total_probes)
+    return asked.select("query_id", "table", "bucket").join(filed.select("item_id", "table", "bucket"), ["table", "bucket"]).select("query_id", "item_id").distinct()
 
 
 def with_vectors(pairs: DataFrame, queries: DataFrame, base: DataFrame) -> DataFrame:

@@ -94,17 +94,21 @@ class SemanticDedup:
 
     def __init__(self, capacity: int, epsilon: float):
         self.capacity, self.limit = capacity, 1 - epsilon
-        self.rows: list[np.ndarray] = []
+        self.rows, self.n = np.empty((0, 0)), 0
 
     def offer(self, pos: int, item_id: int, payload) -> tuple[bool, float, int | None]:
         v = np.asarray(payload, np.float64)
-        if len(self.rows) >= self.capacity:
+        if self.n >= self.capacity:
             return False, 0.0, None
-        best = float(max((r @ v for r in self.rows), default=-1.0))
-        if self.rows and best > self.limit:
+        best = float((self.rows[: self.n] @ v).max()) if self.n else 0.0
+        if self.n and best > self.limit:
             return False, best, None
-        self.rows.append(v)
-        return True, best if len(self.rows) > 1 else 0.0, None
+        if self.n == len(self.rows):
+            # Room doubles, up to the capacity.
+            self.rows = np.concatenate([self.rows.reshape(-1, len(v)), np.empty((min(max(16, self.n), self.capacity - self.n), len(v)))])
+        self.rows[self.n] = v
+        self.n += 1
+        return True, best, None
 
 
 class ReplacingReservoir:

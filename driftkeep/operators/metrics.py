@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftkeep.functions.vectors import dot, l2_squared
-from driftkeep.operators.knn import against
+from driftkeep.functions.hashing import hash32
+from driftkeep.functions.vectors import l2_squared
+from driftkeep.operators import blocks
 
 
 def recall(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -44,44 +45,55 @@ def cluster_coverage(kept: DataFrame, n_clusters: int) -> DataFrame:
     return n.join(F.broadcast(all_)).agg(F.count(F.lit(1)).alias("n_covered"), (F.count(F.lit(1)) / F.lit(float(n_clusters))).alias("fraction"), F.coalesce(F.sum(-p * F.log(p)), F.lit(0.0)).alias("entropy"))
 
 
-def nearest(probe: DataFrame, kept: DataFrame, score: Column, best=F.max) -> DataFrame:
-    """The best score of each probe row (query_id, q) against the kept rows (item_id, v)."""
-    return against(probe, kept).groupBy("query_id").agg(best(score).alias("best"))
+#: Items that a radius or redundancy of a stream is measured at, and of a kept set that its spread is, at most; pairs for the largest distance.
+STREAM_SAMPLE, KEPT_SAMPLE, PAIRS = 50_000, 5_000, 1_000
 
 
-def k_center_radius(sample: DataFrame, kept: DataFrame) -> DataFrame:
-    """Largest distance from a sampled item to its nearest kept one; infinite if nothing is kept."""
-    far = nearest(sample, kept, l2_squared(F.col("q"), F.col("v")), F.min)
-    return far.agg(F.coalesce(F.sqrt(F.max("best")), F.lit(float("inf"))).alias("radius"))
+def hash_sample(items: DataFrame, n: int, salt: int = 42) -> DataFrame:
+    """The n items of the smallest seeded hash: a uniform sample that any engine draws alike; all items if there are no more."""
+    return items.orderBy(hash32("item_id", salt), "item_id").limit(n)
 
 
-def cosine_radius(sample: DataFrame, kept: DataFrame) -> DataFrame:
-    """1 - the smallest best cosine of a sampled unit vector; 2 if nothing is kept."""
-    return nearest(sample, kept, dot(F.col("q"), F.col("v"))).agg(F.coalesce(1 - F.min("best"), F.lit(2.0)).alias("cosine_radius"))
+def nearest(probe: DataFrame, kept: DataFrame, metric: str, others: bool = False) -> DataFrame:
+    """The best score of each probed item (item_id, v) among the kept ones (item_id, v)."""
+    asked = probe.select(F.col("item_id").alias("query_id"), F.col("v").alias("q"))
+    return blocks.nearest(asked, kept, 1, metric, others).groupBy("query_id").agg(F.max("score").alias("best"))
 
 
-def self_nearest(items: DataFrame, score: Column, best=F.max) -> DataFrame:
-    """The best score of each item (item_id, v) against the others of a bounded sample."""
-    probe = items.select(F.col("item_id").alias("query_id"), F.col("v").alias("q"))
-    return against(probe, items).filter("query_id <> item_id").groupBy("query_id").agg(best(score).alias("best"))
+def k_center_radius(stream: DataFrame, kept: DataFrame, sample: int = STREAM_SAMPLE) -> DataFrame:
+    """Largest distance from a sampled item of the stream to its nearest kept one; infinite if nothing is kept."""
+    far = nearest(hash_sample(stream, sample), kept, "l2")
+    return far.agg(F.coalesce(F.sqrt(-F.min("best")), F.lit(float("inf"))).alias("radius"))
 
 
-def intra_distance(items: DataFrame) -> DataFrame:
-    near = self_nearest(items, l2_squared(F.col("q"), F.col("v")), F.min)
-    return near.agg(F.coalesce(F.avg(F.sqrt("best")), F.lit(0.0)).alias("mean_nn_distance"))
+def cosine_radius(stream: DataFrame, kept: DataFrame, sample: int = STREAM_SAMPLE) -> DataFrame:
+    """1 - the smallest best cosine of a sampled unit vector of the stream; 2 if nothing is kept."""
+    return nearest(hash_sample(stream, sample), kept, "ip").agg(F.coalesce(1 - F.min("best"), F.lit(2.0)).alias("cosine_radius"))
 
 
-def cosine_stats(items: DataFrame) -> DataFrame:
-    near = self_nearest(items, dot(F.col("q"), F.col("v")))
+def intra_distance(items: DataFrame, sample: int = KEPT_SAMPLE) -> DataFrame:
+    """Mean distance of a sampled item to the nearest other of the sample; 0 for fewer than two."""
+    few = hash_sample(items, sample)
+    return nearest(few, few, "l2", others=True).agg(F.coalesce(F.avg(F.sqrt(-F.col("best"))), F.lit(0.0)).alias("mean_nn_distance"))
+
+
+def cosine_stats(items: DataFrame, sample: int = KEPT_SAMPLE) -> DataFrame:
+    """Mean, largest and p90 cosine of a sampled unit vector to the nearest other of the sample, and 1 - the mean."""
+    few = hash_sample(items, sample)
+    near = nearest(few, few, "ip", others=True)
     return near.agg(F.avg("best").alias("mean_nn_cosine"), F.max("best").alias("max_nn_cosine"), F.percentile("best", F.lit(0.9)).alias("p90_nn_cosine"), (1 - F.avg("best")).alias("diversity"))
 
 
-def stream_redundancy(items: DataFrame, pairs: DataFrame) -> DataFrame:
-    """1 - mean nearest distance / largest distance of given random pairs (a, b of item ids)."""
-    left = items.select(F.col("item_id").alias("a"), F.col("v").alias("va"))
-    right = items.select(F.col("item_id").alias("b"), F.col("v").alias("vb"))
-    far = pairs.join(left, "a").join(right, "b").agg(F.max(F.sqrt(l2_squared(F.col("va"), F.col("vb")))).alias("far"))
-    return intra_distance(items).join(F.broadcast(far)).select((1 - F.col("mean_nn_distance") / F.col("far")).alias("redundancy"))
+def stream_redundancy(items: DataFrame, sample: int = STREAM_SAMPLE, pairs: int = PAIRS, salt: int = 42) -> DataFrame:
+    """1 - mean distance to the nearest other / largest distance of random pairs, within a sample; ids are unique."""
+    few = hash_sample(items, sample, salt)
+    # At most ``sample`` rows are numbered.
+    listed = few.withColumn("i", F.row_number().over(Window.orderBy(hash32("item_id", salt), "item_id")) - 1)
+    n = few.agg(F.count(F.lit(1)).alias("n"))
+    drawn = items.sparkSession.range(pairs).join(F.broadcast(n)).select(F.pmod(hash32("id", salt + 1), "n").alias("a"), F.pmod(hash32("id", salt + 2), "n").alias("b"))
+    left, right = listed.select(F.col("i").alias("a"), F.col("v").alias("va")), listed.select(F.col("i").alias("b"), F.col("v").alias("vb"))
+    far = drawn.join(left, "a").join(right, "b").agg(F.max(F.sqrt(l2_squared(F.col("va"), F.col("vb")))).alias("far"))
+    return intra_distance(items, sample).join(F.broadcast(far)).select((1 - F.col("mean_nn_distance") / F.col("far")).alias("redundancy"))
 
 
 def memory_footprint(n: Column, dim: int, tables: int, bits: int) -> list[Column]:

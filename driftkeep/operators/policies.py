@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from driftkeep.functions.hashing import hash01, hash32
 from driftkeep.operators import machines
+from driftkeep.operators.streams import first_in_order
 
 LOG = "pos long, item_id long, accepted boolean, occ double, evicted long"
 
@@ -30,26 +31,27 @@ def keep_all(df: DataFrame) -> DataFrame:
 
 
 def _first(df: DataFrame, capacity: int, *order: Column, key: str | None = None) -> DataFrame:
-    """The first B rows: a sorted limit for one stream, a ranked window per key for many."""
+    """The first B rows by ascending keys: a filter at the B-th key for one stream, a ranked window per key for many."""
     _budget(df, capacity)
     if key is None:
-        return df.orderBy(*order).limit(capacity)
+        return first_in_order(df, capacity, *order)
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("__rank") <= capacity).drop("__rank")
 
 
 def fifo(df: DataFrame, capacity: int, key: str | None = None) -> DataFrame:
     """The most recent B items."""
-    return _first(df, capacity, F.desc("pos"), key=key)
+    return _first(df, capacity, -F.col("pos"), key=key)
 
 
 def freshness(df: DataFrame, capacity: int, score: Column | None = None, key: str | None = None) -> DataFrame:
-    """Highest score first; by default the age alone, which ranks as exp(-decay * age) does without underflow."""
-    return _first(df, capacity, score.desc() if score is not None else F.desc("pos"), F.desc("pos"), key=key)
+    """Highest score first, a null score last; by default the age alone, which ranks as exp(-decay * age) does without underflow."""
+    by_score = [] if score is None else [F.coalesce(-score, F.lit(float("inf")))]
+    return _first(df, capacity, *by_score, -F.col("pos"), key=key)
 
 
 def reservoir(df: DataFrame, capacity: int, salt: int = 42, key: str | None = None) -> DataFrame:
     """A uniform sample of B items without replacement: the smallest seeded hashes."""
-    return _first(df, capacity, hash32("pos", salt).asc(), F.asc("pos"), key=key)
+    return _first(df, capacity, hash32("pos", salt), F.col("pos"), key=key)
 
 
 def bernoulli(df: DataFrame, capacity: int, stream_size: int, salt: int = 42) -> DataFrame:

@@ -3,24 +3,45 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftkeep.functions.hashing import hash32
 from driftkeep.functions.vectors import normalized, project
+from driftkeep.sources.staging import staged
 
 
 def positions(df: DataFrame, *order) -> DataFrame:
-    """pos from 0 in a given order: ranges sorted apart, then shifted by the rows before them."""
+    """pos from 0 in a given order: ranges sorted apart, then shifted by the rows before them.
+
+    The sorted ranges and the place of each row in its range are written once
+    and read back: range bounds are sampled and partitions merged at run time,
+    so a plan that sorted twice could number one sort and count another. Equal
+    rows in the order keep the place they were written in.
+    """
     ranged = df.select("*").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
-    part = F.shiftright("__m", 33)
-    counts = ranged.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    numbered = staged(ranged, "positions").withColumn("__p", F.shiftright("__m", 33))
+    counts = numbered.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     # One row per partition of the sort, so the window is small.
     starts = counts.withColumn("__s", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).drop("__n")
-    joined = ranged.withColumn("__p", part).join(F.broadcast(starts), "__p")
+    joined = numbered.join(F.broadcast(starts), "__p")
     return joined.withColumn("pos", F.col("__s") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__m", "__p", "__s")
 
 
+def first_in_order(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first ``n`` rows by ascending keys that no two rows share: the n-th key is found by numbering the keys alone, then rows are filtered.
+
+    Keys aren't null. Nothing is gathered in one task, however large ``n`` is.
+    """
+    keys = [f"__k{i}" for i in range(len(order))]
+    named = df.select(*[c.alias(k) for c, k in zip(order, keys, strict=True)])
+    last = positions(named, *[F.col(k) for k in keys]).filter(F.col("pos") == n - 1).select(F.struct(*keys).alias("k")).first()
+    if last is None:
+        return df
+    kinds = dict(named.dtypes)
+    return df.filter(F.struct(*[c.alias(k) for c, k in zip(order, keys, strict=True)]) <= F.struct(*[F.lit(last.k[k]).cast(kinds[k]).alias(k) for k in keys]))
+
+
 def clean(base: DataFrame, salt: int = 43) -> DataFrame:
     return positions(base, hash32("item_id", salt).alias("__h"), F.col("item_id"))
 
@@ -46,7 +67,7 @@ def boundaries(stream: DataFrame) -> DataFrame:
 
 
 def query_sample(base: DataFrame, n: int, salt: int = 42) -> DataFrame:
-    """query_id and q of the n items with the smallest hash."""
+    """query_id and q of the n items with the smallest hash; n is what one task can hold."""
     return base.orderBy(hash32("item_id", salt), "item_id").limit(n).select(F.col("item_id").alias("query_id"), F.col("v").alias("q"))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from driftkeep.functions.hashing import hyperplanes
 
-N_QUERIES, DIM = 20, 64
+#: A vector is a query if this divides its id.
+EVERY, DIM = 50, 64
 TABLES, BITS = 4, 4
 
 
@@ -13,7 +14,7 @@ def h(column: str, salt: int) -> str:
 
 
 BASE = "e AS (SELECT vec_id AS item_id, embedding::DOUBLE[] AS v, label::BIGINT AS label FROM embeddings)"
-QUERIES = f"q AS (SELECT item_id AS query_id, v AS q FROM e ORDER BY {h('item_id', 42)}, item_id LIMIT {N_QUERIES})"
+QUERIES = f"q AS (SELECT item_id AS query_id, v AS q FROM e WHERE item_id % {EVERY} = 0)"
 POS = "s AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS pos FROM e)"
 
 

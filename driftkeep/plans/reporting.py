@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from driftkeep.operators import knn, metrics, policies, reports
 from driftkeep.plans.fragments import BASE, BITS, DIM, TABLES, h, with_
 from driftkeep.plans.search import base, signed
 from driftkeep.sources.readers import embed
+from driftkeep.sources.staging import new_folder
 from driftkeep.streaming import policies as streaming
 
 
@@ -181,11 +180,10 @@ USER_SQL = "SELECT user_id, event_id AS pos FROM events QUALIFY row_number() OVE
 
 
 def _streamed(df: DataFrame, make, name: str) -> DataFrame:
-    spark, folder = df.sparkSession, tempfile.mkdtemp(prefix="driftkeep-stream-")
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(f"{folder}/in")
     source = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
-    name = f"{name}_{folder.rsplit('-', 1)[1]}"
-    return streaming.run_to_end(make(source), name, f"{folder}/checkpoint")
+    return streaming.run_to_end(make(source), folder)
 
 
 def streaming_fifo(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftkeep.functions.vectors import rounded
 from driftkeep.operators import knn, metrics, policies, reports, streams
-from driftkeep.plans.fragments import BASE, BITS, DIM, N_QUERIES, POS, QUERIES, SIG, TABLES, h, machine, top, with_
+from driftkeep.plans.fragments import BASE, BITS, DIM, POS, QUERIES, SIG, TABLES, h, machine, top, with_
 from driftkeep.plans.search import DUP_SQL, K, ask, base, signed, stream
 
 B = 10
@@ -119,56 +119,57 @@ def cluster_entropy(spark: SparkSession, d: str) -> DataFrame:
 ENTROPY_SQL = with_(BASE, POS, FIFO_K, "c AS (SELECT label, count(*) AS n FROM k GROUP BY label)", "p AS (SELECT n / (sum(n) OVER ())::DOUBLE AS p FROM c)", select="SELECT count(*) AS n_covered, round(count(*) / 10.0::DOUBLE, 6) AS fraction, round(sum(-p * ln(p)), 6) + 0.0 AS entropy FROM p")
 
 
-def _sample(spark: SparkSession, d: str, n: int = 100) -> DataFrame:
-    return base(spark, d).orderBy(F.col("item_id")).limit(n)
-
-
-def _probe(spark: SparkSession, d: str) -> DataFrame:
-    return _sample(spark, d).select(F.col("item_id").alias("query_id"), F.col("v").alias("q"))
+_SAMPLE = f"sm AS (SELECT * FROM e ORDER BY {h('item_id', 42)}, item_id LIMIT {metrics.STREAM_SAMPLE})"
+_KSAMPLE = f"ks AS (SELECT * FROM k ORDER BY {h('item_id', 42)}, item_id LIMIT {metrics.KEPT_SAMPLE})"
+_SQD = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_OTHER = "a.item_id <> b.item_id"
 
 
-_SAMPLE = "sm AS (SELECT * FROM e ORDER BY item_id LIMIT 100)"
-_SQD = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
-_NEAR = "nn AS (SELECT a.item_id, {f}({x}) AS best FROM sm a JOIN {t} b ON {c} GROUP BY a.item_id)"
+def _near(f: str, x: str, probe: str, among: str, on: str = "true") -> str:
+    return f"nn AS (SELECT a.item_id, {f}({x}) AS best FROM {probe} a JOIN {among} b ON {on} GROUP BY a.item_id)"
 
 
 def k_center(spark: SparkSession, d: str) -> DataFrame:
-    return _round_all(metrics.k_center_radius(_probe(spark, d), _kept(spark, d).select("item_id", "v")))
+    return _round_all(metrics.k_center_radius(base(spark, d), _kept(spark, d)))
 
 
 def cosine_radius(spark: SparkSession, d: str) -> DataFrame:
-    return _round_all(metrics.cosine_radius(_probe(spark, d), _kept(spark, d).select("item_id", "v")))
+    return _round_all(metrics.cosine_radius(base(spark, d), _kept(spark, d)))
 
 
-KCENTER_SQL = with_(BASE, POS, FIFO_K, _SAMPLE, _NEAR.format(f="min", x=_SQD, t="k", c="true"), select="SELECT round(sqrt(max(best)), 6) AS radius FROM nn")
-CRADIUS_SQL = with_(BASE, POS, FIFO_K, _SAMPLE, _NEAR.format(f="max", x="list_inner_product(a.v, b.v)", t="k", c="true"), select="SELECT round(1 - min(best), 6) AS cosine_radius FROM nn")
+KCENTER_SQL = with_(BASE, POS, FIFO_K, _SAMPLE, _near("min", _SQD, "sm", "k"), select="SELECT round(sqrt(max(best)), 6) AS radius FROM nn")
+CRADIUS_SQL = with_(BASE, POS, FIFO_K, _SAMPLE, _near("max", "list_inner_product(a.v, b.v)", "sm", "k"), select="SELECT round(1 - min(best), 6) AS cosine_radius FROM nn")
 
 
 def intra_distance(spark: SparkSession, d: str) -> DataFrame:
-    return _round_all(metrics.intra_distance(_sample(spark, d)))
+    return _round_all(metrics.intra_distance(_kept(spark, d)))
 
 
 def cosine_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _round_all(metrics.cosine_stats(_sample(spark, d)))
+    return _round_all(metrics.cosine_stats(_kept(spark, d)))
 
 
 def cosine_redundancy(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.cosine_stats(_sample(spark, d)).select(rounded(F.col("mean_nn_cosine")).alias("redundancy"))
+    return metrics.cosine_stats(base(spark, d), metrics.STREAM_SAMPLE).select(rounded(F.col("mean_nn_cosine")).alias("redundancy"))
 
 
-_OTHER = "a.item_id <> b.item_id"
-INTRA_SQL = with_(BASE, _SAMPLE, _NEAR.format(f="min", x=_SQD, t="sm", c=_OTHER), select="SELECT round(avg(sqrt(best)), 6) AS mean_nn_distance FROM nn")
-_COS = _NEAR.format(f="max", x="list_inner_product(a.v, b.v)", t="sm", c=_OTHER)
-CSTATS_SQL = with_(BASE, _SAMPLE, _COS, select="SELECT round(avg(best), 6) AS mean_nn_cosine, round(max(best), 6) AS max_nn_cosine, round(quantile_cont(best, 0.9), 6) AS p90_nn_cosine, round(1 - avg(best), 6) AS diversity FROM nn")
-CREDUND_SQL = with_(BASE, _SAMPLE, _COS, select="SELECT round(avg(best), 6) AS redundancy FROM nn")
+INTRA_SQL = with_(BASE, POS, FIFO_K, _KSAMPLE, _near("min", _SQD, "ks", "ks", _OTHER), select="SELECT round(avg(sqrt(best)), 6) AS mean_nn_distance FROM nn")
+_COS = "list_inner_product(a.v, b.v)"
+CSTATS_SQL = with_(BASE, POS, FIFO_K, _KSAMPLE, _near("max", _COS, "ks", "ks", _OTHER), select="SELECT round(avg(best), 6) AS mean_nn_cosine, round(max(best), 6) AS max_nn_cosine, round(quantile_cont(best, 0.9), 6) AS p90_nn_cosine, round(1 - avg(best), 6) AS diversity FROM nn")
+CREDUND_SQL = with_(BASE, _SAMPLE, _near("max", _COS, "sm", "sm", _OTHER), select="SELECT round(avg(best), 6) AS redundancy FROM nn")
 
 
 def stream_redundancy(spark: SparkSession, d: str) -> DataFrame:
-    pairs = spark.range(200).select((F.col("id") % 100).alias("a"), ((F.col("id") * 7 + 3) % 100).alias("b"))
-    return _round_all(metrics.stream_redundancy(_sample(spark, d), pairs))
+    return _round_all(metrics.stream_redundancy(base(spark, d)))
 
 
-REDUND_SQL = with_(BASE, _SAMPLE, _NEAR.format(f="min", x=_SQD, t="sm", c=_OTHER), f"far AS (SELECT max(sqrt({_SQD})) AS far FROM (SELECT i % 100 AS x, (i * 7 + 3) % 100 AS y FROM (SELECT unnest(range(0, 200)) AS i)) p JOIN sm a ON a.item_id = x JOIN sm b ON b.item_id = y)", select="SELECT round(1 - (SELECT avg(sqrt(best)) FROM nn) / far, 6) AS redundancy FROM far")
+REDUND_SQL = with_(
+    BASE, _SAMPLE, _near("min", _SQD, "sm", "sm", _OTHER),
+    f"li AS (SELECT v, row_number() OVER (ORDER BY {h('item_id', 42)}, item_id) - 1 AS i FROM sm)",
+    f"pr AS (SELECT {h('j', 43)} % (SELECT count(*) FROM sm) AS x, {h('j', 44)} % (SELECT count(*) FROM sm) AS y FROM (SELECT unnest(range(0, {metrics.PAIRS})) AS j))",
+    f"far AS (SELECT max(sqrt({_SQD})) AS far FROM pr JOIN li a ON a.i = x JOIN li b ON b.i = y)",
+    select="SELECT round(1 - (SELECT avg(sqrt(best)) FROM nn) / far, 6) AS redundancy FROM far",
+)
 
 
 def memory(spark: SparkSession, d: str) -> DataFrame:
@@ -189,20 +190,19 @@ RATIO_SQL = with_(BASE, QUERIES, POS, FIFO_K, _TRUTH, _FOUND, select="SELECT rou
 
 def evaluation_row(spark: SparkSession, d: str) -> DataFrame:
     """One flat row of every metric of a kept set."""
-    kept = _kept(spark, d)
-    items = kept.select("item_id", "v", "label")
-    parts = [metrics.distribution(_recall(spark, d)), query_coverage(spark, d), metrics.cluster_coverage(items, 10), k_center(spark, d), cosine_radius(spark, d), kept.agg(F.count(F.lit(1)).alias("n")).select("n", *metrics.memory_footprint(F.col("n"), DIM, 8, 10))]
+    kept, q = _kept(spark, d), ask(spark, d)
+    truth, found = knn.exact(q, base(spark, d), K), knn.exact(q, kept.select("item_id", "v"), K)
+    n = kept.agg(F.count(F.lit(1)).alias("n")).select("n", *metrics.memory_footprint(F.col("n"), DIM, 8, 10))
+    multi = [metrics.recall(truth, found, k).agg(F.avg("recall").alias(f"recall_at_{k}")) for k in (1, 5, 10)]
+    parts = [metrics.distribution(metrics.recall(truth, found, K)), *multi, metrics.coverage(truth, kept, K), metrics.cluster_coverage(kept, 10), metrics.k_center_radius(base(spark, d), kept), metrics.cosine_radius(base(spark, d), kept), metrics.intra_distance(kept), metrics.cosine_stats(kept), n]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(F.broadcast(p))  # one row each
     return _round_all(out)
 
 
-def _scalar(sql: str) -> str:
-    return f"({sql})"
-
-
-EVAL_SQL = "SELECT * FROM " + ", ".join(_scalar(x) for x in (DIST_SQL, COVER_SQL, ENTROPY_SQL, KCENTER_SQL, CRADIUS_SQL, MEMORY_SQL))
+_MULTI_ROW = with_(BASE, QUERIES, POS, FIFO_K, _TRUTH, _FOUND, select="SELECT " + ", ".join(f"(SELECT round(avg(recall), 6) FROM ({_rc(k)})) AS recall_at_{k}" for k in (1, 5, 10)))
+EVAL_SQL = "SELECT * FROM " + ", ".join(f"({x})" for x in (DIST_SQL, _MULTI_ROW, COVER_SQL, ENTROPY_SQL, KCENTER_SQL, CRADIUS_SQL, INTRA_SQL, CSTATS_SQL, MEMORY_SQL))
 
 
 def bucket_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -249,11 +249,14 @@ DRIFT_SQL = with_(BASE, select="SELECT row_number() OVER (ORDER BY label, item_i
 BOUND_SQL = with_(BASE, select="SELECT label, min(pos) AS first_pos, max(pos) AS last_pos FROM (SELECT label, row_number() OVER (ORDER BY label, item_id) - 1 AS pos FROM e) GROUP BY label")
 
 
+N_SAMPLE = 5_000
+
+
 def query_sample(spark: SparkSession, d: str) -> DataFrame:
-    return ask(spark, d).select("query_id")
+    return streams.query_sample(base(spark, d), N_SAMPLE).select("query_id")
 
 
-SAMPLE_SQL = with_(BASE, QUERIES, select="SELECT query_id FROM q")
+SAMPLE_SQL = with_(BASE, select=f"SELECT item_id AS query_id FROM e ORDER BY {h('item_id', 42)}, item_id LIMIT {N_SAMPLE}")
 
 
 def footprint_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -343,10 +346,12 @@ STEADY_SQL = with_(BASE, POS, SIG, machine(B, "median"), "z AS (SELECT label AS
 
 
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
-    return reports.snapshots(signed(spark, d), [100, 250, 500])
+    """Histograms after a tenth, half and all of the stream."""
+    n = base(spark, d).count()
+    return reports.snapshots(signed(spark, d), [n // 10, n // 2, n])
 
 
-SNAP_SQL = with_(BASE, POS, SIG, select="SELECT checkpoint, occupancy, count(*) AS buckets FROM (SELECT cp::BIGINT AS checkpoint, t, bucket, count(*) AS occupancy FROM buckets, (SELECT unnest([100, 250, 500]) AS cp) WHERE pos < cp GROUP BY ALL) GROUP BY ALL")
+SNAP_SQL = with_(BASE, POS, SIG, select="SELECT checkpoint, occupancy, count(*) AS buckets FROM (SELECT cp::BIGINT AS checkpoint, t, bucket, count(*) AS occupancy FROM buckets, (SELECT unnest([count(*) // 10, count(*) // 2, count(*)]) AS cp FROM s) WHERE pos < cp GROUP BY ALL) GROUP BY ALL")
 
 
 ENTRIES = {

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftkeep.functions import hashing
 from driftkeep.functions.vectors import normalized, rounded
 from driftkeep.operators import knn, streams
-from driftkeep.plans.fragments import BASE, BITS, DIM, N_QUERIES, POS, QUERIES, SIG, TABLES, top, with_
+from driftkeep.plans.fragments import BASE, BITS, DIM, EVERY, POS, QUERIES, SIG, TABLES, top, with_
 from driftkeep.sources.readers import vectors
 
 K = 10
@@ -19,7 +19,7 @@ def base(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ask(spark: SparkSession, d: str) -> DataFrame:
-    return streams.query_sample(base(spark, d), N_QUERIES)
+    return base(spark, d).filter(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), F.col("v").alias("q"))
 
 
 def stream(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +94,7 @@ def _z(seed: int, source: str, key: str, vector: str) -> str:
 
 def _filed(name: str, source: str, key: str, vector: str, n: int) -> str:
     union = " UNION ALL ".join(_z(42 + t, source, key, vector) for t in range(LT))
-    return f"z{name} AS ({union}), {name} AS (SELECT {key}, tb, (2 * i + (z < 0)::BIGINT)::BIGINT AS bucket, probe FROM (SELECT *, row_number() OVER (PARTITION BY {key}, tb ORDER BY abs(z) DESC, i) AS probe FROM z{name}) WHERE probe <= {n})"
+    return f"z{name} AS ({union}), {name} AS (SELECT {key}, tb, (2 * i + (z < 0)::BIGINT)::BIGINT AS bucket, probe, abs(z) AS strength FROM (SELECT *, row_number() OVER (PARTITION BY {key}, tb ORDER BY abs(z) DESC, i) AS probe FROM z{name}) WHERE probe <= {n})"
 
 
 def cross_polytope(spark: SparkSession, d: str) -> DataFrame:
@@ -126,12 +126,30 @@ MULTI_SQL = with_(BASE, QUERIES, _CAND, f"f AS ({top(_L2, K, 'cv')})", select=pl
 RERANK_SQL = with_(BASE, QUERIES, _CAND, "b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY list_inner_product(qv, v) DESC, item_id) AS n FROM cv) WHERE n <= 15)", f"f AS ({top(_L2, K, 'b')})", select=plain())
 
 
+CAP, ALPHA = 50, 0.1
+
+
 def multi_index(spark: SparkSession, d: str) -> DataFrame:
-    pairs = knn.multiprobe_candidates(ask(spark, d), base(spark, d), DIM, tables=LT, n_probes=LP, base_probes=2, bucket_cap=10)
-    return pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
+    """Top-k from a thinned index: items under two buckets, a bucket keeps the 50 nearest to its axis or a tenth, if that is more."""
+    return show(knn.multiprobe(ask(spark, d), base(spark, d), K, DIM, tables=LT, n_probes=LP, base_probes=2, bucket_cap=CAP, alpha=ALPHA))
+
 
+def total_probes(spark: SparkSession, d: str) -> DataFrame:
+    """Top-k with a budget of probes over all tables."""
+    return show(knn.multiprobe(ask(spark, d), base(spark, d), K, DIM, tables=LT, total_probes=LT * LP))
 
-MULTI_INDEX_SQL = with_(BASE, QUERIES, _filed("fe", "e", "item_id", "v", 2), _filed("fq", "q", "query_id", "q.q", LP), "cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tb, bucket ORDER BY item_id) AS n FROM fe) WHERE n <= 10)", select="SELECT query_id, count(DISTINCT item_id) AS candidates FROM fq JOIN cap USING (tb, bucket) GROUP BY query_id")
+
+_CV = "cv AS (SELECT c.query_id, c.item_id, q.q AS qv, e.v FROM c JOIN q USING (query_id) JOIN e USING (item_id))"
+MULTI_INDEX_SQL = with_(
+    BASE, QUERIES, _filed("fe", "e", "item_id", "v", 2), _filed("fq", "q", "query_id", "q.q", LP),
+    f"cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tb, bucket ORDER BY strength DESC, item_id) AS n, count(*) OVER (PARTITION BY tb, bucket) AS m FROM fe) WHERE n <= greatest({CAP}, ceil(m * {ALPHA}::DOUBLE)))",
+    "c AS (SELECT DISTINCT query_id, item_id FROM fq JOIN cap USING (tb, bucket))", _CV, f"f AS ({top(_L2, K, 'cv')})", select=plain(),
+)
+TOTAL_SQL = with_(
+    BASE, QUERIES, _filed("fe", "e", "item_id", "v", 1), _filed("fa", "q", "query_id", "q.q", 2 * DIM),
+    f"fq AS (SELECT * FROM fa QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY probe > 1, strength DESC, tb, probe) <= {LT * LP})",
+    "c AS (SELECT DISTINCT query_id, item_id FROM fq JOIN fe USING (tb, bucket))", _CV, f"f AS ({top(_L2, K, 'cv')})", select=plain(),
+)
 
 
 def routed(spark: SparkSession, d: str) -> DataFrame:
@@ -218,6 +236,6 @@ SPOT_SQL = with_(BASE, QUERIES, _CAND, f"t AS ({top('list_inner_product(q.q, e.v
 
 ENTRIES = {f"knn_{m}_topk": exact(m) for m in ("ip", "l2", "cosine")} | {
     "knn_unique_topk": (unique, UNIQUE_SQL), "hamming_topk": (hamming, HAMMING_SQL), "fwht": (fwht, FWHT_SQL), "cross_polytope_hash": (cross_polytope, CROSS_SQL), "probe_sequence": (probe_sequence, PROBE_SQL),
-    "multiprobe_topk": (multiprobe, MULTI_SQL), "multiprobe_rerank_topk": (multiprobe_rerank, RERANK_SQL), "multi_index_probe": (multi_index, MULTI_INDEX_SQL), "ivf_topk": (routed, ROUTED_SQL), "pq_adc_topk": (pq, PQ_SQL),
+    "multiprobe_topk": (multiprobe, MULTI_SQL), "multiprobe_rerank_topk": (multiprobe_rerank, RERANK_SQL), "multi_index_probe": (multi_index, MULTI_INDEX_SQL), "total_probe_topk": (total_probes, TOTAL_SQL), "ivf_topk": (routed, ROUTED_SQL), "pq_adc_topk": (pq, PQ_SQL),
     "signature_jaccard_pairs": (jaccard_pairs, JACCARD_SQL), "simhash_signature": (simhash, SIMHASH_SQL), "normalize_vectors": (normalize, NORMALIZE_SQL), "center_vectors": (center, CENTER_SQL), "jl_project": (jl, _jl_sql()), "knn_spot_check": (spot_check, SPOT_SQL),
 }

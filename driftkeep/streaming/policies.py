@@ -8,6 +8,7 @@ across batches arrival order is the order. Checkpoints restore it exactly.
 from __future__ import annotations
 
 import pickle
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -24,16 +25,16 @@ class RecentItems:
     """First in, first out, with its decision log."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.kept = capacity, []
+        self.capacity, self.kept = capacity, deque()
 
     def offer(self, pos: int, item_id: int, payload: Any) -> tuple[bool, float, int | None]:
         self.kept.append(pos)
-        return True, 0.0, self.kept.pop(0) if len(self.kept) > self.capacity else None
+        return True, 0.0, self.kept.popleft() if len(self.kept) > self.capacity else None
 
 
 def decisions(stream: DataFrame, make: Callable[[], Machine], payload: str, key: str) -> DataFrame:
     """The decision log of a streaming DataFrame with pos, item_id, key and a payload column."""
-    schema = f"{key} long, pos long, item_id long, accepted boolean, occ double, evicted long"
+    schema = f"{key} {dict(stream.dtypes)[key]}, pos long, item_id long, accepted boolean, occ double, evicted long"
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         machine = pickle.loads(state.get[0]) if state.exists else make()
@@ -53,8 +54,7 @@ def bucket_occupancy(stream: DataFrame, capacity: int, aggregator: str = "median
     return decisions(stream, lambda: BucketOccupancy(capacity, aggregator, threshold), "sig", key)
 
 
-def run_to_end(log: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Take all that is there, and return the log so far."""
-    query = log.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return log.sparkSession.table(name)
+def run_to_end(log: DataFrame, folder: str) -> DataFrame:
+    """Take all that is there, and return the log so far; it and the checkpoint are files of a shared folder."""
+    log.writeStream.format("parquet").option("path", f"{folder}/log").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return log.sparkSession.read.schema(log.schema).parquet(f"{folder}/log")

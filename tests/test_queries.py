@@ -48,7 +48,7 @@ def test_capacity_edges(spark):
 
 def test_empty_kept_set(spark):
     none = spark.createDataFrame([], "item_id long, v array<double>")
-    probe = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, q array<double>")
+    probe = spark.createDataFrame([(0, [1.0, 0.0])], "item_id long, v array<double>")
     assert metrics.k_center_radius(probe, none).first()[0] == math.inf
     assert metrics.cosine_radius(probe, none).first()[0] == 2.0
 
