@@ -277,7 +277,7 @@ def test_topk(spark):
 def test_pseudonyms(spark, nothing):
     text = "c 4041894974608795 4041-8949-7460-8795 4041894974608796 +1 (988) 555-2485 1.2.3.4 300.1.1.1 a.b1@x.org 123-45-6789 2024-02-29 2023-02-30 GB82WEST12345698765432"
     df = spark.createDataFrame([(0, text, 1), (1, text, 1), (2, None, 1), (3, "", 1), (4, "plain", 1)], "doc_id long, text string, n_pseudonyms int")
-    got = {r.doc_id: r for r in feistel_pii.pseudonymize(df).collect()}
+    got = {r.doc_id: r for r in feistel_pii.pseudonymize(df, "k1").collect()}
     a = got[0].text
     assert a == got[1].text and got[0].n_pseudonyms_ == 8 and got[2].text is None and got[3].text == "" and got[4].text == "plain"
     assert "4041894974608795" not in a and "4041894974608796" in a and "300.1.1.1" in a and "2023-02-30" in a and "123-45-6789" not in a
@@ -287,8 +287,8 @@ def test_pseudonyms(spark, nothing):
     assert (sum(luhn[0::2]) + sum(d * 2 - 9 * (d > 4) for d in luhn[1::2])) % 10 == 0
     iban = a.split()[-1]
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
-    assert feistel_pii.pseudonymize(df, key="other").filter("doc_id = 0").first().text != a
-    assert feistel_pii.pseudonymize(nothing).count() == 0
+    assert feistel_pii.pseudonymize(df, "other").filter("doc_id = 0").first().text != a
+    assert feistel_pii.pseudonymize(nothing, "k1").count() == 0
 
 
 def test_numbers_beside_others(spark):
@@ -300,14 +300,61 @@ def test_numbers_beside_others(spark):
     ]
     same = ["1 " * 9000, "12" * 9000, "AA11" * 9000, "4111 1111 1111 1112 12", "x-4111111111111111", "4111111111111111-x", "AB12 WORD WORD WORD ABC"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate([t for t, _ in texts] + same)], "doc_id long, text string")
-    got = {r.doc_id: r for r in feistel_pii.pseudonymize(df).collect()}
+    got = {r.doc_id: r for r in feistel_pii.pseudonymize(df, "k1").collect()}
     for i, (t, values) in enumerate(texts):
         assert got[i].n_pseudonyms == len(values) and not any(v in got[i].text for v in values), (t, got[i].text)
     for i, t in enumerate(same[1:], len(texts) + 1):
         assert got[i].text == t and got[i].n_pseudonyms == 0
 
 
+def one_to_one(texts):
+    """Texts, pseudonyms and restored texts that differ from the first, as counts; and the pseudonyms."""
+    out = feistel_pii.restore(feistel_pii.pseudonymize(texts.withColumn("was", F.col("text")), "k1").withColumn("made", F.col("text")), "k1")
+    out = out.select("was", "made", "text").persist()
+    got = out.agg(F.countDistinct("was"), F.countDistinct("made"), F.sum((F.col("text") != F.col("was")).cast("long")), F.min(F.length("made") == F.length("was"))).first()
+    moved = out.filter("made <> was").count()
+    out.unpersist()
+    return tuple(got), moved
+
+
 def test_dates_are_permuted_one_to_one(spark):
-    days = spark.range(36525).select(F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
-    out = feistel_pii.pseudonymize(days.withColumn("doc_id", F.lit(1))).agg(F.countDistinct("text"), F.min("text"), F.max("text")).first()
-    assert tuple(out) == (36525, "1950-01-01", "2049-12-31")
+    days = spark.range(36525 + 36524).select(F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    forms = [days.select(F.date_format("d", f).alias("text")) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy")]
+    forms.append(days.filter("day(d) > 12").select(F.date_format("d", "dd/MM/yyyy").alias("text")))
+    texts = forms[0]
+    for f in forms[1:]:
+        texts = texts.unionByName(f)
+    n = texts.count()
+    (was, made, wrong, same), moved = one_to_one(texts)
+    assert (was, made, wrong, same) == (n, n, 0, True) and moved > 0.999 * n
+
+
+@pytest.mark.parametrize("kind", ["ssn", "ipv4", "phone", "card", "email", "iban"])
+def test_kinds_are_permuted_one_to_one(spark, kind):
+    rng, n = random.Random(3), 3000
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def card():
+        body = "411111" + digits(9)
+        s = sum(d * 2 - 9 * (d > 4) if i % 2 == 0 else d for i, d in enumerate(int(c) for c in reversed(body)))
+        return body + str(-s % 10)
+
+    def iban():
+        bban = "WEST" + digits(14)
+        return f"GB{98 - int(''.join(str(int(c, 36)) for c in bban + 'GB00')) % 97:02}{bban}"
+
+    make = {
+        "ssn": lambda: f"{rng.choice([*range(1, 666), *range(667, 900)]):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}", "ipv4": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        "phone": lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{digits(4)}", "card": card, "email": lambda: f"{rng.choice('abcXYZ')}{digits(2)}.q{digits(1)}@x.org", "iban": iban,
+    }[kind]
+    texts = sorted({make() for _ in range(n)})
+    (was, made, wrong, _), moved = one_to_one(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert (was, made, wrong) == (len(texts), len(texts), 0) and moved > 0.98 * len(texts)
+
+
+def test_the_key_is_in_no_plan(spark):
+    df = feistel_pii.pseudonymize(spark.createDataFrame([(1, "4041894974608795")], "doc_id long, text string"), "some-secret-key")
+    df.collect()
+    assert "some-secret-key" not in df._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        feistel_pii.pseudonymize(df, "")
