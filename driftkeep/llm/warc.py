@@ -28,10 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftkeep.llm.shared import fresh_dir
+from driftkeep.llm.shared import bounded, fresh_dir, stash
 from driftkeep.llm.tables import table
 
-FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 128 << 20, 6
+FRAME_BYTES, BUNDLE_BYTES, TASK_BYTES, LEVEL = 1 << 20, 128 << 20, 16 << 20, 6
 #: Fixed values of the Zstandard seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Fixed value of WARC 1.1.
@@ -146,9 +146,9 @@ def with_kind(pages: DataFrame, min_revisit: int) -> DataFrame:
     """page_id, url, html, sha1 and the page_id of the response that a row revisits (else null)."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("sha1"))
-    # Partial sums meet per payload, so copies don't gather; single payloads don't come back.
+    # Partial sums meet per payload, so copies don't gather; single payloads don't come back, and payloads stay where they are while those met twice are few.
     twice = rows.filter(F.length("html") >= min_revisit).groupBy("sha1").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & F.col("top").isNotNull()).select("sha1", "top")
-    found = rows.join(twice, "sha1", "left")
+    found = rows.join(bounded(stash(twice, "warc-copies"), 250_000), "sha1", "left")
     return found.withColumn("refers_to", F.when(F.col("top").isNotNull() & ~F.col("top").eqNullSafe(F.col("page_id")), F.col("top"))).drop("top")
 
 
@@ -219,9 +219,14 @@ def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
-    """Every record of the indexed bundles: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    frames = index.groupBy("bundle", "frame").agg(F.count(F.lit(1)).alias("n"))
-    return frames.select("bundle", "frame").mapInPandas(_reader, PAGES)
+    """Every record of the indexed bundles: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    The frames are dealt to a task for each TASK_BYTES of records, neighbours together.
+    """
+    frames = index.groupBy("bundle", "frame").agg(F.sum("length").alias("n"))
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // TASK_BYTES))
+    return frames.select("bundle", "frame").repartitionByRange(tasks, "bundle", "frame").mapInPandas(_reader, PAGES)
 
 
 def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:

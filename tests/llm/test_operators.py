@@ -246,13 +246,20 @@ def test_warc(spark):
     assert warc.read_bundles(warc.write_bundles(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
-def test_lines(spark, nothing):
+@pytest.mark.parametrize("lines", [line_dedup.BROADCAST_LINES, 0])
+def test_lines(spark, nothing, monkeypatch, lines):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", lines)
     rows = [(i, f"menu\n{prose(5)}\n\nfoot  ", "a", 3) for i in range(12)] + [(20, "menu\nmenu", "b", 3), (21, None, "a", 3), (22, "menu", "a", 3), (23, "menu", None, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines int")
     got = {r.doc_id: r for r in line_dedup.dedup_lines(df, 0.5, 10).collect()}
     assert got[0].text.count("\n") == 1 and "menu" not in got[0].text and got[0]["n_lines_"] == 4 and got[0].n_dropped == 2
     assert got[20].text == "menu\nmenu" and got[21].text is None and got[22].text == "" and got[23].text == "menu"
     assert line_dedup.dedup_lines(nothing).count() == 0
+    clash = df.withColumnsRenamed({"n_lines": "__drop"}).withColumn("__host", F.lit(1)).withColumn("__kept", F.lit(2))
+    out = line_dedup.dedup_lines(clash, 0.5, 10, once=True)
+    assert set(clash.columns) < set(out.columns) and {r.doc_id: r.text for r in out.collect()} == {i: r.text for i, r in got.items()}
+    long = spark.createDataFrame([(i, "menu\n" + f"own {i} " * 200_000, "a") for i in range(10)], "doc_id long, text string, source string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(long, 0.5, 10).collect()} == {i: f"own {i} " * 200_000 for i in range(10)}
 
 
 def test_topk(spark):
