@@ -9,12 +9,14 @@ counted token by token.
 
 A document is contaminated by an item if at least IDENTITY of a run of
 max(MIN_TOKENS, COVER of the item's tokens) consecutive aligned tokens agree
-(all tokens of shorter items). MASKS is such that any 13 aligned tokens with up
-to two substitutions, wherever they are, hold a hit of one mask.
+(all tokens of shorter items). MASKS, and SHORT_MASKS for items of under
+MIN_TOKENS tokens, are such that every run that this accepts holds a hit of one
+mask, wherever its substitutions are; a test proves it for all lengths to 300.
 
-The benchmark's hashes are broadcast if there are at most BROADCAST_WINDOWS of
-them, which is counted first; beyond that hits come from an equi-join on the
-hash, and only documents with hits meet items.
+The benchmark's hashes are broadcast, which are counted first: at most
+BROADCAST_WINDOWS of them at a time. A larger benchmark is dealt into as many
+parts, and the documents are read once for each, so neither a common seed nor a
+pair of long texts is ever exchanged.
 
 Defined results: null or empty texts have no tokens and no matches. An item of
 fewer than SPAN tokens is matched as a whole, exactly. Each (doc_id, item_id)
@@ -32,12 +34,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftkeep.llm.shared import bounded, free_name, stash
 from driftkeep.llm.tables import table
 from driftkeep.llm.words import NON_ALNUM, batch_words, doc_words, mix
 
 #: 1 counts, 0 is ignored. Found by search: every placing of 2
-#: substitutions in 13 tokens, 3 in 16 or 4 in 20 leaves some mask a hit.
-MASKS = ("111111", "11101011", "101101011", "1010110011", "11010001011")
+#: substitutions in 13 tokens, 3 in 15, 4 in 20 or 5 in 25 leaves some mask a hit,
+#: and of 1 in 6 or 2 in 10 some short mask.
+MASKS = ("111111", "1110111", "11101011", "101101011", "1010110011", "11010001011")
+SHORT_MASKS = ("1111", "11011")
 SPAN = 6
 MIN_TOKENS, COVER, IDENTITY = 13, 0.5, 0.8
 BROADCAST_WINDOWS = 4_000_000
@@ -45,9 +50,10 @@ PAIRS = "doc_id long, item_id long, n_matched long, n_aligned long, n_item_token
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def seeds(h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def seeds(h: np.ndarray, masks: tuple[str, ...] = MASKS) -> Iterator[tuple[int, np.ndarray]]:
     """For each mask its number and the hash of every window of a token sequence."""
-    for m, mask in enumerate(MASKS):
+    for mask in masks:
+        m = (MASKS + SHORT_MASKS).index(mask)
         n = len(h) - len(mask) + 1
         if n > 0:
             x = np.full(n, m + 1, np.uint64)
@@ -83,13 +89,15 @@ class Seeds:
     """The benchmark's hashes, sorted, with the items and positions they come from."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.items = items
+        self.items, self.masks = items, ()
         hs, its, pos = [], [], []
         self.short: dict[int, list[int]] = defaultdict(list)
         for k, (_, h) in enumerate(items):
             if 0 < len(h) < SPAN:
                 self.short[len(h)].append(k)
-            for _, x in seeds(h):
+            masks = MASKS if len(h) >= MIN_TOKENS else SHORT_MASKS if len(h) >= SPAN else ()
+            self.masks += tuple(m for m in masks if m not in self.masks)
+            for _, x in seeds(h, masks):
                 hs.append(x)
                 its.append(np.full(len(x), k))
                 pos.append(np.arange(len(x)))
@@ -118,7 +126,7 @@ class Seeds:
     def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
         """(item, diagonal) of every hit in a token sequence around which enough tokens agree."""
         found: set[tuple[int, int]] = set()
-        for _, x in seeds(h):
+        for _, x in seeds(h, self.masks):
             at = np.flatnonzero(self.seen[x >> np.uint64(42)])
             if not len(at):
                 continue
@@ -173,69 +181,34 @@ def contaminated_pairs(docs: DataFrame, bench: DataFrame, broadcast_windows: int
     """doc_id, item_id, n_matched, n_aligned, n_item_tokens of every contaminated pair."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bench = bench.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    if _window_count(bench) <= broadcast_windows:
-        items = [(r.item_id, tokens(r.text)) for r in bench.collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = Seeds(shared.value)
-            for pdf in batches:
-                yield _matches(pdf, index)
-
-        found = docs.mapInPandas(scan, PAIRS)
-    else:
-        found = _joined_pairs(docs, bench)
+    parts = max(1, -(-_window_count(bench) // broadcast_windows))
+    found = _scan(docs, bench) if parts == 1 else None
+    for i in range(parts if parts > 1 else 0):
+        part = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i)
+        now = stash(_scan(docs, part), "decon-part")
+        found = now if found is None else found.unionByName(now)
     best = F.max(F.struct("n_matched", "n_aligned", "n_item_tokens")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
-def _hashes(name: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for key, text in zip(pdf[name], pdf.text, strict=True):
-                h = tokens(text)
-                xs = [x for _, x in seeds(h)]
-                if 0 < len(h) < SPAN:
-                    xs = []
-                if xs:
-                    yield pd.DataFrame({name: key, "seed": np.unique(np.concatenate(xs)).view(np.int64)})
-
-    return run
-
+def _scan(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """The matches of a part of the benchmark that is small enough to broadcast."""
+    items = [(r.item_id, tokens(r.text)) for r in bench.collect()]
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
-def _joined_pairs(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """For a benchmark too large to broadcast: an equi-join on seeds, then each pair's texts side by side."""
-    from driftkeep.llm.shared import stash
-
-    keyed = stash(docs.withColumn("row", F.monotonically_increasing_id()), "decon-docs")
-    left = keyed.select("row", "text").mapInPandas(_hashes("row"), "row long, seed long")
-    right = bench.mapInPandas(_hashes("item_id"), "item_id long, seed long")
-    pairs = left.join(right, "seed").select("row", "item_id").distinct()
-    both = pairs.join(keyed, "row").join(bench.select("item_id", F.col("text").alias("item_text")), "item_id")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = Seeds(shared.value)
         for pdf in batches:
-            for doc_id, item_id, text, item in zip(pdf.doc_id, pdf.item_id, pdf.text, pdf.item_text, strict=True):
-                yield _matches(pd.DataFrame({"doc_id": [doc_id], "text": [text]}), Seeds([(item_id, tokens(item))]))
-
-    exact = both.select("doc_id", "item_id", "text", "item_text").mapInPandas(verify, PAIRS)
-    # Items too short for a seed are few tokens each and are compared as whole strings of tokens.
-    short = bench.filter(F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([A-Za-z0-9\x{80}-\x{10ffff}]+)"), 0)).between(1, SPAN - 1))
-    if short.isEmpty():
-        return exact
-    grams = lambda c: F.transform(F.regexp_extract_all(F.translate(F.coalesce(c, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([a-z0-9\x{80}-\x{10ffff}]+)"), 0), lambda x: x)
-    few = short.select("item_id", grams("text").alias("w"))
-    size = F.explode(F.sequence(F.lit(1), F.lit(SPAN - 1)))
-    spans = keyed.select("doc_id", grams("text").alias("w")).select("doc_id", "w", size.alias("k")).filter(F.size("w") >= F.col("k"))
-    spans = spans.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.slice("w", i, F.col("k"))))).alias("w"))
-    n = F.size("w").cast("long")
-    return exact.unionByName(spans.join(few, "w").select("doc_id", "item_id", n.alias("n_matched"), n.alias("n_aligned"), n.alias("n_item_tokens")))
+            yield _matches(pdf, index)
+
+    return docs.mapInPandas(scan, PAIRS)
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The documents without any contaminated pair. A null doc_id stays."""
-    bad = contaminated_pairs(docs, bench).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
+    bad = free_name("bad", docs)
+    found = stash(contaminated_pairs(docs, bench).select(F.col("doc_id").alias(bad)).distinct(), "decon-bad")
+    return docs.join(bounded(found), docs["doc_id"] == F.col(bad), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

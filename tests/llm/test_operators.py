@@ -199,19 +199,67 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 if i <= 40 else 50 if i == 51 else i for i in range(60)}
 
 
-@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WINDOWS, -1])
+def fewest_substitutions(masks, n_max):
+    """For n aligned tokens up to n_max the fewest substitutions that leave no mask a hit: a walk over the last tokens' agreement."""
+    span = max(map(len, masks))
+    kinds, best, out = [(len(m), int(m, 2)) for m in masks], {0: 0}, [0]
+    for n in range(1, n_max + 1):
+        after = {}
+        for last, cost in best.items():
+            for same in (0, 1):
+                w = (last << 1 | same) & ((1 << span) - 1)
+                if not any(n >= size and w & m == m for size, m in kinds):
+                    k = w & ((1 << span - 1) - 1)
+                    after[k] = min(after.get(k, 10**6), cost + 1 - same)
+        best = after
+        out.append(min(best.values()))
+    return out
+
+
+def test_seeds_find_all_that_the_rule_accepts():
+    allowed = lambda n: n - int(np.ceil(decontaminate.IDENTITY * n - 1e-9))
+    long, short = fewest_substitutions(decontaminate.MASKS, 300), fewest_substitutions(decontaminate.SHORT_MASKS, 12)
+    assert all(long[n] > allowed(n) for n in range(decontaminate.MIN_TOKENS, 301))
+    assert all(short[n] > allowed(n) for n in range(decontaminate.SPAN, 13))
+
+
+def brute_leaks(docs, items):
+    out, words = {}, lambda t: re.findall("[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    for i, d in docs:
+        for j, t in items:
+            x, y = words(d), words(t)
+            need = decontaminate.needed(len(y))
+            for diagonal in range(-len(y) + 1, len(x)) if y else ():
+                same = [x[p + diagonal] == w if 0 <= p + diagonal < len(x) else None for p, w in enumerate(y)]
+                for at in range(len(y) - need + 1):
+                    run = same[at : at + need]
+                    if None not in run and sum(run) >= (decontaminate.IDENTITY * need if len(y) >= decontaminate.SPAN else need):
+                        out[i, j] = max(out.get((i, j), (0, 0, 0)), (sum(run), need, len(y)))
+    return {(*k, *v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WINDOWS, 900])
 def test_leaks(spark, limit):
-    items = [prose(30), prose(14), prose(3), None, ""]
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    swapped = items[0].split()
-    swapped[4], swapped[15], swapped[22] = "qqq", "rrr", "sss"
-    docs = [prose(50) + " " + items[0].upper() + ", " + prose(20), "zz " + " ".join(swapped) + " yy", prose(60), items[1], None, "", " ".join(items[0].split()[:9]), "k " + items[2] + " l"]
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)] + [(None, docs[0], 1), (0, docs[0], 1)], "doc_id long, text string, item_id long")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(df, bench, limit).collect()}
-    assert got >= {(0, 0), (1, 0), (3, 1), (7, 2), (None, 0)} and not {d for d, _ in got} & {2, 4, 5, 6}
+    rng = random.Random(6)
+    items = [(j, prose(n)) for j, n in enumerate([3, 5, 6, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 20, 26, 29, 30, 30, 36, 41, 50])] + [(90, None), (91, "")]
+    docs = [(100 + i, prose(rng.randint(0, 60))) for i in range(20)] + [(200, None), (201, ""), (202, items[14][1].upper() + "!"), (203, prose(1500) + " " + items[20][1])]
+    for i in range(160):
+        words = items[i % 21][1].split()
+        for at in rng.sample(range(len(words)), min(len(words), rng.choice([0, 1, len(words) // 6, len(words) // 5, len(words) // 4]))):
+            words[at] = f"x{rng.getrandbits(20)}"
+        cut = rng.choice([0, 0, len(words) // 3])
+        docs.append((1000 + i, " ".join([prose(rng.randint(0, 9)), *words[cut:], prose(rng.randint(0, 9))])))
+    df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, item_id long").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(docs, items)
+    assert len(want) > 60 and set(map(tuple, decontaminate.contaminated_pairs(df, bench, limit).collect())) == want
+    both = df.unionByName(df.filter("doc_id = 202").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(df.filter("doc_id = 202"))
+    got = set(map(tuple, decontaminate.contaminated_pairs(both, bench, limit).collect()))
+    assert got == want | {(None, *x[1:]) for x in want if x[0] == 202}
     assert decontaminate.contaminated_pairs(df.limit(0), bench, limit).count() == 0
     assert decontaminate.contaminated_pairs(df, bench.limit(0), limit).count() == 0
-    assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {2, 4, 5, 6, None}
+    clash = both.withColumnsRenamed({"item_id": "bad"})
+    assert {r.doc_id for r in decontaminate.drop_contaminated(clash, bench).collect()} == {i for i, _ in docs} - {x[0] for x in want} | {None}
 
 
 def test_toxicity(spark, nothing):
