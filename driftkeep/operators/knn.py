@@ -19,7 +19,7 @@ from driftkeep.operators import blocks
 BROADCAST_QUERIES, GROUP_ROWS = 10_000, 100_000
 
 
-def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", item: str = "item_id", ascending: bool = False) -> DataFrame:
+def top_k(scored: DataFrame, k: int, by: str | list[str] = "query_id", score: str = "score", item: str = "item_id", ascending: bool = False) -> DataFrame:
     """rank 1 to k per query, ties to the smaller item."""
     order = [F.asc(score) if ascending else F.desc(score), F.asc(item)]
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long")).filter(F.col("rank") <= k)
@@ -68,7 +68,7 @@ def hamming(queries: DataFrame, base: DataFrame, k: int, n_bits: int, dim: int,
     return top_k(both.select("query_id", "item_id", hashing.hamming(F.col("c_q"), F.col("c_v")).alias("score")), k, ascending=True)
 
 
-def _tables(df: DataFrame, vector: str, dim: int, tables: int, rotations: int, seed: int, n_probes: int, keep: list[Column]) -> DataFrame:
+def probed(df: DataFrame, vector: str, dim: int, tables: int, rotations: int, seed: int, n_probes: int, keep: list[Column]) -> DataFrame:
     """One row per table and probed bucket, with the place in the table's probe order and the strength, the coordinate's magnitude."""
     buckets = hashing.probe_udf(dim, tables, rotations, seed, n_probes)(F.col(vector))
     return df.select(*keep, F.explode(buckets).alias("t")).select(*keep, "t.table", "t.bucket", "t.probe", "t.strength")
@@ -86,7 +86,7 @@ def multiprobe_candidates(queries: DataFrame, base: DataFrame, dim: int, tables:
     whole buckets.
     """
     rotations = rotations or (2 if dim <= 128 else 1)
-    filed = _tables(base, "v", dim, tables, rotations, seed, base_probes, [F.col("item_id")])
+    filed = probed(base, "v", dim, tables, rotations, seed, base_probes, [F.col("item_id")])
     if bucket_cap:
         bucket = Window.partitionBy("table", "bucket")
         filed = filed.withColumn("n", F.row_number().over(bucket.orderBy(F.desc("strength"), "item_id"))).withColumn("m", F.count(F.lit(1)).over(bucket))
@@ -95,7 +95,7 @@ def multiprobe_candidates(queries: DataFrame, base: DataFrame, dim: int, tables:
         if total_probes < tables:
             raise ValueError("a probe a table is the least")
         n_probes = min(total_probes - tables + 1, 2 * hashing.power_of_two(dim))
-    asked = _tables(queries, "q", dim, tables, rotations, seed, n_probes, [F.col("query_id")])
+    asked = probed(queries, "q", dim, tables, rotations, seed, n_probes, [F.col("query_id")])
     if total_probes is not None:
         order = Window.partitionBy("query_id").orderBy(F.col("probe") > 0, F.desc("strength"), "table", "probe")
         asked = asked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= total_probes)

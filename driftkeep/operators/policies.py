@@ -54,8 +54,9 @@ def reservoir(df: DataFrame, capacity: int, salt: int = 42, key: str | None = No
     return _first(df, capacity, hash32("pos", salt), F.col("pos"), key=key)
 
 
-def bernoulli(df: DataFrame, capacity: int, stream_size: int, salt: int = 42) -> DataFrame:
-    """Each item with probability B/N; the count only tends to B."""
+def bernoulli(df: DataFrame, capacity: int, stream_size: int | None = None, salt: int = 42) -> DataFrame:
+    """Each item with probability B/N, N being counted if it isn't given; the count only tends to B."""
+    stream_size = df.count() if stream_size is None else stream_size
     return df.filter(hash01("pos", salt) < F.lit(capacity / stream_size))
 
 
@@ -68,8 +69,8 @@ def fill_occupancy(df: DataFrame, tables: int, key: str | None = None) -> DataFr
     return counts.groupBy("pos", *keys).agg(F.min("n").alias("occ_min"), F.max("n").alias("occ_max"), F.avg("n").alias("occ_mean"), F.median("n").alias("occ_median"))
 
 
-def run_machine(df: DataFrame, make: Callable[[], machines.Machine], payload: str, key: str) -> DataFrame:
-    """The decision log of one state machine per key, in order of pos."""
+def run_machine(df: DataFrame, make: Callable[[object], machines.Machine], payload: str, key: str) -> DataFrame:
+    """The decision log of one state machine per key, which ``make`` makes for the key, in order of pos."""
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,7 +79,7 @@ def run_machine(df: DataFrame, make: Callable[[], machines.Machine], payload: st
             out = []
             for k, pos, item, x in zip(pdf[key], pdf.pos, pdf.item_id, pdf[payload], strict=True):
                 if machine is None or k != current:
-                    machine, current = make(), k
+                    machine, current = make(k), k
                 out.append((k, pos, item, *machine.offer(int(pos), int(item), x)))
             yield pd.DataFrame(out, columns=[key, "pos", "item_id", "accepted", "occ", "evicted"]).astype({"evicted": "Int64"})
 
@@ -90,19 +91,34 @@ def bucket_occupancy(df: DataFrame, capacity: int, aggregator: str = "median", t
     """Decision log of the bucket-occupancy policy over a column ``sig`` of buckets."""
     _budget(df, capacity)
     machines.check_aggregator(aggregator)
-    return run_machine(df, lambda: machines.BucketOccupancy(capacity, aggregator, threshold, id_mode), "sig", key)
+    return run_machine(df, lambda _: machines.BucketOccupancy(capacity, aggregator, threshold, id_mode), "sig", key)
 
 
 def semantic_dedup(df: DataFrame, capacity: int, epsilon: float = 0.1, key: str = "key") -> DataFrame:
     """Decision log of greedy deduplication over unit vectors ``v``: reject above similarity 1 - epsilon."""
     _budget(df, capacity)
-    return run_machine(df, lambda: machines.SemanticDedup(capacity, epsilon), "v", key)
+    return run_machine(df, lambda _: machines.SemanticDedup(capacity, epsilon), "v", key)
+
+
+def occupancy_grid(df: DataFrame, cells: list[tuple[str, int, float | None]], key: str = "key") -> DataFrame:
+    """Decision logs of bucket occupancy for every cell (aggregator, capacity, threshold) of a grid, in one exchange: ``cell`` is its place in the list."""
+    for aggregator, capacity, _ in cells:
+        _budget(df, capacity)
+        machines.check_aggregator(aggregator)
+    each = df.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(len(cells) - 1)))).withColumn("stream", F.concat_ws("|", "cell", key))
+
+    def make(stream: str) -> machines.Machine:
+        aggregator, capacity, threshold = cells[int(stream.split("|", 1)[0])]
+        return machines.BucketOccupancy(capacity, aggregator, threshold)
+
+    log = run_machine(each, make, "sig", "stream")
+    return log.withColumn("cell", F.split("stream", r"\|")[0].cast("int"))
 
 
 def reservoir_r(df: DataFrame, capacity: int, seed: int = 42, key: str = "key") -> DataFrame:
     """Decision log of the classic replacement reservoir with a seeded generator per stream."""
     _budget(df, capacity)
-    return run_machine(df.withColumn("payload", F.lit(0)), lambda: machines.ReplacingReservoir(capacity, seed), "payload", key)
+    return run_machine(df.withColumn("payload", F.lit(0)), lambda _: machines.ReplacingReservoir(capacity, seed), "payload", key)
 
 
 def kept(log: DataFrame, key: str = "key") -> DataFrame:

@@ -68,6 +68,37 @@ def remaining(grid: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return grid.join(done, keys, "left_anti")
 
 
+def renamed(df: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
+    """The rows whose value is named, under its new name."""
+    return df.filter(F.col(column).isin(list(names))).replace(names, subset=[column])
+
+
+def by_budget(df: DataFrame, budget: str, columns: list[str]) -> DataFrame:
+    """Budgets in order with the mean of each column, 0 for columns that are missing or null."""
+    value = lambda c: F.coalesce(F.avg(c), F.lit(0.0)) if c in df.columns else F.lit(0.0)
+    return df.groupBy(budget).agg(*[value(c).alias(c) for c in columns]).orderBy(budget)
+
+
+def scatter(df: DataFrame, method: str, value: str, x: str, y: str) -> DataFrame:
+    """Two columns of one method's rows."""
+    return df.filter(F.col(method) == value).select(x, y)
+
+
+def histogram_bins(values: DataFrame, column: str, most: int = 50) -> DataFrame:
+    """bin, start, stop, n over [0, p99 + 1] in at most ``most`` bins; empty bins have 0, values beyond lie in none, the last bin has its end."""
+    top = values.agg(F.percentile(column, F.lit(0.99)).alias("p")).select((F.col("p") + 1).alias("top"), F.least(F.lit(most), F.floor(F.col("p") + 1)).cast("long").alias("bins")).filter("top is not null")
+    inside = values.join(F.broadcast(top)).filter((F.col(column) >= 0) & (F.col(column) <= F.col("top")))
+    n = inside.groupBy(F.least(F.floor(F.col(column) * F.col("bins") / F.col("top")), F.col("bins") - 1).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    axis = top.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)))
+    width = F.col("top") / F.col("bins")
+    return axis.join(n, "bin", "left").select("bin", (F.col("bin") * width).alias("start"), ((F.col("bin") + 1) * width).alias("stop"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def midpoints(windows: DataFrame, width: int, n: int) -> DataFrame:
+    """The windows with the middle of what they hold of a stream of ``n``."""
+    return windows.withColumn("middle", (F.col("start") + F.least(F.col("start") + width, F.lit(n))) / 2)
+
+
 def budget_grid(spark, n: int, policies: list[str], fractions: list[float], costly: dict[str, float], full_only: list[str]) -> DataFrame:
     """policy, fraction, capacity; costly policies up to their fraction only, the full budget for some policies only."""
     rows = [(p, f, max(int(n * f), 5)) for f in fractions for p in policies if f <= costly.get(p, 1.0) and (f < 1.0 or p in full_only)]

@@ -22,13 +22,18 @@ def numbers(rows) -> str:
     return "[" + ", ".join("[" + ", ".join(repr(float(x)) for x in r) + "]" for r in rows) + "]"
 
 
-#: Signatures of the stream: one bucket a table, first bit most significant.
-SIG = f"""planes AS (SELECT unnest({numbers(hyperplanes(TABLES, BITS, DIM))}) AS w, generate_subscripts({numbers(hyperplanes(TABLES, BITS, DIM))}, 1) - 1 AS i),
-bits AS (SELECT pos, item_id, label, v, i // {BITS} AS t, (list_inner_product(v, w::DOUBLE[]) > 0)::BIGINT * (1 << ({BITS - 1} - i % {BITS})) AS b FROM s, planes),
+def sig_sql(tables: int, bits: int) -> str:
+    """Signatures of the stream: one bucket a table, first bit most significant."""
+    planes = numbers(hyperplanes(tables, bits, DIM))
+    return f"""planes AS (SELECT unnest({planes}) AS w, generate_subscripts({planes}, 1) - 1 AS i),
+bits AS (SELECT pos, item_id, label, v, i // {bits} AS t, (list_inner_product(v, w::DOUBLE[]) > 0)::BIGINT * (1 << ({bits - 1} - i % {bits})) AS b FROM s, planes),
 buckets AS (SELECT pos, item_id, label, t, sum(b)::BIGINT AS bucket FROM bits GROUP BY ALL),
 g AS (SELECT pos, item_id, label, list(bucket ORDER BY t) AS sig, row_number() OVER (PARTITION BY label ORDER BY pos) AS i FROM buckets GROUP BY pos, item_id, label)"""
 
 
+SIG = sig_sql(TABLES, BITS)
+
+
 def top(score: str, k: int, source: str, order: str = "DESC") -> str:
     return f"SELECT * FROM (SELECT query_id, item_id, {score} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {score} {order}, item_id) AS rank FROM {source}) WHERE rank <= {k}"
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftkeep.functions.vectors import rounded
-from driftkeep.operators import knn, metrics, policies, reports
+from driftkeep.operators import knn, metrics, policies, qa, reports
 from driftkeep.plans.fragments import BASE, BITS, DIM, TABLES, h, with_
 from driftkeep.plans.search import base, signed
 from driftkeep.sources.readers import embed
@@ -76,14 +76,40 @@ _ANSWERS = "an AS (SELECT conv_id, pos, CASE WHEN length(p) > 0 AND (contains(p,
 ANSWERS_SQL = with_(TURNS, _ANSWERS, select="SELECT conv_id, pos, score FROM an")
 
 
-def _results(spark: SparkSession, d: str) -> DataFrame:
-    """policy, budget, accuracy, correct, total per conversation: answers within the last part of a conversation."""
-    a = answers(spark, d).withColumn("policy", F.when(F.col("conv_id") % 2 == 0, "FIFO").otherwise("Reservoir")).withColumn("budget", F.when(F.col("pos") <= 4, 0.25).otherwise(1.0))
-    g = a.groupBy("policy", "budget", "conv_id").agg(F.sum("score").cast("long").alias("correct"), F.count(F.lit(1)).alias("total"))
-    return g.withColumn("accuracy", F.col("correct") / F.col("total"))
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    t = embed(turns(spark, d), dim=16)
+    asked = qa.questions(turns(spark, d)).join(t.select("conv_id", F.col("pos").alias("query_id"), F.col("v").alias("q")), ["conv_id", "query_id"])
+    memory = t.select("conv_id", F.col("pos").alias("item_id"), "v", F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("line"))
+    return qa.answered(asked, memory, qa.kept_turns(turns(spark, d)))
 
 
-_RESULTS = "re AS (SELECT CASE WHEN conv_id % 2 = 0 THEN 'FIFO' ELSE 'Reservoir' END AS policy, CASE WHEN pos <= 4 THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END AS budget, conv_id, sum(score)::BIGINT AS correct, count(*) AS total, sum(score) / count(*) AS accuracy FROM an GROUP BY ALL)"
+def qa_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Score of every question under every policy and budget."""
+    return _answers(spark, d)
+
+
+def qa_results(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each conversation, policy and budget."""
+    return _round(qa.accuracy(_answers(spark, d)))
+
+
+_QA = [
+    TURNS,
+    "wd AS (SELECT conv_id, pos, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM tn)",
+    "sl AS (SELECT conv_id, pos, ('0x' || substr(md5(w), 1, 8))::BIGINT % 16 AS k, count(*)::DOUBLE AS n FROM wd GROUP BY ALL)",
+    "nm AS (SELECT conv_id, pos, k, n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, pos)) AS x FROM sl)",
+    "qs AS (SELECT conv_id, pos AS qid, answer FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS answer FROM tn WINDOW w AS (PARTITION BY conv_id ORDER BY pos)) WHERE role = 'user' AND nr = 'assistant')",
+    f"rk AS (SELECT conv_id, pos, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) AS fr, row_number() OVER (PARTITION BY conv_id ORDER BY {h("(conv_id || ':' || pos)", 42)}, pos) AS rr FROM tn)",
+    f"kq AS (SELECT policy, fraction, conv_id, pos FROM rk, (SELECT unnest(['FIFO', 'Reservoir']) AS policy), (SELECT unnest([0.1::DOUBLE, 0.25, 0.5, 1.0]) AS fraction) WHERE CASE policy WHEN 'FIFO' THEN fr ELSE rr END <= greatest(floor(n * fraction), {qa.LEAST}))",
+    "ds AS (SELECT a.conv_id, a.pos AS qid, b.pos, sum(a.x * b.x) AS s FROM nm a JOIN nm b ON a.conv_id = b.conv_id AND a.k = b.k GROUP BY ALL)",
+    "sq AS (SELECT qs.conv_id, qs.qid, tn.pos, role || ': ' || text AS line, round(coalesce(s, 0), 9) AS s FROM qs JOIN tn USING (conv_id) LEFT JOIN ds ON ds.conv_id = qs.conv_id AND ds.qid = qs.qid AND ds.pos = tn.pos)",
+    f"nr AS (SELECT policy, fraction, conv_id, qid, line, row_number() OVER (PARTITION BY policy, fraction, conv_id, qid ORDER BY s DESC, pos) AS rank FROM sq JOIN kq USING (conv_id, pos) QUALIFY rank <= {qa.CONTEXT})",
+    "cx AS (SELECT policy, fraction, conv_id, qid, lower(trim(string_agg(line, chr(10) ORDER BY rank))) AS p FROM nr GROUP BY ALL)",
+    "an AS (SELECT policy, fraction, conv_id, qid AS query_id, CASE WHEN length(p) > 0 AND (contains(p, lower(trim(answer))) OR contains(lower(trim(answer)), p)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM cx JOIN qs USING (conv_id, qid))",
+]
+_RESULTS = "re AS (SELECT policy, fraction AS budget, conv_id, sum(score)::BIGINT AS correct, count(*) AS total, sum(score) / count(*) AS accuracy FROM an GROUP BY ALL)"
+QA_ANSWERS_SQL = with_(*_QA, select="SELECT * FROM an")
+QA_RESULTS_SQL = with_(*_QA, _RESULTS, select="SELECT policy, budget, conv_id, correct, total, round(accuracy, 6) AS accuracy FROM re")
 
 
 def _round(df: DataFrame) -> DataFrame:
@@ -91,17 +117,17 @@ def _round(df: DataFrame) -> DataFrame:
 
 
 def qa_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return _round(reports.macro_micro(_results(spark, d)))
+    return _round(reports.macro_micro(qa.accuracy(_answers(spark, d))))
 
 
-QA_SQL = with_(TURNS, _ANSWERS, _RESULTS, select="SELECT policy, budget, round(avg(accuracy), 6) AS macro, round(sum(correct) / sum(total)::DOUBLE, 6) AS micro, round(stddev_samp(accuracy) / sqrt(count(*)), 6) AS standard_error FROM re GROUP BY ALL")
+QA_SQL = with_(*_QA, _RESULTS, select="SELECT policy, budget, round(avg(accuracy), 6) AS macro, round(sum(correct) / sum(total)::DOUBLE, 6) AS micro, round(stddev_samp(accuracy) / sqrt(count(*)), 6) AS standard_error FROM re GROUP BY ALL")
 
 
 def budget_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return _round(reports.macro_pivot(_results(spark, d), ["FIFO", "Reservoir"]))
+    return _round(reports.macro_pivot(qa.accuracy(_answers(spark, d)), ["FIFO", "Reservoir"]))
 
 
-PIVOT_SQL = with_(TURNS, _ANSWERS, _RESULTS, select="SELECT budget, round(avg(accuracy) FILTER (WHERE policy = 'FIFO'), 6) AS \"FIFO\", round(avg(accuracy) FILTER (WHERE policy = 'Reservoir'), 6) AS \"Reservoir\" FROM re GROUP BY budget")
+PIVOT_SQL = with_(*_QA, _RESULTS, select="SELECT budget, round(avg(accuracy) FILTER (WHERE policy = 'FIFO'), 6) AS \"FIFO\", round(avg(accuracy) FILTER (WHERE policy = 'Reservoir'), 6) AS \"Reservoir\" FROM re GROUP BY budget")
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +232,7 @@ def _same_as_batch() -> str:
 
 
 ENTRIES = {
-    "conversation_turns": (conversation_turns, TURNS_SQL), "conversation_kept": (conversation_kept, CKEPT_SQL), "conversation_retrieve": (retrieve, _retrieved()), "answer_score": (answers, ANSWERS_SQL), "qa_accuracy_macro_micro": (qa_accuracy, QA_SQL), "budget_pivot": (budget_pivot, PIVOT_SQL),
+    "conversation_turns": (conversation_turns, TURNS_SQL), "conversation_kept": (conversation_kept, CKEPT_SQL), "conversation_retrieve": (retrieve, _retrieved()), "answer_score": (answers, ANSWERS_SQL), "qa_answers": (qa_answers, QA_ANSWERS_SQL), "qa_results": (qa_results, QA_RESULTS_SQL), "qa_accuracy_macro_micro": (qa_accuracy, QA_SQL), "budget_pivot": (budget_pivot, PIVOT_SQL),
     "pareto_frontier": (pareto, PARETO_SQL), "confusion_rates": (confusion, CONFUSION_SQL), "budget_grid": (budget_grid, GRID_SQL), "resume_antijoin": (resume, RESUME_SQL), "latency_percentiles": (latency, LATENCY_SQL), "time_shares": (time_shares, SHARES_SQL),
     "bernoulli_lineitem": (bernoulli_lineitem, LINEITEM_SQL), "user_fifo": (user_fifo, USER_SQL), "streaming_fifo": (streaming_fifo, STREAM_FIFO_SQL), "streaming_bucket_occupancy": (streaming_bucket_occupancy, _same_as_batch()),
 }

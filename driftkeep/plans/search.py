@@ -46,13 +46,18 @@ def exact(metric: str):
     return run, with_(BASE, QUERIES, f"f AS ({top(score, K, 'q, e')})", select=plain())
 
 
-DUP_SQL = """n AS (SELECT count(*) AS n, (count(*) * 0.5 / 0.5)::BIGINT AS extra FROM e),
+def dup_sql(rate: float) -> str:
+    return f"""n AS (SELECT count(*) AS n, floor(count(*) * {rate}::DOUBLE / (1 - {rate}::DOUBLE))::BIGINT AS extra FROM e),
 draws AS (SELECT d, ('0x' || substr(md5('42:' || d::VARCHAR), 1, 8))::BIGINT % n AS src FROM n, (SELECT unnest(range(0, (SELECT extra FROM n))) AS d)),
 cp AS (SELECT s.item_id, s.v, s.label, true AS is_dup, d + n AS seq FROM draws JOIN s ON s.pos = src, n),
 al AS (SELECT item_id, v, label, false AS is_dup, pos AS seq FROM s UNION ALL SELECT * FROM cp),
 dup AS (SELECT item_id, v, label, is_dup, row_number() OVER (ORDER BY ('0x' || substr(md5('43:' || seq::VARCHAR), 1, 8))::BIGINT, seq) - 1 AS pos FROM al)"""
 
 
+DUP_SQL = dup_sql(0.5)
+
+
+
 def unique(spark: SparkSession, d: str) -> DataFrame:
     return show(knn.exact_unique(ask(spark, d), streams.with_duplicates(base(spark, d), 0.5), K))
 

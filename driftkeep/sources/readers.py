@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 from collections.abc import Iterator
 
@@ -11,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftkeep.functions.hashing import hash32
 from driftkeep.functions.vectors import doubles, normalized
+from driftkeep.sources.files import open_file
 
 #: A conversation file: sessions by name, each a list of turns, and questions.
 TURN = T.StructType([T.StructField(x, T.StringType()) for x in ("speaker", "text", "dia_id")])
@@ -27,21 +30,49 @@ def vectors(spark: SparkSession, path: str, id_column: str = "vec_id", vector_co
 
 
 def npy_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """pos, v of .npy matrices; each file is one task, rows stream out in blocks."""
+    """path, pos (row of its file) and v of .npy matrices; each file is one task, rows stream out in blocks."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for content in pdf.content:
+            for name, content in zip(pdf.path, pdf.content, strict=True):
                 a = np.load(io.BytesIO(content), allow_pickle=False)
                 for at in range(0, len(a), 4096):
-                    yield pd.DataFrame({"pos": np.arange(at, min(at + 4096, len(a))), "v": list(a[at : at + 4096].astype(np.float64))})
+                    yield pd.DataFrame({"path": name, "pos": np.arange(at, min(at + 4096, len(a))), "v": list(a[at : at + 4096].astype(np.float64))})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "pos long, v array<double>")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "path string, pos long, v array<double>")
 
 
-def write_npy(df: DataFrame, path: str, column: str = "v") -> None:
-    """One .npy matrix of a bounded result, in row order of ``pos``."""
-    np.save(path, np.array([r[0] for r in df.orderBy("pos").select(column).collect()]))
+def write_npy(df: DataFrame, folder: str, column: str = "v") -> DataFrame:
+    """path, first_pos and n_rows of .npy matrices, one for each range of ``pos``, each in its order and written by its own task.
+
+    A repeated task writes a file of its own; those that count are listed in what is returned, which is kept in the folder.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        ctx, held = TaskContext.get(), []
+        for pdf in batches:
+            held.append((pdf.pos.to_numpy(), np.stack(pdf[column]) if len(pdf) else np.empty((0, 0))))
+        held = [x for x in held if len(x[0])]
+        if held:
+            path = f"{folder}/vectors-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.npy"
+            content = io.BytesIO()
+            np.save(content, np.concatenate([v for _, v in held]))
+            with open_file(path, "wb") as f:
+                f.write(content.getvalue())
+            yield pd.DataFrame({"path": [path], "first_pos": [held[0][0][0]], "n_rows": [sum(len(p) for p, _ in held)]})
+
+    spark = df.sparkSession
+    ranges = df.select("pos", column).repartitionByRange("pos").sortWithinPartitions("pos")
+    spark.createDataFrame([], "x int").write.mode("ignore").parquet(folder)  # makes the folder, by Spark's own file system
+    ranges.mapInPandas(write, "path string, first_pos long, n_rows long").write.parquet(f"{folder}/written")
+    return spark.read.parquet(f"{folder}/written")
+
+
+def sampled_passages(df: DataFrame, n: int, column: str = "passages", salt: int = 42) -> DataFrame:
+    """The passages of n rows drawn without replacement, by the smallest seeded hash of the row id."""
+    return passages(df.orderBy(hash32("id", salt), "id").limit(n), column)
 
 
 def passages(df: DataFrame, column: str = "passages", limit: int | None = None, unique: bool = False) -> DataFrame:
@@ -56,9 +87,21 @@ def passages(df: DataFrame, column: str = "passages", limit: int | None = None,
 def embed(df: DataFrame, text: str = "text", dim: int = 64, out: str = "v") -> DataFrame:
     """A hashing-trick embedding: words counted by md5 slot, normalised; stands in for a text model."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(F.col("__slots"), lambda s: s == i)).cast("double"))
-    return df.withColumn("__slots", slots).withColumn("__v", counts).withColumn(out, normalized(F.col("__v"))).drop("__slots", "__v")
+
+    @F.pandas_udf("array<double>")
+    def counts(column: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+
+        def slot(w: str) -> int:
+            if w not in known:
+                if len(known) > 100_000:
+                    known.clear()
+                known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim
+            return known[w]
+
+        return pd.Series([np.bincount([slot(w) for w in ws], minlength=dim).astype(np.float64) if len(ws) else np.zeros(dim) for ws in column])
+
+    return df.withColumn("__v", counts(words)).withColumn(out, normalized(F.col("__v"))).drop("__v")
 
 
 def dialogue_turns(spark: SparkSession, path: str) -> DataFrame:
@@ -98,7 +141,13 @@ def method_results(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A bounded report table as Markdown."""
-    rows = df.limit(limit).collect()
+    """A bounded report table as Markdown; with recall and qps columns the best row by each stands above it."""
     line = lambda xs: "| " + " | ".join(map(str, xs)) + " |"
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *(line(r) for r in rows)])
+    table = lambda rows: [line(df.columns), line(["---"] * len(df.columns)), *(line(r) for r in rows)]
+    best = [f"Best by {c}:\n\n" + "\n".join(table(df.orderBy(F.desc_nulls_last(c), *df.columns).limit(1).collect())) + "\n" for c in ("recall", "qps") if c in df.columns]
+    return "\n".join([*best, *table(df.limit(limit).collect())])
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines."""
+    df.write.mode("overwrite").json(path)
