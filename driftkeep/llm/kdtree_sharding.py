@@ -4,10 +4,14 @@ Space is cut recursively: each open node is split along its widest metadata
 dimension at a weighted quantile, until a leaf holds the target bytes. All
 open nodes of a level are split at once; the quantile is found by radix
 descent over integer coordinates, with one small partial aggregation per
-digit, so no row is sorted, collected or sent to one task.
-
-Defined results: a null text has 0 bytes (size = overhead) and the crc32 of
-the empty string. Null metadata sorts first in its dimension. Ties on a
+digit, so no row is sorted, collected or sent to one task. Nodes, quantiles and
+cuts are tables beside the rows, broadcast while they are counted to be small,
+so neither plan nor driver grows with the shards; rows of finished leaves are
+not read again.
+
+A text dimension is measured by the rank of its whole value among the distinct
+ones. Defined results: a null text has 0 bytes (size = overhead) and the crc32
+of the empty string. Null metadata sorts first in its dimension. Ties on a
 coordinate are broken by the text's crc32, so copies stay together where a
 boundary permits, then by a row number, so that a group of equal texts of any
 size can be cut and repeated rows are kept one by one. An empty table gives an
@@ -16,14 +20,13 @@ empty result. Only the named columns are read, so extra columns can't clash.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftkeep.llm.shared import stash
+from driftkeep.llm.shared import bounded, fresh_dir, stash
 from driftkeep.llm.tables import table
+from driftkeep.operators.streams import positions
 
 #: Bits of a coordinate: of its dimension, of the text's crc32, of the row number's hash.
 DIM_BITS, CRC_BITS, ROW_BITS = 20, 32, 10
@@ -33,34 +36,19 @@ DIGIT_BITS = 16
 OVERHEAD = 16
 
 
-@dataclass(frozen=True)
-class Node:
-    """An open node: its number, first shard, number of shards and bytes."""
-
-    node: int
-    first: int
-    shards: int
-    weight: int
-
-
-def _numeric(df: DataFrame, name: str) -> Column:
-    """A metadata column as a number; text by its first six bytes, in order."""
-    if isinstance(df.schema[name].dataType, T.StringType):
-        head = F.rpad(F.hex(F.encode(F.substring(F.col(name), 1, 6), "UTF-8")), 12, "0")
-        return F.conv(F.substring(head, 1, 12), 16, 10).cast("double")
-    return F.col(name).cast("double")
-
-
 def metadata(docs: DataFrame, dims: list[str]) -> DataFrame:
-    """One narrow row per document: id, size, crc32, row number and the raw dimensions."""
+    """One narrow row per document: id, size, crc32, row number and the dimensions as numbers, text as ranks."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text).cast("long") + OVERHEAD).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.monotonically_increasing_id().alias("__row"),
-        *[(F.octet_length(text).cast("double") if d == "bytes" else _numeric(docs, d)).alias(f"__raw{i}") for i, d in enumerate(dims)],
-    )
+    is_text = lambda d: d != "bytes" and isinstance(docs.schema[d].dataType, T.StringType)
+    raw = lambda d: F.octet_length(text).cast("double") if d == "bytes" else F.col(d) if is_text(d) else F.col(d).cast("double")
+    meta = docs.select("doc_id", (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("__row"), *[raw(d).alias(f"__raw{i}") for i, d in enumerate(dims)])
+    meta = stash(meta, "kd-meta")
+    for i, d in enumerate(dims):
+        if is_text(d):
+            name = f"__raw{i}"
+            ranks = positions(meta.select(name).filter(F.col(name).isNotNull()).distinct(), F.col(name)).select(F.col(name).alias("__value"), (F.col("pos") + 1).cast("double").alias("__rank"))
+            meta = meta.join(bounded(ranks, 100_000), F.col(name) == F.col("__value"), "left").withColumn(name, F.coalesce("__rank", F.lit(0.0))).drop("__value", "__rank")
+    return meta
 
 
 def coordinates(meta: DataFrame, n_dims: int) -> DataFrame:
@@ -76,56 +64,66 @@ def coordinates(meta: DataFrame, n_dims: int) -> DataFrame:
     return out.drop(*[f"__raw{i}" for i in range(n_dims)])
 
 
-def _by_node(values: dict[int, int | None], key: Column | None = None) -> Column:
-    """A literal map over the open nodes (at most the number of shards) applied to the node column."""
-    pairs = [x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast("long"))]
-    return F.element_at(F.create_map(*pairs), key if key is not None else F.col("__node"))
-
-
-def split_level(df: DataFrame, nodes: list[Node], n_dims: int, slack: int) -> tuple[DataFrame, list[Node]]:
-    """Split every node of more than one shard; the weights left and right are as its shares of shards."""
-    live = [n for n in nodes if n.shards > 1 and n.weight > 0]
-    if not live:
-        return df, []
-    inside = df.filter(F.col("__node").isin([n.node for n in live]))
-    spans = {r["__node"]: r for r in inside.groupBy("__node").agg(*[(F.max(F.shiftright(f"__k{i}", CRC_BITS + ROW_BITS)) - F.min(F.shiftright(f"__k{i}", CRC_BITS + ROW_BITS))).alias(f"w{i}") for i in range(n_dims)]).collect()}
-    live = [n for n in live if n.node in spans]
-    dim = {n.node: max(range(n_dims), key=lambda i: (spans[n.node][f"w{i}"], -i)) for n in live}
-    chosen = F.element_at(F.array(*[F.col(f"__k{i}") for i in range(n_dims)]), (_by_node(dim) + 1).cast("int"))
-    keyed = inside.select("__node", "size", chosen.alias("__key"))
-    # Descent: prefix[n] is what is known of the cut, below[n] the weight under it.
-    want = {n.node: n.weight * (n.shards // 2) // n.shards for n in live}
-    prefix, below, known, open_ = {n.node: 0 for n in live}, {n.node: 0 for n in live}, 0, {n.node for n in live}
-    cut: dict[int, int] = {}
-    while open_ and known < KEY_BITS:
+def open_nodes(df: DataFrame, n_dims: int) -> DataFrame:
+    """Nodes of more than one shard: __node, dim (the widest, the first of equals) and want, the bytes for the left part's shards."""
+    span = lambda i: F.max(F.shiftright(f"__k{i}", CRC_BITS + ROW_BITS)) - F.min(F.shiftright(f"__k{i}", CRC_BITS + ROW_BITS))
+    nodes = df.groupBy("__node", "__shards").agg(F.sum("size").alias("weight"), F.array(*[span(i) for i in range(n_dims)]).alias("spans"))
+    half, n = F.floor(F.col("__shards") / 2).cast("long"), F.col("__shards").cast("long")
+    each = F.floor(F.col("weight") / n).cast("long")
+    want = each * half + F.floor((F.col("weight") - each * n) * half / n).cast("long")
+    return nodes.select("__node", (F.array_position("spans", F.array_max("spans")) - 1).cast("int").alias("dim"), want.alias("want"))
+
+
+def _key(n_dims: int):
+    return F.element_at(F.array(*[F.col(f"__k{i}") for i in range(n_dims)]), F.col("dim") + 1)
+
+
+def cuts(df: DataFrame, nodes: DataFrame, n_dims: int, slack: int) -> DataFrame:
+    """__node, dim, cut: keys under the cut go left. A descent fixes DIGIT_BITS of every node's quantile at a time.
+
+    A node is done when the bin that its quantile lies in has at most ``slack`` bytes: the whole bin goes to the side that leaves the smaller error.
+    """
+    keyed = df.select("__node", "size", *[f"__k{i}" for i in range(n_dims)])
+    state = nodes.select("__node", "dim", "want", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
+    known, done = 0, None
+    while known < KEY_BITS:
         step = min(DIGIT_BITS, KEY_BITS - known)
         shift = KEY_BITS - known - step
-        part = keyed.filter(F.col("__node").isin(list(open_)))
+        part = keyed.join(bounded(state, 250_000), "__node").withColumn("__key", _key(n_dims))
         if known:
-            part = part.filter(F.shiftright("__key", KEY_BITS - known) == _by_node({k: prefix[k] for k in open_}))
-        bins = part.groupBy("__node", F.shiftright("__key", shift).alias("__bin")).agg(F.sum("size").alias("w"))
+            part = part.filter(F.shiftright("__key", KEY_BITS - known) == F.col("prefix"))
+        bins = part.groupBy("__node", "dim", "want", "below", F.shiftright("__key", shift).alias("bin")).agg(F.sum("size").alias("w"))
         # At most 2**DIGIT_BITS bins of a node meet in a window.
-        run = F.sum("w").over(Window.partitionBy("__node").orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)) + _by_node({k: below[k] for k in open_})
-        at = bins.withColumn("upto", run).filter(F.col("upto") >= _by_node({k: want[k] for k in open_}))
-        for r in at.groupBy("__node").agg(F.min(F.struct("__bin", "upto", "w")).alias("x")).collect():
-            n, (b, upto, w) = r["__node"], r["x"]
-            prefix[n], below[n] = b, upto - w
-            if w <= slack or shift == 0:
-                # The whole bin goes to the side that leaves the smaller error.
-                cut[n] = (b + (upto - want[n] < want[n] - (upto - w))) << shift
-                open_.discard(n)
+        upto = F.sum("w").over(Window.partitionBy("__node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) + F.col("below")
+        at = bins.withColumn("upto", upto).filter(F.col("upto") >= F.col("want")).groupBy("__node", "dim", "want").agg(F.min(F.struct("bin", "upto", "w")).alias("x")).select("__node", "dim", "want", "x.*")
+        after = (F.col("upto") - F.col("want") < F.col("want") - (F.col("upto") - F.col("w"))).cast("long")
+        found = stash(at.select("__node", "dim", "want", F.col("bin").alias("prefix"), (F.col("upto") - F.col("w")).alias("below"), ((F.col("w") <= slack) | F.lit(shift == 0)).alias("fixed"), F.shiftleft(F.col("bin") + after, shift).alias("cut")), "kd-quantiles")
+        now = found.filter("fixed").select("__node", "dim", "cut")
+        done = now if done is None else done.unionByName(now)
+        state = found.filter("not fixed").drop("fixed", "cut")
         known += step
-    left = F.when(F.col("__here") < _by_node(cut), 2 * F.col("__node")).otherwise(2 * F.col("__node") + 1)
-    here = F.element_at(F.array(*[F.col(f"__k{i}") for i in range(n_dims)]), (_by_node(dim) + 1).cast("int"))
-    df = df.withColumn("__here", here).withColumn("__node", F.when(F.col("__node").isin(list(cut)), left).otherwise(F.col("__node"))).drop("__here")
-    df = stash(df, "kd-level")
-    weights = {r["__node"]: r["w"] for r in df.filter(F.col("__node").isin([2 * n + s for n in cut for s in (0, 1)])).groupBy("__node").agg(F.sum("size").alias("w")).collect()}
-    grown = []
-    for n in live:
-        half = n.shards // 2
-        grown.append(Node(2 * n.node, n.first, half, weights.get(2 * n.node, 0)))
-        grown.append(Node(2 * n.node + 1, n.first + half, n.shards - half, weights.get(2 * n.node + 1, 0)))
-    return df, grown
+        if state.isEmpty():
+            break
+    return done
+
+
+def split_level(df: DataFrame, n_dims: int, slack: int) -> DataFrame | None:
+    """The rows of open nodes in their halves, as a table that is filed by whether a row's node is a leaf now; None if no node is open."""
+    nodes = stash(open_nodes(df, n_dims), "kd-nodes")
+    if nodes.isEmpty():
+        return None
+    cut = cuts(df, nodes, n_dims, slack)
+    left, half = F.col("__key") < F.col("cut"), F.floor(F.col("__shards") / 2).cast("int")
+    moved = df.join(bounded(cut, 250_000), "__node").withColumn("__key", _key(n_dims))
+    moved = moved.select(
+        "doc_id", "size", "text_crc32", "__row", *[f"__k{i}" for i in range(n_dims)],
+        F.when(left, 2 * F.col("__node")).otherwise(2 * F.col("__node") + 1).alias("__node"),
+        F.when(left, F.col("__first")).otherwise(F.col("__first") + half).alias("__first"),
+        F.when(left, half).otherwise(F.col("__shards") - half).alias("__shards"),
+    )
+    path = fresh_dir(df.sparkSession, "kd-level")
+    moved.withColumn("__leaf", (F.col("__shards") == 1).cast("int")).write.partitionBy("__leaf").parquet(path)
+    return df.sparkSession.read.schema(T.StructType([*moved.schema.fields, T.StructField("__leaf", T.IntegerType())])).parquet(path)
 
 
 def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, dims: tuple[str, ...] = ("bytes", "n_chars", "lang", "source")) -> DataFrame:
@@ -135,17 +133,15 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     ``slot`` numbers the rows of a shard from 0 without gaps.
     """
     dims = [d for d in dims if d == "bytes" or d in docs.columns] or ["bytes"]
-    meta = stash(metadata(docs, dims), "kd-meta")
+    meta = metadata(docs, dims)
     total = meta.agg(F.sum("size")).first()[0] or 0
     if n_shards is None:
         n_shards = max(1, -(-total // max(1, target_bytes or 1)))
-    df = stash(coordinates(meta, len(dims)).withColumn("__node", F.lit(1).cast("long")), "kd-level")
-    open_ = [Node(1, 0, n_shards, total)]
-    leaves: dict[int, int] = {}
-    while open_:
-        leaves.update({n.node: n.first for n in open_ if n.shards == 1 or not n.weight})
-        df, open_ = split_level(df, open_, len(dims), slack=max(1, total // n_shards // 2000))
-    placed = stash(df.select("doc_id", "size", "text_crc32", "__row", _by_node(leaves).cast("int").alias("shard")), "kd-placed")
+    rows = stash(coordinates(meta, len(dims)).withColumns({"__node": F.lit(1).cast("long"), "__first": F.lit(0), "__shards": F.lit(n_shards)}), "kd-level")
+    leaves, open_ = rows.filter("__shards = 1"), rows.filter("__shards > 1")
+    while (level := split_level(open_, len(dims), slack=max(1, total // n_shards // 2000))) is not None:
+        leaves, open_ = leaves.unionByName(level.filter("__leaf = 1").drop("__leaf")), level.filter("__leaf = 0").drop("__leaf")
+    placed = stash(leaves.select("doc_id", "size", "text_crc32", "__row", F.col("__first").alias("shard")), "kd-placed")
     # Slots in two steps, so that no shard has to pass through one task: rows of a
     # read block are numbered where they are, blocks start after those before them.
     block = F.shiftright("__row", 33)

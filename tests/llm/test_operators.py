@@ -52,6 +52,36 @@ def test_shards(corpus, nothing):
     assert one.shard == 0
 
 
+def test_shards_are_a_tree_of_weighted_medians(spark):
+    """Every node of the tree, found anew from its rows: halves are apart along its widest dimension, and cut where the weight says."""
+    rng = random.Random(2)
+    rows = [(i, "x" * rng.choice([5, 50, 500, rng.randint(0, 3000)]), f"http://host.example/{rng.choice('abc')}/{rng.randint(0, 999):03}", rng.choice([None, rng.random()])) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, quality double").repartition(4)
+    dims = ("bytes", "source", "quality")
+    meta = kdtree_sharding.coordinates(kdtree_sharding.metadata(df, list(dims)), 3).collect()
+    urls = sorted({s for _, _, s, _ in rows})
+    top = kdtree_sharding.CRC_BITS + kdtree_sharding.ROW_BITS
+    source = {i: s for i, _, s, _ in rows}
+    assert all(abs((r["__k1"] >> top) - urls.index(source[r.doc_id]) * ((1 << 20) - 1) // (len(urls) - 1)) <= 1 for r in meta)
+    got = {r.doc_id: r.shard for r in kdtree_sharding.kd_shards(df, n_shards=11, dims=dims).collect()}
+    keys = {r.doc_id: (r["size"], [r[f"__k{i}"] for i in range(3)]) for r in meta}
+
+    def check(docs, first, shards):
+        assert {got[d] for d in docs} <= set(range(first, first + shards))
+        if shards == 1:
+            return
+        spans = [max(keys[d][1][i] >> top for d in docs) - min(keys[d][1][i] >> top for d in docs) for i in range(3)]
+        dim, half = spans.index(max(spans)), shards // 2
+        left, right = [d for d in docs if got[d] < first + half], [d for d in docs if got[d] >= first + half]
+        assert max(keys[d][1][dim] for d in left) < min(keys[d][1][dim] for d in right)
+        weight = lambda ds: sum(keys[d][0] for d in ds)
+        assert abs(weight(left) - weight(docs) * half / shards) <= max(keys[d][0] for d in docs)
+        check(left, first, half)
+        check(right, first + half, shards - half)
+
+    check(list(keys), 0, 11)
+
+
 def test_shards_cut_a_third_of_equal_rows(spark):
     df = spark.createDataFrame([(5, "same text")] * 100 + [(i, f"text {i:04}") for i in range(200)], "doc_id long, text string")
     n = Counter(r.shard for r in kdtree_sharding.kd_shards(df, n_shards=10).collect())
