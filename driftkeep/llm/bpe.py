@@ -32,6 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftkeep.llm.shared import map_pandas
 from driftkeep.llm.tables import table
 
 #: Bytes of text whose distinct words share one index.
@@ -235,7 +236,7 @@ def _encoder(path: str):
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded text of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_encoder(path or vocabulary_path()), ENCODED)
+    return map_pandas(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _encoder(path or vocabulary_path()), ENCODED, ("doc_id",))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -247,7 +248,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf.doc_id, "text": [tok.decode(np.frombuffer(x or b"", "<u4")) for x in pdf.ids]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return map_pandas(encoded.select("doc_id", "ids"), run, "doc_id long, text string", ("doc_id",))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

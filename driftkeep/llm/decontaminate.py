@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftkeep.llm.shared import bounded, free_name, stash
+from driftkeep.llm.shared import bounded, free_name, map_pandas, stash
 from driftkeep.llm.tables import table
 from driftkeep.llm.words import NON_ALNUM, batch_words, doc_words, mix
 
@@ -169,7 +169,7 @@ def _matches(docs_pdf: pd.DataFrame, index: Seeds) -> pd.DataFrame:
                     best[k] = got
             out += [(ids[at + doc], index.items[k][0], a, b, len(index.items[k][1])) for k, (a, b) in best.items()]
         at += n
-    return pd.DataFrame(out, columns=["doc_id", "item_id", "n_matched", "n_aligned", "n_item_tokens"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+    return pd.DataFrame(out, columns=["doc_id", "item_id", "n_matched", "n_aligned", "n_item_tokens"])
 
 
 def _window_count(bench: DataFrame) -> int:
@@ -193,7 +193,7 @@ def contaminated_pairs(docs: DataFrame, bench: DataFrame, broadcast_windows: int
 
 def _scan(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The matches of a part of the benchmark that is small enough to broadcast."""
-    items = [(r.item_id, tokens(r.text)) for r in bench.collect()]
+    items = [(None if r.item_id is None else str(r.item_id), tokens(r.text)) for r in bench.collect()]
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,7 +201,7 @@ def _scan(docs: DataFrame, bench: DataFrame) -> DataFrame:
         for pdf in batches:
             yield _matches(pdf, index)
 
-    return docs.mapInPandas(scan, PAIRS)
+    return map_pandas(docs, scan, PAIRS, ("doc_id", "item_id"))
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftkeep.llm.components import connected
-from driftkeep.llm.shared import bounded, discard, free_name, numbered, stash
+from driftkeep.llm.shared import bounded, discard, free_name, map_pandas, numbered, stash
 from driftkeep.llm.tables import table
 from driftkeep.llm.words import batch_words, mix, shingles
 
@@ -102,7 +102,7 @@ def _sketch(width: int, m: int):
                     d1[some] = np.add.reduceat(mix(v + np.uint64(11)), first)
                     d2[some] = np.add.reduceat(mix(v ^ np.uint64(0x5555555555555555)), first)
                 part = slice(at, at + n)
-                yield pd.DataFrame({"row": pdf.row.to_numpy()[part], "doc_id": pdf.doc_id.to_numpy()[part], "n_shingles": size, "d1": d1.view(np.int64), "d2": d2.view(np.int64), "sig": [s.tobytes() for s in sig]}).astype({"doc_id": "Int64"})
+                yield pd.DataFrame({"row": pdf.row.to_numpy()[part], "doc_id": pdf.doc_id.to_numpy()[part], "n_shingles": size, "d1": d1.view(np.int64), "d2": d2.view(np.int64), "sig": [s.tobytes() for s in sig]})
                 at += n
 
     return run
@@ -413,7 +413,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     ratio, m = percent / 100, collections(percent)
     agree = least_equal(percent, m * R)
     texts = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    signed = stash(texts.select("row", "doc_id", "text").mapInPandas(_sketch(width, m), SIGNED), "minhash-sig")
+    signed = stash(map_pandas(texts.select("row", "doc_id", "text"), _sketch(width, m), SIGNED, ("doc_id",)), "minhash-sig")
     classes = stash(signed.filter("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")), "minhash-classes")
     reps = stash(signed.select(F.col("row").alias("rep"), "sig", "n_shingles").join(classes.select("rep"), "rep", "left_semi"), "minhash-reps")
     keys = reps.select("rep", "sig").mapInPandas(_tables(m), "key long, rep long")

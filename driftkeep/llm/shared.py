@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _local: list[str] = []
 
@@ -55,6 +56,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def map_pandas(df: DataFrame, run, schema: str, ids: tuple[str, ...]) -> DataFrame:
+    """mapInPandas with the columns ``ids`` as text on the way, in and out: pandas would round longs above 2**53 that stand beside nulls."""
+    kinds = T.StructType.fromDDL(schema)
+    texts = T.StructType([T.StructField(f.name, T.StringType() if f.name in ids else f.dataType) for f in kinds.fields])
+    given = df.withColumns({c: F.col(c).cast("string") for c in ids if c in df.columns})
+    out = given.mapInPandas(run, texts)
+    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds.fields])
+
+
 def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """A narrow table marked for broadcast if it is counted to have at most ``rows`` rows, else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftkeep.llm.shared import numbered, stash
+from driftkeep.llm.shared import map_pandas, numbered, stash
 from driftkeep.llm.tables import table
 from driftkeep.llm.words import BYTE_VALUES, POWERS, mix
 
@@ -358,14 +358,14 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             start, stop = r[head, 0], end[np.append(head[1:] - 1, len(r) - 1)]
             kept = b"".join(data[a:b] for a, b in zip([0, *stop.tolist()], [*start.tolist(), len(data)], strict=True))
             out.append((doc_id, len(data), len(data) - len(kept), len(head), kept))
-        yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes of every row."""
     rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     runs = repeated_runs(rows.select("row", "text")).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    return rows.join(runs, "row", "left").select("doc_id", "text", "runs").mapInPandas(_cut, CUT)
+    return map_pandas(rows.join(runs, "row", "left").select("doc_id", "text", "runs"), _cut, CUT, ("doc_id",))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

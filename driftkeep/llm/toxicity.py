@@ -25,10 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftkeep.llm.boosted import Boosted, fit
+from driftkeep.llm.shared import free_name
 from driftkeep.llm.tables import table
 
 #: Bound of the labelled rows that the classifier is fitted on, and of the learned lexicon.
@@ -162,31 +164,21 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS) -> tu
 
 
 def score(docs: DataFrame, lexicon: dict[str, float], model: Boosted) -> DataFrame:
-    """The input's columns and ``toxicity``, a score from 0 to 1, in input order."""
-    given = docs.columns
-    name = "toxicity"
-    while name in given:
-        name += "_"
+    """The input's columns, which pass as they are, and ``toxicity``, a score from 0 to 1, in input order."""
+    name = free_name("toxicity", docs)
+    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(lexicon)
-        for pdf in batches:
-            x = np.array([make.of(t if isinstance(t, str) else "") for t in pdf.text]).reshape(len(pdf), N_FEATURES)
-            yield pdf.assign(**{name: model.score(x) if len(pdf) else np.empty(0)})
+        for batch in batches:
+            x = np.array([make.of(t or "") for t in batch.column(at).to_pylist()]).reshape(batch.num_rows, N_FEATURES)
+            scores = pa.array(model.score(x) if batch.num_rows else np.empty(0), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 
-    schema = docs.withColumn(name, F.lit(0.0)).schema
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lexicon, model = train(docs, table(spark, sf_dir, "labels"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make = Features(lexicon)
-        for pdf in batches:
-            x = np.array([make.of(t if isinstance(t, str) else "") for t in pdf.text]).reshape(len(pdf), N_FEATURES)
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "held_out": pdf.held_out, "score": model.score(x)})
-
-    scored = docs.withColumn("held_out", fold("doc_id") == 0).mapInPandas(run, "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = score(docs, *train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftkeep.llm.shared import bounded, fresh_dir, stash
+from driftkeep.llm.shared import bounded, fresh_dir, map_pandas, stash
 from driftkeep.llm.tables import table
 
 FRAME_BYTES, BUNDLE_BYTES, TASK_BYTES, LEVEL = 1 << 20, 128 << 20, 16 << 20, 6
@@ -167,11 +167,11 @@ def _writer(folder: str, date: str):
                     bundle = Bundle(f"{folder}/warc-{task}-{serial}.warc.zst")
                     serial += 1
                 unnamed += pd.isna(page_id)
-                name = f"urn:page:{f'null-{task}-{unnamed}' if pd.isna(page_id) else int(page_id)}"
-                data = record(name, url if isinstance(url, str) else "", bytes(html), base64.b32encode(bytes.fromhex(sha1)).decode(), None if pd.isna(refers) else f"urn:page:{int(refers)}", date)
+                name = f"urn:page:{f'null-{task}-{unnamed}' if pd.isna(page_id) else page_id}"
+                data = record(name, url if isinstance(url, str) else "", bytes(html), base64.b32encode(bytes.fromhex(sha1)).decode(), None if pd.isna(refers) else f"urn:page:{refers}", date)
                 frame, offset = bundle.add(data)
-                out.append((name, None if pd.isna(page_id) else int(page_id), bundle.path, frame, offset, len(data)))
-            yield pd.DataFrame(out, columns=["record_id", "page_id", "bundle", "frame", "offset", "length"]).astype({"page_id": "Int64"})
+                out.append((name, None if pd.isna(page_id) else page_id, bundle.path, frame, offset, len(data)))
+            yield pd.DataFrame(out, columns=["record_id", "page_id", "bundle", "frame", "offset", "length"])
         if bundle:
             bundle.close()
 
@@ -187,14 +187,14 @@ def write_bundles(pages: DataFrame, folder: str | None = None, min_revisit: int
     spark = pages.sparkSession
     folder = folder or fresh_dir(spark, "warc")
     spark.createDataFrame([], "x int").write.parquet(f"{folder}/bundles")  # makes the folder, by Spark's own file system
-    index = with_kind(pages, min_revisit).mapInPandas(_writer(f"{folder}/bundles", date), INDEX)
+    index = map_pandas(with_kind(pages, min_revisit), _writer(f"{folder}/bundles", date), INDEX, ("page_id", "refers_to"))
     index.write.option("compression", "zstd").parquet(f"{folder}/index")
     return spark.read.schema(index.schema).parquet(f"{folder}/index")
 
 
-def _number(urn: str | None) -> int | None:
+def _number(urn: str | None) -> str | None:
     tail = (urn or "").strip("<>").removeprefix("urn:page:")
-    return int(tail) if tail.lstrip("-").isdigit() else None
+    return tail if tail.lstrip("-").isdigit() else None
 
 
 def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,8 +214,7 @@ def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                                 raise ValueError(f"damaged payload in {path}, frame {i}")
                         out.append((_number(head["WARC-Record-ID"]), size, digest, kind, _number(head.get("WARC-Refers-To"))))
-                    got = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                    yield got.astype({"page_id": "Int64", "refers_to": "Int64"})
+                    yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
@@ -226,7 +225,7 @@ def read_bundles(index: DataFrame) -> DataFrame:
     frames = index.groupBy("bundle", "frame").agg(F.sum("length").alias("n"))
     total = index.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, -(-total // TASK_BYTES))
-    return frames.select("bundle", "frame").repartitionByRange(tasks, "bundle", "frame").mapInPandas(_reader, PAGES)
+    return map_pandas(frames.select("bundle", "frame").repartitionByRange(tasks, "bundle", "frame"), _reader, PAGES, ("page_id", "refers_to"))
 
 
 def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:

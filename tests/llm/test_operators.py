@@ -443,3 +443,21 @@ def test_the_key_is_in_no_plan(spark):
     assert "some-secret-key" not in df._jdf.queryExecution().toString()
     with pytest.raises(ValueError):
         feistel_pii.pseudonymize(df, "")
+
+
+def test_large_ids_beside_nulls(spark):
+    """Ids above 2**53 stay exact though null ids stand in the same batch."""
+    big = [(1 << 60) + 1, (1 << 60) + 3, None]
+    text = prose(120)
+    df = spark.createDataFrame([(i, text, text, "en", "s", [1.0, 2.0]) for i in big], "doc_id long, text string, html string, lang string, source string, embedding array<float>").coalesce(1)
+    bench = spark.createDataFrame([((1 << 61) + 1, text), (None, prose(20))], "item_id long, text string")
+    ids = lambda out, c="doc_id": {r[c] for r in out.select(c).collect()}
+    assert ids(minhash_dedup.near_duplicates(df)) == ids(bpe.encode(df)) == ids(bpe.decode(bpe.encode(df))) == ids(suffix_dedup.remove_repeats(df)) == set(big)
+    assert ids(minhash_dedup.near_duplicates(df), "component_id") == {big[0]}
+    assert ids(decontaminate.contaminated_pairs(df, bench)) == set(big) and ids(decontaminate.contaminated_pairs(df, bench), "item_id") == {(1 << 61) + 1}
+    assert ids(toxicity.score(df, *toxicity.train(df, spark.createDataFrame([], "doc_id long, toxic int")))) == set(big)
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), "html")
+    read = warc.read_bundles(warc.write_bundles(pages))
+    assert ids(read, "page_id") == set(big) and ids(read, "refers_to") == {big[1], None}
+    top = exact_topk.exact_topk(df.select(F.col("doc_id").alias("vec_id"), "embedding").unionByName(spark.createDataFrame([(1 << 60) // 50 * 50], "long").select(F.col("value").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding"))))
+    assert [r.vec_id for r in top.orderBy("rank").collect()] == big
