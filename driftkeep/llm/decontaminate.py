@@ -150,7 +150,7 @@ class Seeds:
 
 def _matches(docs_pdf: pd.DataFrame, index: Seeds) -> pd.DataFrame:
     out = []
-    texts = [(t if isinstance(t, str) else "").encode("utf-8", "replace") for t in docs_pdf.text]
+    texts = ((t if isinstance(t, str) else "").encode("utf-8", "replace") for t in docs_pdf.text)
     ids, at = docs_pdf.doc_id.to_numpy(), 0
     for n, h, off in batch_words(texts, NON_ALNUM):
         # Hits across the border of two texts of a group fall to the check of bounds.

@@ -84,7 +84,7 @@ def _sketch(width: int, m: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [(t if isinstance(t, str) else "").encode("utf-8", "replace") for t in pdf.text]
+            texts = ((t if isinstance(t, str) else "").encode("utf-8", "replace") for t in pdf.text)
             at = 0
             for n, h, off in batch_words(texts):
                 v, o = shingles(h, off, width)
