@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftkeep.llm.components import connected
-from driftkeep.llm.shared import bounded, discard, free_name, map_pandas, numbered, stash
+from driftkeep.llm.shared import bounded, discard, free_name, map_pandas, numbered, scanned, stash
 from driftkeep.llm.tables import table
 from driftkeep.llm.words import batch_words, mix, shingles
 
@@ -439,9 +439,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The first row of each component, all columns."""
+    docs = scanned(docs)
     name = free_name("row", docs)
     rows = numbered(docs, name)
-    gone = stash(near_duplicates(rows.select("doc_id", "text"), width, percent).filter("row <> first_row").select(F.col("row").alias(name)), "minhash-gone")
+    gone = stash(near_duplicates(docs.select("doc_id", "text"), width, percent).filter("row <> first_row").select(F.col("row").alias(name)), "minhash-gone")
     return rows.join(bounded(gone), name, "left_anti").drop(name)
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftkeep.operators.streams import positions
+
 _local: list[str] = []
 
 
@@ -79,12 +81,29 @@ def free_name(name: str, *tables: DataFrame) -> str:
 
 
 def numbered(df: DataFrame, name: str = "row") -> DataFrame:
-    """The rows with a number each that stays the same however often and with whichever columns they are read.
+    """The rows with a number each that stays the same however often, with whichever columns and in whichever splits they are read.
 
-    A plain scan of files keeps its order; anything else (a shuffle before,
-    rows made on the driver) is written to the shared folder first.
+    A plain scan of files numbers a row by its file and its place in it;
+    anything else (a shuffle before, rows made on the driver) is written to the
+    shared folder first.
     """
+    df = scanned(df)
+    path, file, place, at = (free_name(n, df) for n in ("__path", "__file", "__place", "__at"))
+    hashed = F.xxhash64("_metadata.file_path")
+    files = positions(df.select(F.col("_metadata.file_path").alias(path)).distinct().withColumn(file, F.xxhash64(path)), F.col(path)).select(file, F.col("pos").alias(at))
+    n, different = files.agg(F.count(file), F.countDistinct(file)).first()
+    if n != different:
+        raise ValueError("two files of one hash")
+    rows = df.withColumns({file: hashed, place: F.col("_metadata.row_index")})
+    return rows.join(bounded(files, 2_000_000), file).withColumn(name, F.shiftleft(at, 36).bitwiseOR(F.col(place))).select(*df.columns, name)
+
+
+def scanned(df: DataFrame) -> DataFrame:
+    """The table as files: itself if it is a plain scan of some, else written to the shared folder."""
+    return df if _is_scan(df) else stash(df, "rows")
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether only projections and filters lie over one relation of files, whose rows have a file and a place."""
     plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    if not all(re.match(r"[\s:+-]*(Project|Filter|Relation)\b", x) for x in plan if x.strip()):
-        df = stash(df, "rows")
-    return df.withColumn(name, F.monotonically_increasing_id())
+    return all(re.match(r"[\s:+-]*(Project|Filter|Relation)\b", x) for x in plan if x.strip()) and bool(df.inputFiles()) and "parquet" in plan[-1]

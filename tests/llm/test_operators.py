@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftkeep.llm import bpe, components, decontaminate, exact_topk, feistel_pii, kdtree_sharding, line_dedup, minhash_dedup, suffix_dedup, toxicity, warc
+from driftkeep.llm.shared import numbered
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row long, key string"
 RNG = random.Random(11)
@@ -461,3 +462,16 @@ def test_large_ids_beside_nulls(spark):
     assert ids(read, "page_id") == set(big) and ids(read, "refers_to") == {big[1], None}
     top = exact_topk.exact_topk(df.select(F.col("doc_id").alias("vec_id"), "embedding").unionByName(spark.createDataFrame([(1 << 60) // 50 * 50], "long").select(F.col("value").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding"))))
     assert [r.vec_id for r in top.orderBy("rank").collect()] == big
+
+
+def test_numbers_stay_when_splits_change(spark, tmp_path):
+    spark.range(0, 20_000, 1, 5).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text")).write.parquet(f"{tmp_path}/d")
+    df = spark.read.parquet(f"{tmp_path}/d").filter("doc_id % 3 <> 0")
+    rows, old = numbered(df), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    first = {r.doc_id: r.row for r in rows.collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    again = numbered(df.select("doc_id"))
+    assert again.rdd.getNumPartitions() > 20 and {r.doc_id: r.row for r in again.collect()} == first == {r.doc_id: r.row for r in rows.select("doc_id", "row").collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(set(first.values())) == len(first) == df.count()
+    assert numbered(df.withColumn("__path", F.lit(1)).unionByName(df.withColumn("__path", F.lit(2)))).select("row").distinct().count() == 2 * len(first)
