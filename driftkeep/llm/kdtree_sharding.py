@@ -5,8 +5,8 @@ dimension at a weighted quantile, until a leaf holds the target bytes. All
 open nodes of a level are split at once; the quantile is found by radix
 descent over integer coordinates, with one small partial aggregation per
 digit, so no row is sorted, collected or sent to one task. Nodes, quantiles and
-cuts are tables beside the rows, broadcast while they are counted to be small,
-so neither plan nor driver grows with the shards; rows of finished leaves are
+cuts are tables beside the rows, broadcast if there are at most BROADCAST_NODES
+shards, so neither plan nor driver grows with the shards; rows of finished leaves are
 not read again.
 
 A text dimension is measured by the rank of its whole value among the distinct
@@ -34,6 +34,7 @@ KEY_BITS = DIM_BITS + CRC_BITS + ROW_BITS
 #: Bits that one pass of the descent fixes.
 DIGIT_BITS = 16
 OVERHEAD = 16
+BROADCAST_NODES = 250_000
 
 
 def metadata(docs: DataFrame, dims: list[str]) -> DataFrame:
@@ -78,7 +79,7 @@ def _key(n_dims: int):
     return F.element_at(F.array(*[F.col(f"__k{i}") for i in range(n_dims)]), F.col("dim") + 1)
 
 
-def cuts(df: DataFrame, nodes: DataFrame, n_dims: int, slack: int) -> DataFrame:
+def cuts(df: DataFrame, nodes: DataFrame, n_dims: int, slack: int, near) -> DataFrame:
     """__node, dim, cut: keys under the cut go left. A descent fixes DIGIT_BITS of every node's quantile at a time.
 
     A node is done when the bin that its quantile lies in has at most ``slack`` bytes: the whole bin goes to the side that leaves the smaller error.
@@ -89,7 +90,7 @@ def cuts(df: DataFrame, nodes: DataFrame, n_dims: int, slack: int) -> DataFrame:
     while known < KEY_BITS:
         step = min(DIGIT_BITS, KEY_BITS - known)
         shift = KEY_BITS - known - step
-        part = keyed.join(bounded(state, 250_000), "__node").withColumn("__key", _key(n_dims))
+        part = keyed.join(near(state), "__node").withColumn("__key", _key(n_dims))
         if known:
             part = part.filter(F.shiftright("__key", KEY_BITS - known) == F.col("prefix"))
         bins = part.groupBy("__node", "dim", "want", "below", F.shiftright("__key", shift).alias("bin")).agg(F.sum("size").alias("w"))
@@ -107,14 +108,11 @@ def cuts(df: DataFrame, nodes: DataFrame, n_dims: int, slack: int) -> DataFrame:
     return done
 
 
-def split_level(df: DataFrame, n_dims: int, slack: int) -> DataFrame | None:
-    """The rows of open nodes in their halves, as a table that is filed by whether a row's node is a leaf now; None if no node is open."""
-    nodes = stash(open_nodes(df, n_dims), "kd-nodes")
-    if nodes.isEmpty():
-        return None
-    cut = cuts(df, nodes, n_dims, slack)
+def split_level(df: DataFrame, n_dims: int, slack: int, near) -> DataFrame:
+    """The rows of open nodes in their halves, as a table that is filed by whether a row's node is a leaf now; ``near`` marks tables of nodes for their joins."""
+    cut = cuts(df, open_nodes(df, n_dims), n_dims, slack, near)
     left, half = F.col("__key") < F.col("cut"), F.floor(F.col("__shards") / 2).cast("int")
-    moved = df.join(bounded(cut, 250_000), "__node").withColumn("__key", _key(n_dims))
+    moved = df.join(near(cut), "__node").withColumn("__key", _key(n_dims))
     moved = moved.select(
         "doc_id", "size", "text_crc32", "__row", *[f"__k{i}" for i in range(n_dims)],
         F.when(left, 2 * F.col("__node")).otherwise(2 * F.col("__node") + 1).alias("__node"),
@@ -139,7 +137,10 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
         n_shards = max(1, -(-total // max(1, target_bytes or 1)))
     rows = stash(coordinates(meta, len(dims)).withColumns({"__node": F.lit(1).cast("long"), "__first": F.lit(0), "__shards": F.lit(n_shards)}), "kd-level")
     leaves, open_ = rows.filter("__shards = 1"), rows.filter("__shards > 1")
-    while (level := split_level(open_, len(dims), slack=max(1, total // n_shards // 2000))) is not None:
+    # No level has more nodes than there are shards, so their number says whether tables of nodes are broadcast.
+    near = F.broadcast if n_shards <= BROADCAST_NODES else lambda x: x
+    for _ in range((n_shards - 1).bit_length()):
+        level = split_level(open_, len(dims), max(1, total // n_shards // 2000), near)
         leaves, open_ = leaves.unionByName(level.filter("__leaf = 1").drop("__leaf")), level.filter("__leaf = 0").drop("__leaf")
     placed = stash(leaves.select("doc_id", "size", "text_crc32", "__row", F.col("__first").alias("shard")), "kd-placed")
     # Slots in two steps, so that no shard has to pass through one task: rows of a
