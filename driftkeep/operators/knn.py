@@ -63,7 +63,8 @@ def spot_check(truth: DataFrame, again: DataFrame, k: int = 10) -> DataFrame:
 
 def hamming(queries: DataFrame, base: DataFrame, k: int, n_bits: int, dim: int, seed: int = 7) -> DataFrame:
     """Top-k by Hamming distance of hyperplane sign codes."""
-    codes = lambda df, i, v: df.select(i, hashing.code_words(F.col(v), n_bits, dim, seed).alias("c_" + v))
+    words = hashing.simhash_udf(n_bits // 32, 32, dim, seed)
+    codes = lambda df, i, v: df.select(i, words(F.col(v)).alias("c_" + v))
     both = against(codes(queries, "query_id", "q"), codes(base, "item_id", "v"))
     return top_k(both.select("query_id", "item_id", hashing.hamming(F.col("c_q"), F.col("c_v")).alias("score")), k, ascending=True)
 

@@ -7,7 +7,7 @@ evicted or None). Positions are unique and ascending within a stream.
 from __future__ import annotations
 
 import heapq
-import statistics
+from operator import eq
 from typing import Protocol
 
 import numpy as np
@@ -15,6 +15,14 @@ import numpy as np
 AGGREGATORS = ("min", "max", "mean", "median", "jaccard")
 
 
+def _median(n: list[int]) -> float:
+    n, half = sorted(n), len(n) // 2
+    return n[half] if len(n) % 2 else (n[half - 1] + n[half]) / 2
+
+
+_FOLDS = {"min": min, "max": max, "mean": lambda n: sum(n) / len(n), "median": _median}
+
+
 def check_aggregator(name: str) -> None:
     if name not in AGGREGATORS:
         raise ValueError(f"unknown aggregator: {name}")
@@ -34,49 +42,61 @@ class BucketOccupancy:
 
     def __init__(self, capacity: int, aggregator: str, threshold: float | None = None, id_mode: str = "pos"):
         self.capacity, self.aggregator, self.threshold, self.by_source = capacity, aggregator, threshold, id_mode == "source"
-        self.entries: dict[int, tuple[int, float, tuple[int, ...]]] = {}
-        self.counts: dict[tuple[int, int], int] = {}
-        self.members: dict[tuple[int, int], set[int]] = {}
+        self.entries: dict[int, tuple[int, float, list[int]]] = {}
+        self.counts: dict[int, int] = {}
+        self.members: dict[int, set[int]] = {}
         self.queue: list[tuple[float, int]] = []
 
-    def occupancy(self, sig: tuple[int, ...]) -> float:
+    def occupancy(self, buckets: list[int]) -> float:
         if self.aggregator == "jaccard":
-            near: set[int] = set().union(*(self.members.get(b, ()) for b in enumerate(sig)))
+            near: set[int] = set().union(*(self.members.get(b, ()) for b in buckets))
             best = 0.0
             for k in near:
-                m = sum(a == b for a, b in zip(self.entries[k][2], sig, strict=True))
-                best = max(best, m / (2 * len(sig) - m))
+                m = sum(map(eq, self.entries[k][2], buckets))
+                best = max(best, m / (2 * len(buckets) - m))
             return best
-        n = [self.counts.get(b, 0) for b in enumerate(sig)]
-        return float({"min": min, "max": max, "mean": statistics.fmean, "median": statistics.median}[self.aggregator](n))
+        get = self.counts.get
+        return float(_FOLDS[self.aggregator]([get(b, 0) for b in buckets]))
+
+    def _forget(self, k: int, buckets: list[int]) -> None:
+        for b in buckets:
+            at = self.members[b]
+            at.discard(k)
+            if not at:
+                del self.members[b]
 
     def _evict(self) -> int | None:
         while self.queue:
             _, k = heapq.heappop(self.queue)
             if k in self.entries:
-                pos, _, sig = self.entries.pop(k)
-                for b in enumerate(sig):
-                    self.counts[b] -= 1
-                    self.members[b].discard(k)
-                    if not self.counts[b]:
+                pos, _, buckets = self.entries.pop(k)
+                for b in buckets:
+                    n = self.counts[b] - 1
+                    if n:
+                        self.counts[b] = n
+                    else:
                         del self.counts[b]
+                if self.aggregator == "jaccard":
+                    self._forget(k, buckets)
                 return pos
         return None
 
-    def _keep(self, pos: int, item_id: int, occ: float, sig: tuple[int, ...]) -> None:
+    def _keep(self, pos: int, item_id: int, occ: float, buckets: list[int]) -> None:
         k = item_id if self.by_source else pos
-        if k in self.entries:
-            for b in enumerate(self.entries[k][2]):
-                self.members[b].discard(k)
-        self.entries[k] = (pos, occ, sig)
-        for b in enumerate(sig):
+        if self.aggregator == "jaccard":
+            if k in self.entries:
+                self._forget(k, self.entries[k][2])
+            for b in buckets:
+                self.members.setdefault(b, set()).add(k)
+        self.entries[k] = (pos, occ, buckets)
+        for b in buckets:
             self.counts[b] = self.counts.get(b, 0) + 1
-            self.members.setdefault(b, set()).add(k)
         heapq.heappush(self.queue, (-occ, k))
 
     def offer(self, pos: int, item_id: int, payload) -> tuple[bool, float, int | None]:
-        sig = tuple(int(x) for x in payload)
-        occ, evicted = self.occupancy(sig), None
+        # A bucket and its table as one number.
+        buckets = [t << 48 | int(b) for t, b in enumerate(payload)]
+        occ, evicted = self.occupancy(buckets), None
         full = len(self.entries) >= self.capacity
         if self.threshold is not None:
             if occ >= self.threshold:
@@ -85,7 +105,7 @@ class BucketOccupancy:
             return False, occ, None
         if full:
             evicted = self._evict()
-        self._keep(pos, item_id, occ, sig)
+        self._keep(pos, item_id, occ, buckets)
         return True, occ, evicted
 
 

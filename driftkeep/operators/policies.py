@@ -77,10 +77,10 @@ def run_machine(df: DataFrame, make: Callable[[object], machines.Machine], paylo
         machine, current = None, None
         for pdf in batches:
             out = []
-            for k, pos, item, x in zip(pdf[key], pdf.pos, pdf.item_id, pdf[payload], strict=True):
+            for k, pos, item, x in zip(pdf[key].tolist(), pdf.pos.tolist(), pdf.item_id.tolist(), pdf[payload], strict=True):
                 if machine is None or k != current:
                     machine, current = make(k), k
-                out.append((k, pos, item, *machine.offer(int(pos), int(item), x)))
+                out.append((k, pos, item, *machine.offer(pos, item, x)))
             yield pd.DataFrame(out, columns=[key, "pos", "item_id", "accepted", "occ", "evicted"]).astype({"evicted": "Int64"})
 
     ordered = df.select(key, "pos", "item_id", payload).repartition(key).sortWithinPartitions(key, "pos")

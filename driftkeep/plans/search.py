@@ -27,7 +27,7 @@ def stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signed(spark: SparkSession, d: str) -> DataFrame:
-    return stream(spark, d).withColumn("sig", hashing.simhash(F.col("v"), TABLES, BITS, DIM))
+    return stream(spark, d).withColumn("sig", hashing.simhash_udf(TABLES, BITS, DIM)(F.col("v")))
 
 
 def show(df: DataFrame) -> DataFrame:
