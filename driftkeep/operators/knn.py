@@ -158,13 +158,25 @@ def pq_search(queries: DataFrame, encoded: DataFrame, books: DataFrame, k: int,
     """Top-k by asymmetric squared distance: a lookup table per query, summed over codes."""
     width = dim // parts
     table = queries.join(F.broadcast(books)).select("query_id", "m", "code", l2_squared(F.slice("q", (F.col("m") * width + 1).cast("int"), width), F.col("w")).alias("d"))
-    scored = encoded.join(F.broadcast(table), ["m", "code"]).groupBy("query_id", "item_id").agg(F.sum("d").alias("score"))
+    if queries.count() <= BROADCAST_QUERIES:
+        table = F.broadcast(table)
+    scored = encoded.join(table, ["m", "code"]).groupBy("query_id", "item_id").agg(F.sum("d").alias("score"))
     return top_k(scored.withColumn("score", F.round("score", 9)), k, ascending=True)
 
 
 def signature_pairs(df: DataFrame, tables: int, at_least: float) -> DataFrame:
-    """a, b, jaccard of items that share buckets: m equal tables give m / (2 * tables - m)."""
-    each = df.select("pos", F.posexplode("sig").alias("t", "b"))
-    left, right = each.select(F.col("pos").alias("a"), "t", "b"), each.select(F.col("pos").alias("bb"), "t", "b")
-    pairs = left.join(right, ["t", "b"]).filter(F.col("a") < F.col("bb")).groupBy("a", F.col("bb").alias("b")).agg(F.count(F.lit(1)).alias("m"))
-    return pairs.select("a", "b", (F.col("m") / (2 * tables - F.col("m"))).alias("jaccard")).filter(F.col("jaccard") >= at_least)
+    """a, b, n_a, n_b, jaccard of signatures that share buckets: m equal tables give m / (2 * tables - m).
+
+    Items of one signature are a class, named by its smallest pos and with its
+    size, so pairs are bounded by the signatures there are and not by items.
+    """
+    classes = df.groupBy("sig").agg(F.min("pos").alias("rep"), F.count(F.lit(1)).alias("n"))
+    each = classes.select("rep", "n", F.posexplode("sig").alias("t", "b"))
+    left, right = each.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), "t", "b"), each.select(F.col("rep").alias("b_"), F.col("n").alias("n_b"), "t", "b")
+    pairs = left.join(right, ["t", "b"]).filter(F.col("a") < F.col("b_")).groupBy("a", F.col("b_").alias("b"), "n_a", "n_b").agg(F.count(F.lit(1)).alias("m"))
+    return pairs.select("a", "b", "n_a", "n_b", (F.col("m") / (2 * tables - F.col("m"))).alias("jaccard")).filter(F.col("jaccard") >= at_least)
+
+
+def signature_classes(df: DataFrame) -> DataFrame:
+    """pos and rep, the smallest pos of its signature."""
+    return df.select("pos", "sig").join(df.groupBy("sig").agg(F.min("pos").alias("rep")), "sig").select("pos", "rep")

@@ -194,10 +194,20 @@ PQ_SQL = with_(
 
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = knn.signature_pairs(signed(spark, d), TABLES, 0.3)
-    return p.select("a", "b", rounded(F.col("jaccard")).alias("jaccard"))
+    return p.select("a", "b", "n_a", "n_b", rounded(F.col("jaccard")).alias("jaccard"))
 
 
-JACCARD_SQL = with_(BASE, POS, SIG, f"p AS (SELECT x.pos AS a, y.pos AS b, count(*) AS m FROM buckets x JOIN buckets y ON x.t = y.t AND x.bucket = y.bucket AND x.pos < y.pos GROUP BY ALL)", select=f"SELECT a, b, round(m / ({2 * TABLES} - m), 6) AS jaccard FROM p WHERE m / ({2 * TABLES} - m) >= 0.3")
+def jaccard_classes(spark: SparkSession, d: str) -> DataFrame:
+    return knn.signature_classes(signed(spark, d))
+
+
+_CLASSES = "cl AS (SELECT sig, min(pos) AS rep, count(*) AS n FROM g GROUP BY sig)"
+JACCARD_SQL = with_(
+    BASE, POS, SIG, _CLASSES, "x AS (SELECT rep, n, unnest(sig) AS b, generate_subscripts(sig, 1) AS t FROM cl)",
+    "p AS (SELECT x.rep AS a, y.rep AS b, any_value(x.n) AS n_a, any_value(y.n) AS n_b, count(*) AS m FROM x JOIN x y ON x.t = y.t AND x.b = y.b AND x.rep < y.rep GROUP BY x.rep, y.rep)",
+    select=f"SELECT a, b, n_a, n_b, round(m / ({2 * TABLES} - m), 6) AS jaccard FROM p WHERE m / ({2 * TABLES} - m) >= 0.3",
+)
+CLASSES_SQL = with_(BASE, POS, SIG, _CLASSES, select="SELECT pos, rep FROM g JOIN cl USING (sig)")
 
 
 def simhash(spark: SparkSession, d: str) -> DataFrame:
@@ -242,5 +252,5 @@ SPOT_SQL = with_(BASE, QUERIES, _CAND, f"t AS ({top('list_inner_product(q.q, e.v
 ENTRIES = {f"knn_{m}_topk": exact(m) for m in ("ip", "l2", "cosine")} | {
     "knn_unique_topk": (unique, UNIQUE_SQL), "hamming_topk": (hamming, HAMMING_SQL), "fwht": (fwht, FWHT_SQL), "cross_polytope_hash": (cross_polytope, CROSS_SQL), "probe_sequence": (probe_sequence, PROBE_SQL),
     "multiprobe_topk": (multiprobe, MULTI_SQL), "multiprobe_rerank_topk": (multiprobe_rerank, RERANK_SQL), "multi_index_probe": (multi_index, MULTI_INDEX_SQL), "total_probe_topk": (total_probes, TOTAL_SQL), "ivf_topk": (routed, ROUTED_SQL), "pq_adc_topk": (pq, PQ_SQL),
-    "signature_jaccard_pairs": (jaccard_pairs, JACCARD_SQL), "simhash_signature": (simhash, SIMHASH_SQL), "normalize_vectors": (normalize, NORMALIZE_SQL), "center_vectors": (center, CENTER_SQL), "jl_project": (jl, _jl_sql()), "knn_spot_check": (spot_check, SPOT_SQL),
+    "signature_jaccard_pairs": (jaccard_pairs, JACCARD_SQL), "signature_classes": (jaccard_classes, CLASSES_SQL), "simhash_signature": (simhash, SIMHASH_SQL), "normalize_vectors": (normalize, NORMALIZE_SQL), "center_vectors": (center, CENTER_SQL), "jl_project": (jl, _jl_sql()), "knn_spot_check": (spot_check, SPOT_SQL),
 }
