@@ -475,3 +475,21 @@ def test_numbers_stay_when_splits_change(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert len(set(first.values())) == len(first) == df.count()
     assert numbered(df.withColumn("__path", F.lit(1)).unionByName(df.withColumn("__path", F.lit(2)))).select("row").distinct().count() == 2 * len(first)
+
+
+def test_texts_longer_than_a_piece(spark):
+    item = prose(40)
+    long = prose(240_000)
+    texts = [long + " 4041894974608795 " + item, prose(20), long + " grumok velzan " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert min(len(texts[0]), len(texts[2])) > 1 << 20
+    got = {r.doc_id: r for r in feistel_pii.pseudonymize(df, "k1").collect()}
+    assert got[0].n_pseudonyms == 1 and got[0].text[: len(long)] == long and "4041894974608795" not in got[0].text and got[1].text == texts[1]
+    assert {r.doc_id: r["size"] for r in kdtree_sharding.kd_shards(df, n_shards=2).collect()} == {i: len(t) + 16 for i, t in enumerate(texts)}
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert [(r.doc_id, r.n_matched) for r in decontaminate.contaminated_pairs(df, bench).collect()] == [(0, 20)]
+    rows = [(10 + i, prose(30) + (" grumok velzan" if i % 2 else "")) for i in range(200)]
+    learned = spark.createDataFrame(rows, "doc_id long, text string").unionByName(df)
+    model = toxicity.train(learned, spark.createDataFrame([(i, int(i % 2 == 1)) for i, _ in rows], "doc_id long, toxic int"))
+    scores = {r.doc_id: r.toxicity for r in toxicity.score(df, *model).collect()}
+    assert len(scores) == 3 and all(0 <= s <= 1 for s in scores.values()) and scores[1] < 0.5
