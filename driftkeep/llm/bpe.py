@@ -36,7 +36,7 @@ from driftkeep.llm.shared import map_pandas
 from driftkeep.llm.tables import table
 
 #: Bytes of text whose distinct words share one index.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _NONE = np.int32(1 << 30)
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded string"
 

@@ -68,7 +68,7 @@ class Features:
         """0 for an ordinary word; known words are looked up once, in a table that is emptied when large."""
         w = self._known.get(word)
         if w is None:
-            if len(self._known) > 400_000:
+            if len(self._known) > 100_000:
                 self._known.clear()
             w = self._known[word] = max(self.lexicon.get(s, 0.0) for s in stems(word))
         return w
@@ -129,7 +129,7 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> dict[str, floa
             for text, y in zip(pdf.text, pdf["__y"], strict=True):
                 for s in {s for w in set(_WORDS((text or "").lower())) for s in stems(w)}:
                     tally.setdefault(s, [0, 0])[int(y > 0)] += 1
-            if len(tally) > 300_000:
+            if len(tally) > 100_000:
                 yield pd.DataFrame([(k, *v) for k, v in tally.items()], columns=["stem", "n0", "n1"])
                 tally = {}
         yield pd.DataFrame([(k, *v) for k, v in tally.items()], columns=["stem", "n0", "n1"])
@@ -171,8 +171,10 @@ def score(docs: DataFrame, lexicon: dict[str, float], model: Boosted) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(lexicon)
         for batch in batches:
-            x = np.array([make.of(t or "") for t in batch.column(at).to_pylist()]).reshape(batch.num_rows, N_FEATURES)
-            scores = pa.array(model.score(x) if batch.num_rows else np.empty(0), pa.float64())
+            # A few texts at a time become Python strings.
+            texts = batch.column(at)
+            parts = [model.score(np.array([make.of(t or "") for t in texts.slice(a, 256).to_pylist()])) for a in range(0, batch.num_rows, 256)]
+            scores = pa.array(np.concatenate([np.empty(0), *parts]), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
