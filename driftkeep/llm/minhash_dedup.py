@@ -3,7 +3,8 @@
 M small collections of R minhashes each are computed per distinct shingle set;
 a table key is a pair of collections, so M*(M-1)/2 tables of 2*R rows cost M*R
 minhashes instead of M*(M-1)*R. Texts with equal sets become one
-representative first.
+representative first. Collections that no other representative has make no key,
+so a text unlike all others costs M rows and not M*(M-1)/2.
 
 1. Tables give buckets. Within a bucket the set sizes and the minhashes (a byte
    of each) say which members may be linked; the bucket gives a tree over each
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftkeep.llm.components import connected
-from driftkeep.llm.shared import bounded, discard, free_name, map_pandas, numbered, scanned, stash
+from driftkeep.llm.shared import bounded, discard, free_name, lean, map_pandas, numbered, scanned, stash
 from driftkeep.llm.tables import table
 from driftkeep.llm.words import batch_words, mix, shingles
 
@@ -108,24 +109,42 @@ def _sketch(width: int, m: int):
     return run
 
 
-def _tables(m: int):
-    """A key for each pair of collections of each representative."""
+def _collected(m: int):
+    """A hash for each collection of each representative, which the collection's number is part of."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a in range(0, len(pdf), 2000):
                 part = pdf.iloc[a : a + 2000]
                 sig = np.frombuffer(b"".join(part.sig), np.uint32).reshape(-1, m, R).astype(np.uint64)
-                u = np.zeros(sig.shape[:2], np.uint64)
+                u = np.tile(mix(np.arange(1, m + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)), (len(part), 1))
                 for r in range(R):
                     u = mix(u * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r] + np.uint64(1))
-                i, j = np.triu_indices(m, 1)
-                keys = mix(u[:, i] + mix(u[:, j] + np.arange(1, len(i) + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)))
-                yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "rep": np.repeat(part.rep.to_numpy(), len(i))})
+                yield pd.DataFrame({"part": u.view(np.int64).ravel(), "rep": np.repeat(part.rep.to_numpy(), m)})
 
     return run
 
 
+def _repeated(rows: DataFrame, name: str) -> DataFrame:
+    """The rows whose value of a column others have as well, with their number n."""
+    return rows.join(rows.groupBy(name).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), name)
+
+
+def _members(reps: DataFrame, m: int) -> DataFrame:
+    """key, rep, n: the buckets of n > 1 representatives (rep, sig), one for each pair of collections that these share.
+
+    Whoever shares a pair of collections shares both, so keys are made of the
+    collections that another representative has: most texts have none.
+    """
+    found = _repeated(reps.select("rep", "sig").mapInPandas(lean(_collected(m)), "part long, rep long"), "part")
+    own = found.groupBy("rep").agg(F.sort_array(F.collect_list("part")).alias("parts")).filter("size(parts) > 1")
+    pairs = F.expr("flatten(transform(parts, (x, i) -> transform(slice(parts, i + 2, size(parts)), y -> xxhash64(x, y))))")
+    keys = stash(own.select("rep", F.explode(pairs).alias("key")), "minhash-keys")
+    members = stash(_repeated(keys, "key"), "minhash-members")
+    discard(keys)
+    return members
+
+
 def _equal_bytes(x: np.ndarray) -> np.ndarray:
     """How many bytes of each row of 64-bit words are zero."""
     low = np.uint64(0x7F7F7F7F7F7F7F7F)
@@ -369,7 +388,7 @@ def _exact_links(rows: DataFrame, bodies: DataFrame, width: int, percent: int, a
     """Trees of links of tiled members (family, tile, right, rep, comp)."""
     tiles = bodies.join(bounded(rows.select("family", "tile", "right", "rep", "comp"), 250_000), "rep").select("family", "tile", "right", "rep", "comp", "sig", "text")
     dealt = tiles.repartition("family", "tile").sortWithinPartitions("family", "tile", "right", "rep")
-    return stash(dealt.mapInPandas(_exact(width, percent, agree), "a long, b long"), name)
+    return stash(dealt.mapInPandas(lean(_exact(width, percent, agree)), "a long, b long"), name)
 
 
 def _joined(families: DataFrame, links: DataFrame) -> DataFrame:
@@ -416,12 +435,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = stash(map_pandas(texts.select("row", "doc_id", "text"), _sketch(width, m), SIGNED, ("doc_id",)), "minhash-sig")
     classes = stash(signed.filter("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")), "minhash-classes")
     reps = stash(signed.select(F.col("row").alias("rep"), "sig", "n_shingles").join(classes.select("rep"), "rep", "left_semi"), "minhash-reps")
-    keys = reps.select("rep", "sig").mapInPandas(_tables(m), "key long, rep long")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stash(keys.join(shared, "key"), "minhash-members")
+    members = _members(reps, m)
     short = reps.select("rep", "n_shingles", F.expr(f"cast(concat({', '.join(f'substring(sig, {4 * k + 1}, 1)' for k in range(m * R))}) as binary)").alias("sig"))
     buckets = _tiled(members, f"ceil(n / {BUCKET})").join(short, "rep").select("key", "tile", "right", "rep", "n_shingles", "sig")
-    raw = buckets.repartition("key", "tile").sortWithinPartitions("key", "tile", "right", "rep").mapInPandas(_parts(agree, ratio), "a long, b long")
+    raw = buckets.repartition("key", "tile").sortWithinPartitions("key", "tile", "right", "rep").mapInPandas(lean(_parts(agree, ratio)), "a long, b long")
     tree = stash(raw.distinct(), "minhash-tree")
     discard(members)
     nodes = tree.select(F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftkeep.llm.boosted import Boosted, fit
-from driftkeep.llm.shared import free_name
+from driftkeep.llm.shared import free_name, lean
 from driftkeep.llm.tables import table
 
 #: Bound of the labelled rows that the classifier is fitted on, and of the learned lexicon.
@@ -138,7 +138,7 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> dict[str, floa
     n1, n0 = n1 or 0, n0 or 0
     if not n1 or not n0:
         return {}
-    found = sample.select("text", "__y").mapInPandas(counts, "stem string, n0 long, n1 long").groupBy("stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    found = sample.select("text", "__y").mapInPandas(lean(counts), "stem string, n0 long, n1 long").groupBy("stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
     top = found.filter(F.col("n1") >= max(3, n1 // 400)).withColumn("odds", odds).filter(F.col("odds") >= 2.5).orderBy(F.desc(F.col("odds") * F.log1p("n1")), "stem").limit(size)
     return {r.stem: float(r.odds) for r in top.select("stem", "odds").collect()}
@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS) -> tu
     """The learned lexicon and the calibrated model."""
     sample = labelled_sample(docs, labels, max_rows)
     lexicon = learn_lexicon(sample.filter(F.col("__u") < 0.5))
-    rows = sample.filter(F.col("__u") >= 0.5).mapInPandas(_featurizer(lexicon), "y int, u double, x array<double>").collect()
+    rows = sample.filter(F.col("__u") >= 0.5).mapInPandas(lean(_featurizer(lexicon)), "y int, u double, x array<double>").collect()
     rows = sorted(rows, key=lambda r: (r.u, r.y))
     x = np.array([r.x for r in rows]).reshape(len(rows), N_FEATURES)
     return lexicon, fit(x, np.array([int(r.y > 0) for r in rows]), np.array([r.u >= 0.875 for r in rows], bool))
@@ -177,7 +177,7 @@ def score(docs: DataFrame, lexicon: dict[str, float], model: Boosted) -> DataFra
             scores = pa.array(np.concatenate([np.empty(0), *parts]), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
+    return docs.mapInArrow(lean(run), docs.withColumn(name, F.lit(0.0)).schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,6 +185,39 @@ def test_large_groups_against_brute_force(spark, monkeypatch, bucket, block):
     assert len({c for _, _, c in want}) > 150 and sum((want - got).values()) <= 2  # the stated chance to miss a link
 
 
+def rows_exchanged(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_texts_unlike_all_others_make_no_bucket_keys(spark):
+    rng = random.Random(12)
+    words = [f"{rng.getrandbits(32):x}" for _ in range(80)]
+    rows = [(i, " ".join(f"{rng.getrandbits(32):x}" for _ in range(80))) for i in range(500)] + [(500 + i, " ".join(words + ["x"] * i)) for i in range(2)]
+    df, before = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows_exchanged(spark)
+    assert {r.doc_id for r in minhash_dedup.near_duplicates(df, 5, 80).collect() if not r.kept} == {501}
+    assert rows_exchanged(spark) - before < 502 * 100  # 190 pairs of collections
+
+
+def test_buckets_are_those_of_all_pairs_of_collections(spark):
+    rng = random.Random(13)
+    sig = [np.array([rng.randint(0, 2) for _ in range(14 * minhash_dedup.R)], np.uint32) for _ in range(120)]
+    reps = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sig)], "rep long, sig binary")
+    want = {}
+    for i, x in enumerate(sig):
+        parts = [(k, *x[4 * k : 4 * k + 4].tolist()) for k in range(14)]
+        for a in range(14):
+            for b in range(a + 1, 14):
+                want.setdefault((parts[a], parts[b]), []).append(i)
+    got = {}
+    for r in minhash_dedup._members(reps, 14).collect():
+        got.setdefault((r.key, r.n), []).append(r.rep)
+    assert all(n == len(x) for (_, n), x in got.items())
+    assert Counter(tuple(sorted(x)) for x in got.values()) == Counter(tuple(x) for x in want.values() if len(x) > 1) and len(got) > 100
+
+
 @pytest.mark.parametrize("left", [40, 15])
 def test_tiles_against_brute_force(left):
     rng = random.Random(9)

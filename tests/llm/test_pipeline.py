@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 import corpus_pipeline
 from driftkeep.llm import minhash_dedup
-from driftkeep.llm.shared import stash
+from driftkeep.llm.shared import lean, stash
 from driftkeep.llm.tables import table
 
 DIR = "/root/testdata/sf0.001"
@@ -154,3 +154,20 @@ def test_copies_of_a_page_keep_their_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, df, DIR).collect()}
     assert got == {i: f"own line {i - 100}" if i >= 100 else t for i, t, _ in rows}
+
+
+def test_workers_hand_freed_memory_back():
+    def held():
+        with open("/proc/self/status") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("RssAnon")) >> 10
+
+    def run(batches):
+        for _ in batches:
+            # Blocks too small for maps of their own, and one at the end that keeps the heap from shrinking by itself.
+            parts = [b"x" * (60_000 + i) for i in range(4000)]
+            last.append(b"y" * 60_000)
+            del parts
+            yield held()
+
+    last = []
+    assert list(lean(run)(iter([0])))[0] - held() > 150
