@@ -9,12 +9,13 @@ top-k. Partial top-k by partition comes from the window group limit.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftkeep.functions import hashing
-from driftkeep.functions.vectors import dot, l2_squared, similarity
-from driftkeep.operators import blocks
+from driftkeep.functions.vectors import dot, similarity
+from driftkeep.operators import blocks, scans
 
 BROADCAST_QUERIES, GROUP_ROWS = 10_000, 100_000
 
@@ -146,22 +147,13 @@ def pq_codebooks(base: DataFrame, parts: int, dim: int, codes: int, salt: int =
     return ranked.select(F.col("code").cast("long").alias("code"), F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.slice("v", m * width + 1, width).alias("w")) for m in range(parts)])).alias("p")).select("p.m", "code", "p.w")
 
 
-def pq_encode(base: DataFrame, books: DataFrame, parts: int, dim: int) -> DataFrame:
-    """item_id, m, code: the nearest codeword of each subvector, ties to the smaller code."""
-    width = dim // parts
-    subs = base.select("item_id", F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.slice("v", m * width + 1, width).alias("s")) for m in range(parts)])).alias("p")).select("item_id", "p.m", "p.s")
-    near = subs.join(F.broadcast(books), "m").groupBy("item_id", "m").agg(F.min(F.struct(l2_squared(F.col("s"), F.col("w")).alias("d"), "code")).alias("best"))
-    return near.select("item_id", "m", F.col("best.code").alias("code"))
-
-
-def pq_search(queries: DataFrame, encoded: DataFrame, books: DataFrame, k: int, parts: int, dim: int) -> DataFrame:
-    """Top-k by asymmetric squared distance: a lookup table per query, summed over codes."""
-    width = dim // parts
-    table = queries.join(F.broadcast(books)).select("query_id", "m", "code", l2_squared(F.slice("q", (F.col("m") * width + 1).cast("int"), width), F.col("w")).alias("d"))
-    if queries.count() <= BROADCAST_QUERIES:
-        table = F.broadcast(table)
-    scored = encoded.join(table, ["m", "code"]).groupBy("query_id", "item_id").agg(F.sum("d").alias("score"))
-    return top_k(scored.withColumn("score", F.round("score", 9)), k, ascending=True)
+def pq_search(queries: DataFrame, base: DataFrame, books: DataFrame, k: int) -> DataFrame:
+    """Top-k by asymmetric squared distance: a lookup table per query, summed over the nearest codeword of each part."""
+    rows = sorted(books.collect(), key=lambda r: (r.m, r.code))  # parts times codes
+    parts = len({r.m for r in rows})
+    trained = np.array([r.w for r in rows]).reshape(parts, len(rows) // max(1, parts), -1) if rows else None
+    found = scans.scan(queries, base, lambda asked, q: scans.Coded(asked, q, k, trained), scans.FOUND, blocks.FOUND)
+    return top_k(found, k, ascending=True)
 
 
 def signature_pairs(df: DataFrame, tables: int, at_least: float) -> DataFrame:

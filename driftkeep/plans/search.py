@@ -176,7 +176,7 @@ PM, PC = 8, 16
 def pq(spark: SparkSession, d: str) -> DataFrame:
     b = base(spark, d)
     books = knn.pq_codebooks(b, PM, DIM, PC)
-    return show(knn.pq_search(ask(spark, d), knn.pq_encode(b, books, PM, DIM), books, K, PM, DIM))
+    return show(knn.pq_search(ask(spark, d), b, books, K))
 
 
 _W = DIM // PM
