@@ -1,14 +1,17 @@
 """Nearest-neighbour search: exact, by bucket, by region, by code.
 
-Exact search is a product of blocks (:mod:`driftkeep.operators.blocks`). Where
-a score is an expression, the query side is counted and broadcast while it has
-at most BROADCAST_QUERIES rows; a larger set is replicated over row groups of
-the base by an equi-join, so neither way sends the base anywhere but to its own
-top-k. Partial top-k by partition comes from the window group limit.
+Exact search is a product of blocks (:mod:`driftkeep.operators.blocks`), the
+others are passes over the base (:mod:`driftkeep.operators.scans`), so pairs of
+queries and items are never rows. Partial top-k by partition comes from the
+window group limit.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from operator import add, and_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from driftkeep.functions import hashing
 from driftkeep.functions.vectors import dot, similarity
 from driftkeep.operators import blocks, scans
+from driftkeep.sources.staging import staged
 
 BROADCAST_QUERIES, GROUP_ROWS = 10_000, 100_000
 
@@ -76,6 +80,22 @@ def probed(df: DataFrame, vector: str, dim: int, tables: int, rotations: int, se
     return df.select(*keep, F.explode(buckets).alias("t")).select(*keep, "t.table", "t.bucket", "t.probe", "t.strength")
 
 
+def thinned(base: DataFrame, dim: int, tables: int, rotations: int, seed: int, base_probes: int, bucket_cap: int, alpha: float) -> DataFrame:
+    """item_id, table, bucket of an index whose buckets keep the ``bucket_cap`` items nearest to their axis, or the share ``alpha`` if that is more."""
+    filed = probed(base, "v", dim, tables, rotations, seed, base_probes, [F.col("item_id")])
+    bucket = Window.partitionBy("table", "bucket")
+    filed = filed.withColumn("n", F.row_number().over(bucket.orderBy(F.desc("strength"), "item_id"))).withColumn("m", F.count(F.lit(1)).over(bucket))
+    return filed.filter(F.col("n") <= F.greatest(F.lit(bucket_cap), F.ceil(F.col("m") * F.lit(alpha)))).select("item_id", "table", "bucket")
+
+
+def probes_a_table(dim: int, tables: int, n_probes: int, total_probes: int | None) -> int:
+    if total_probes is None:
+        return n_probes
+    if total_probes < tables:
+        raise ValueError("a probe a table is the least")
+    return min(total_probes - tables + 1, 2 * hashing.power_of_two(dim))
+
+
 def multiprobe_candidates(queries: DataFrame, base: DataFrame, dim: int, tables: int = 16, n_probes: int = 64, base_probes: int = 1, rotations: int | None = None, seed: int = 42, bucket_cap: int | None = None, alpha: float = 0.01, total_probes: int | None = None) -> DataFrame:
     """Distinct (query_id, item_id) that share a probed bucket of cross-polytope tables.
 
@@ -88,15 +108,8 @@ def multiprobe_candidates(queries: DataFrame, base: DataFrame, dim: int, tables:
     whole buckets.
     """
     rotations = rotations or (2 if dim <= 128 else 1)
-    filed = probed(base, "v", dim, tables, rotations, seed, base_probes, [F.col("item_id")])
-    if bucket_cap:
-        bucket = Window.partitionBy("table", "bucket")
-        filed = filed.withColumn("n", F.row_number().over(bucket.orderBy(F.desc("strength"), "item_id"))).withColumn("m", F.count(F.lit(1)).over(bucket))
-        filed = filed.filter(F.col("n") <= F.greatest(F.lit(bucket_cap), F.ceil(F.col("m") * F.lit(alpha))))
-    if total_probes is not None:
-        if total_probes < tables:
-            raise ValueError("a probe a table is the least")
-        n_probes = min(total_probes - tables + 1, 2 * hashing.power_of_two(dim))
+    filed = thinned(base, dim, tables, rotations, seed, base_probes, bucket_cap, alpha) if bucket_cap else probed(base, "v", dim, tables, rotations, seed, base_probes, [F.col("item_id")])
+    n_probes = probes_a_table(dim, tables, n_probes, total_probes)
     asked = probed(queries, "q", dim, tables, rotations, seed, n_probes, [F.col("query_id")])
     if total_probes is not None:
         order = Window.partitionBy("query_id").orderBy(F.col("probe") > 0, F.desc("strength"), "table", "probe")
@@ -108,6 +121,25 @@ def with_vectors(pairs: DataFrame, queries: DataFrame, base: DataFrame) -> DataF
     return pairs.join(base.select("item_id", "v"), "item_id").join(queries.select("query_id", "q"), "query_id")
 
 
+def by_buckets(queries: DataFrame, base: DataFrame, k: int, dim: int, first: str, metric: str, coder=None, tables: int = 16, n_probes: int = 64, base_probes: int = 1, rotations: int | None = None, seed: int = 42, bucket_cap: int | None = None, alpha: float = 0.01, total_probes: int | None = None) -> DataFrame:
+    """query_id, item_id, score, more: the k best of ``multiprobe_candidates`` by the score ``first``, with the score ``metric`` as ``more``; pairs aren't rows.
+
+    ``coder`` gives, from a matrix of vectors, what the first score compares in their place.
+    """
+    rotations = rotations or (2 if dim <= 128 else 1)
+    n_probes, given = probes_a_table(dim, tables, n_probes, total_probes), {}
+    if bucket_cap:
+        width = 2 * hashing.power_of_two(dim)
+        lists = thinned(base.filter("v is not null"), dim, tables, rotations, seed, base_probes, bucket_cap, alpha).groupBy("item_id").agg(F.collect_set((F.col("table") * width + F.col("bucket")).cast("long")).alias("filed"))
+        base, given = base.join(lists, "item_id"), {"filed": F.col("filed")}
+
+    def make(asked: np.ndarray, q: np.ndarray) -> scans.Scan:
+        return scans.Probed(asked, q, k, scans.Buckets(asked, q, dim, tables, rotations, seed, n_probes, base_probes, total_probes), first, metric, coder)
+
+    found = scans.scan(queries, base, make, [*scans.FOUND, "more"], f"{blocks.FOUND}, more double", given=given)
+    return top_k(found, k).drop("rank")
+
+
 def multiprobe(queries: DataFrame, base: DataFrame, k: int, dim: int, metric: str = "l2", rerank: int | None = None, **index) -> DataFrame:
     """Top-k among candidates; with ``rerank`` the best by inner product go to the exact score first."""
     pairs = with_vectors(multiprobe_candidates(queries, base, dim, **index), queries, base)

@@ -7,11 +7,9 @@ are as large at any size of the base; every vector is encoded.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftkeep.functions.vectors import similarity
 from driftkeep.operators import knn
 from driftkeep.operators.metrics import hash_sample
 
@@ -39,36 +37,17 @@ def fit_codebooks(base: DataFrame, parts: int = 32, codes: int = 256, sample: in
     return np.stack([_k_means(p, codes, rounds, rng) for p in np.split(x, parts, axis=1)])
 
 
-def encode(base: DataFrame, books: np.ndarray) -> DataFrame:
-    """item_id and codes, the nearest codeword of each part."""
+def encode(vectors: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Codes of the rows: the nearest codeword of each part."""
+    parts = np.split(vectors, len(books), axis=1)
+    return np.stack([((b * b).sum(1) - 2 * p @ b.T).argmin(1) for p, b in zip(parts, books, strict=True)], 1)
 
-    @F.pandas_udf("array<int>")
-    def codes(column: pd.Series) -> pd.Series:
-        if not len(column):
-            return pd.Series([], dtype=object)
-        parts = np.split(np.stack(column), len(books), axis=1)
-        return pd.Series(list(np.stack([((b * b).sum(1) - 2 * p @ b.T).argmin(1) for p, b in zip(parts, books, strict=True)], 1).astype(np.int32)))
 
-    return base.filter("v is not null").select("item_id", codes("v").alias("codes"))
-
-
-def distance(books: np.ndarray):
-    """A Column function of a query vector and codes: the squared distance of the query to the decoded vector."""
-
-    @F.pandas_udf("double")
-    def asymmetric(q: pd.Series, codes: pd.Series) -> pd.Series:
-        if not len(q):
-            return pd.Series([], dtype=float)
-        c = np.stack(codes)
-        decoded = np.concatenate([b[c[:, i]] for i, b in enumerate(books)], axis=1)
-        return pd.Series(((np.stack(q) - decoded) ** 2).sum(1))
-
-    return asymmetric
+def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    return np.concatenate([b[codes[:, i]] for i, b in enumerate(books)], axis=1)
 
 
 def search(queries: DataFrame, base: DataFrame, books: np.ndarray, k: int, dim: int, metric: str = "l2", rerank: int = 100, **index) -> DataFrame:
-    """Top-k of queries: bucket candidates, the ``rerank`` nearest of them by codes, exact scores of those."""
-    pairs = knn.multiprobe_candidates(queries, base, dim, **index)
-    coded = pairs.join(encode(base, books), "item_id").join(queries.select("query_id", "q"), "query_id")
-    near = knn.top_k(coded.select("query_id", "item_id", distance(books)("q", "codes").alias("score")), rerank, ascending=True).select("query_id", "item_id")
-    return knn.top_k(knn.with_vectors(near, queries, base).select("query_id", "item_id", similarity(metric, F.col("q"), F.col("v")).alias("score")), k)
+    """Top-k of queries: bucket candidates, the ``rerank`` nearest of them to their codes, exact scores of those."""
+    near = knn.by_buckets(queries, base, rerank, dim, "l2", metric, lambda v: decode(encode(v, books), books), **index)
+    return knn.top_k(near.select("query_id", "item_id", F.col("more").alias("score")), k)

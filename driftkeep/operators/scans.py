@@ -88,27 +88,38 @@ def choose(best: Best, at: int, near: np.ndarray, ids: np.ndarray, exact: Callab
     """
     n, floor = len(ids), best.scores[at : at + len(near), -1] - room
     few = np.flatnonzero(floor == -np.inf)
-    if len(few):
+    floor[few] = np.inf
+    x, y = np.nonzero(near >= floor[:, None])
+    if len(few):  # queries that don't have k items yet
         part = near[few]
         if dense is not None:
             part[~dense(at + few)] = -np.inf
-        floor[few] = np.partition(part, n - best.k, axis=1)[:, n - best.k] - max(room, 0.0) if n > best.k else -np.inf
-        if len(few) == len(near):
-            near = part
-        else:
-            near[few] = part
-    x, y = np.nonzero(near >= floor[:, None])
-    kept = near[x, y] > -np.inf
-    x, y = at + x[kept], y[kept]
+        least = np.partition(part, n - best.k, axis=1)[:, n - best.k, None] - max(room, 0.0) if n > best.k else -np.inf
+        i, j = np.nonzero((part >= least) & (part > -np.inf))
+        x, y = np.concatenate([x, few[i]]), np.concatenate([y, j])
+    x = at + x
     if allowed is not None:
         kept = allowed(x, y)
         x, y = x[kept], y[kept]
-    pairs = [exact(x[i : i + 50_000], y[i : i + 50_000]) for i in range(0, len(x), 50_000)]
+    pairs = [exact(x[i : i + 20_000], y[i : i + 20_000]) for i in range(0, len(x), 20_000)]
     if pairs:
         pairs = [p if isinstance(p, tuple) else (p, np.zeros(len(p))) for p in pairs]
         best.offer(x, ids[y], np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
 
 
+def in_order(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of rows, summed from the first dimension to the last as engines do, so that coarse vectors tie alike."""
+    total = lambda parts: np.cumsum(parts, axis=1)[:, -1]
+    if metric == "l2":
+        return -total((q - v) ** 2)
+    return total(q * v) / (np.sqrt(total(q * q)) * np.sqrt(total(v * v))) if metric == "cosine" else total(q * v)
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
 def room_for(a: np.ndarray, b: np.ndarray, size) -> float:
     return 1e-9 * (1 + np.sqrt((a * a).sum(1).max(initial=0) * (b * b).sum(1).max(initial=0)) + np.max(np.abs(size), initial=0))
 
@@ -143,6 +154,8 @@ class Plain(Scan):
 
 def each(best: Best, a: np.ndarray, b: np.ndarray, size, ids: np.ndarray, scored: Callable, metric: str, **which) -> None:
     """``choose`` for all queries, step by step. Products of l2 are half the score and lack the query's length, so floors are taken from there."""
+    if metric == "cosine":
+        a, b = unit(a), unit(b)
     room = room_for(a, b, size)
     lengths = (a * a).sum(1) if metric == "l2" else None
     for at in range(0, len(a), step := max(1, SCORES // max(1, len(ids)))):
@@ -301,8 +314,8 @@ class Probed(Scan):
         same = self.coder is None and self.first == self.metric
 
         def scored(x, y):
-            s = blocks._exact_scores(self.q[x], b[y], self.first)
-            return s if same else (s, blocks._exact_scores(self.q[x], v[y], self.metric))
+            s = in_order(self.q[x], b[y], self.first)
+            return s if same else (s, in_order(self.q[x], v[y], self.metric))
 
         each(self.best, self.q, b, size, ids, scored, self.first, allowed=self.buckets.allowed(code), dense=self.buckets.dense(code))
 

@@ -17,8 +17,8 @@ def way(request, monkeypatch):
 
 @pytest.fixture
 def vectors(spark):
-    """300 vectors of 8 with copies and ties, every 11th a query."""
-    x = np.random.default_rng(5).normal(size=(300, 8)).round(1)
+    """300 vectors of 8 with copies, which tie, every 11th a query."""
+    x = np.random.default_rng(5).normal(size=(300, 8))
     x[200:] = x[:100]
     base = spark.createDataFrame([(i, v.tolist(), i % 6) for i, v in enumerate(x)] + [(900, None, 1)], "item_id long, v array<double>, region long").repartition(5)
     return x, base, base.filter("item_id % 11 = 0").select(F.col("item_id").alias("query_id"), F.col("v").alias("q"))
@@ -58,3 +58,26 @@ def test_product_codes(spark, vectors, way):
 def test_product_codes_make_no_pairs(spark, vectors):
     _, base, q = vectors
     assert paired(knn.pq_search(q, base, knn.pq_codebooks(base.filter("v is not null"), 4, 8, 6), 10)) == 0
+def shared_buckets(queries, base, **index):
+    """Pairs of queries and items, as knn.multiprobe_candidates lists them."""
+    pairs = {(r.query_id, r.item_id) for r in knn.multiprobe_candidates(queries, base.filter("v is not null"), 8, **index).collect()}
+    return np.array([[(11 * i, j) in pairs for j in range(300)] for i in range(28)])
+
+
+INDEXES = [{"tables": 2, "n_probes": 3}, {"tables": 3, "total_probes": 7}, {"tables": 2, "n_probes": 2, "base_probes": 2, "bucket_cap": 9, "alpha": 0.1}]
+
+
+def test_trained_codes(spark, vectors, way):
+    from driftkeep.operators import pq
+
+    x, base, q = vectors
+    books = pq.fit_codebooks(base, parts=2, codes=16)
+    decoded = pq.decode(pq.encode(x, books), books)
+    in_bucket = shared_buckets(q, base, tables=2, n_probes=6)
+    near = {(a, i) for a, _, i in best(-((x[::11, None] - decoded[None]) ** 2).sum(2), 40, in_bucket)}
+    again = np.array([[(11 * i, j) in near for j in range(300)] for i in range(28)])
+    found = pq.search(q, base, books, 10, 8, rerank=40, tables=2, n_probes=6)
+    assert rows(found) == best(-((x[::11, None] - x[None]) ** 2).sum(2), 10, again)
+    assert paired(pq.search(q, base, books, 10, 8, tables=2, n_probes=6)) == 0 or scans.QUERY_ROWS == 7
+
+
