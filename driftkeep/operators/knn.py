@@ -142,10 +142,10 @@ def by_buckets(queries: DataFrame, base: DataFrame, k: int, dim: int, first: str
 
 def multiprobe(queries: DataFrame, base: DataFrame, k: int, dim: int, metric: str = "l2", rerank: int | None = None, **index) -> DataFrame:
     """Top-k among candidates; with ``rerank`` the best by inner product go to the exact score first."""
-    pairs = with_vectors(multiprobe_candidates(queries, base, dim, **index), queries, base)
-    if rerank:
-        pairs = top_k(pairs.withColumn("score", dot(F.col("q"), F.col("v"))), rerank).drop("score", "rank")
-    return top_k(pairs.select("query_id", "item_id", similarity(metric, F.col("q"), F.col("v")).alias("score")), k)
+    if not rerank:
+        return top_k(by_buckets(queries, base, k, dim, metric, metric, **index).select(*scans.FOUND), k)
+    best = by_buckets(queries, base, rerank, dim, "ip", metric, **index)
+    return top_k(best.select("query_id", "item_id", F.col("more").alias("score")), k)
 
 
 def routed(queries: DataFrame, base: DataFrame, centroids: DataFrame, k: int, nprobe: int) -> DataFrame:

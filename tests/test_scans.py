@@ -67,6 +67,31 @@ def shared_buckets(queries, base, **index):
 INDEXES = [{"tables": 2, "n_probes": 3}, {"tables": 3, "total_probes": 7}, {"tables": 2, "n_probes": 2, "base_probes": 2, "bucket_cap": 9, "alpha": 0.1}]
 
 
+@pytest.mark.parametrize("index", INDEXES)
+def test_buckets(spark, vectors, way, index):
+    x, base, q = vectors
+    in_bucket = shared_buckets(q, base, **index)
+    assert 0.05 < in_bucket.mean() < 0.95
+    far = ((x[::11, None] - x[None]) ** 2).sum(2)
+    assert rows(knn.multiprobe(q, base, 10, 8, **index)) == best(-far, 10, in_bucket)
+    by_product = {(a, i) for a, _, i in best((x[::11, None] * x[None]).sum(2), 15, in_bucket)}
+    again = np.array([[(11 * i, j) in by_product for j in range(300)] for i in range(28)])
+    assert rows(knn.multiprobe(q, base, 10, 8, rerank=15, **index)) == best(-far, 10, again)
+
+
+def test_buckets_make_no_pairs(spark, vectors):
+    _, base, q = vectors
+    assert paired(knn.multiprobe(q, base, 10, 8, rerank=15, **INDEXES[0])) == 0 == paired(knn.multiprobe(q, base, 10, 8, **INDEXES[1]))
+
+
+def test_copies_of_an_id_share_its_buckets(spark, way):
+    base = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.1]), (0, [0.0, 0.9, 0.3, 0.0]), (1, [1.0, 0.1, 0.0, 0.0]), (2, [0.0, 1.0, 0.2, 0.0])], "item_id long, v array<double>")
+    q = base.filter("item_id = 0").limit(2).select(F.col("item_id").alias("query_id"), F.col("v").alias("q"))
+    pairs = {r.item_id for r in knn.multiprobe_candidates(q, base, 4, tables=1, n_probes=1).collect()}
+    found = knn.multiprobe(q, base, 20, 4, tables=1, n_probes=1)
+    assert {r.item_id for r in found.collect()} == pairs and found.count() == 2 * (len(pairs) + 1)
+
+
 def test_trained_codes(spark, vectors, way):
     from driftkeep.operators import pq
 
