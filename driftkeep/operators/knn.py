@@ -49,8 +49,7 @@ def exact(queries: DataFrame, base: DataFrame, k: int, metric: str = "ip") -> Da
 
 def exact_unique(queries: DataFrame, base: DataFrame, k: int, metric: str = "ip") -> DataFrame:
     """The k best distinct item ids, each by its best copy. The base is dealt by item, so copies meet without pairs being exchanged."""
-    scored = against(queries, base.repartition("item_id")).select("query_id", "item_id", similarity(metric, F.col("q"), F.col("v")).alias("score"))
-    return top_k(scored.groupBy("query_id", "item_id").agg(F.max("score").alias("score")), k)
+    return top_k(scans.scan(queries, base, lambda asked, q: scans.Plain(asked, q, k, metric, unique=True), scans.FOUND, blocks.FOUND), k)
 
 
 def within_groups(queries: DataFrame, base: DataFrame, k: int, group: str) -> DataFrame:

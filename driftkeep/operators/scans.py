@@ -135,7 +135,7 @@ class Scan:
 
 
 class Plain(Scan):
-    """The k best by ip or l2 of all items; with ``unique`` of different ids, each by its best copy."""
+    """The k best of all items; with ``unique`` of different ids, each by its best copy."""
 
     def __init__(self, asked: np.ndarray, q: np.ndarray, k: int, metric: str, unique: bool = False):
         self.asked, self.q, self.metric, self.best = asked, q, metric, Best(len(asked), k, unique)
@@ -144,7 +144,7 @@ class Plain(Scan):
         keep = firsts(ids, v, self.best.k, self.best.unique)
         ids, v = ids[keep], v[keep]
         size = 0.5 * (v * v).sum(1) if self.metric == "l2" else 0.0
-        scored = lambda x, y: blocks._exact_scores(self.q[x], v[y], self.metric)
+        scored = lambda x, y: in_order(self.q[x], v[y], self.metric)
         each(self.best, self.q, v, size, ids, scored, self.metric)
 
     def found(self):

@@ -106,3 +106,12 @@ def test_trained_codes(spark, vectors, way):
     assert paired(pq.search(q, base, books, 10, 8, tables=2, n_probes=6)) == 0 or scans.QUERY_ROWS == 7
 
 
+def test_unique_ids_count_by_their_best_copy(spark, vectors, way):
+    x, base, q = vectors
+    many = base.unionByName(base.withColumn("v", F.transform("v", lambda a: a * 0.5))).unionByName(base)
+    s = (x[::11, None] * x[None]).sum(2)
+    found = knn.exact_unique(q, many, 10)
+    assert rows(found) == best(np.maximum(s, s / 2), 10)
+    assert paired(found) == 0 or scans.QUERY_ROWS == 7
+
+
