@@ -192,12 +192,26 @@ def signature_pairs(df: DataFrame, tables: int, at_least: float) -> DataFrame:
 
     Items of one signature are a class, named by its smallest pos and with its
     size, so pairs are bounded by the signatures there are and not by items.
+    Where one equal table isn't enough, classes meet by two, so that those of a
+    key differ in all the other tables.
     """
-    classes = df.groupBy("sig").agg(F.min("pos").alias("rep"), F.count(F.lit(1)).alias("n"))
-    each = classes.select("rep", "n", F.posexplode("sig").alias("t", "b"))
-    left, right = each.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), "t", "b"), each.select(F.col("rep").alias("b_"), F.col("n").alias("n_b"), "t", "b")
-    pairs = left.join(right, ["t", "b"]).filter(F.col("a") < F.col("b_")).groupBy("a", F.col("b_").alias("b"), "n_a", "n_b").agg(F.count(F.lit(1)).alias("m"))
-    return pairs.select("a", "b", "n_a", "n_b", (F.col("m") / (2 * tables - F.col("m"))).alias("jaccard")).filter(F.col("jaccard") >= at_least)
+    least = next((m for m in range(1, tables + 1) if m / (2 * tables - m) >= at_least), tables + 1)
+    if least > tables:
+        least = tables  # no pair can do
+    classes = staged(df.groupBy("sig").agg(F.min("pos").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    shared = list(combinations(range(tables), min(2, least)))
+    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.get("sig", t) for t in ts]).alias("bs")) for i, ts in enumerate(shared)])
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), *[F.get("sig", t).alias(f"{x}{t}") for t in range(tables)], F.explode(keys).alias("key")).select("*", "key.i", "key.bs").drop("key")
+    parts = max(1, -(-classes.count() * len(shared) // 4000))
+    left, right = (side(x).repartition(parts, "i", "bs") for x in ("a", "b"))
+    same = lambda t: F.coalesce(F.col(f"a{t}") == F.col(f"b{t}"), F.lit(False))
+    # A pair is made by the first tables that it shares, and by no others.
+    made_by = F.lit(None).cast("int")
+    for i, ts in reversed(list(enumerate(shared))):
+        made_by = F.when(reduce(and_, [same(t) for t in ts]), F.lit(i)).otherwise(made_by)
+    m = reduce(add, [same(t).cast("long") for t in range(tables)])
+    met = left.join(right.hint("merge"), ["i", "bs"]).filter(F.col("a") < F.col("b")).filter(F.col("i") == made_by)
+    return met.select("a", "b", "n_a", "n_b", (m / (2 * tables - m)).alias("jaccard")).filter(F.col("jaccard") >= at_least)
 
 
 def signature_classes(df: DataFrame) -> DataFrame:

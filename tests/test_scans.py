@@ -115,3 +115,23 @@ def test_unique_ids_count_by_their_best_copy(spark, vectors, way):
     assert paired(found) == 0 or scans.QUERY_ROWS == 7
 
 
+@pytest.mark.parametrize("at_least", [0.1, 0.3, 0.6])
+def test_signature_pairs(spark, at_least):
+    sig = np.random.default_rng(1).integers(0, 3, (200, 4))
+    df = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sig)], "pos long, sig array<long>")
+    reps, n = {}, {}
+    for i, s in enumerate(map(tuple, sig.tolist())):
+        reps.setdefault(s, i)
+        n[reps[s]] = n.get(reps[s], 0) + 1
+    m = lambda s, t: sum(a == b for a, b in zip(s, t, strict=True))
+    want = {(a, b, n[a], n[b], m(s, t) / (8 - m(s, t))) for s, a in reps.items() for t, b in reps.items() if a < b and m(s, t) and m(s, t) / (8 - m(s, t)) >= at_least}
+    found = knn.signature_pairs(df, 4, at_least)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_signature_pairs_meet_once(spark):
+    """Pairs of the few keys of single tables were rows, to be counted; now classes meet by two tables and a pair is made once."""
+    sig = np.random.default_rng(1).integers(0, 3, (200, 4))
+    found = knn.signature_pairs(spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sig)], "pos long, sig array<long>"), 4, 0.3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join") == 1
