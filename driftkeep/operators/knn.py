@@ -116,10 +116,6 @@ def multiprobe_candidates(queries: DataFrame, base: DataFrame, dim: int, tables:
     return asked.select("query_id", "table", "bucket").join(filed.select("item_id", "table", "bucket"), ["table", "bucket"]).select("query_id", "item_id").distinct()
 
 
-def with_vectors(pairs: DataFrame, queries: DataFrame, base: DataFrame) -> DataFrame:
-    return pairs.join(base.select("item_id", "v"), "item_id").join(queries.select("query_id", "q"), "query_id")
-
-
 def by_buckets(queries: DataFrame, base: DataFrame, k: int, dim: int, first: str, metric: str, coder=None, tables: int = 16, n_probes: int = 64, base_probes: int = 1, rotations: int | None = None, seed: int = 42, bucket_cap: int | None = None, alpha: float = 0.01, total_probes: int | None = None) -> DataFrame:
     """query_id, item_id, score, more: the k best of ``multiprobe_candidates`` by the score ``first``, with the score ``metric`` as ``more``; pairs aren't rows.
 
@@ -147,6 +143,13 @@ def multiprobe(queries: DataFrame, base: DataFrame, k: int, dim: int, metric: st
     return top_k(best.select("query_id", "item_id", F.col("more").alias("score")), k)
 
 
+def bucket_sweep(queries: DataFrame, base: DataFrame, k: int, dim: int, settings: list[tuple[int, int]], rotations: int = 2, seed: int = 42) -> DataFrame:
+    """cell, query_id, item_id, rank of the k best bucket candidates by inner product under each setting (tables, probes a table); rows without a query have candidates in ``n``."""
+    make = lambda asked, q: scans.Sweep(asked, q, k, settings, dim, rotations, seed)
+    found = scans.scan(queries, base, make, scans.Sweep.NAMES, scans.Sweep.SCHEMA)
+    return top_k(found.withColumns({c: F.when(F.col("n") == 0, F.col(c)) for c in ("query_id", "item_id", "score")}).withColumn("part", F.when(F.col("n") > 0, F.monotonically_increasing_id())), k, ["cell", "query_id", "part"]).drop("part")
+
+
 def routed(queries: DataFrame, base: DataFrame, centroids: DataFrame, k: int, nprobe: int) -> DataFrame:
     """Top-k by inner product in the ``nprobe`` regions whose centroids (region, c) are nearest; base has ``region``."""
     reach = top_k(queries.join(F.broadcast(centroids)).select("query_id", "q", F.col("region").alias("item_id"), dot(F.col("q"), F.col("c")).alias("score")), nprobe)

@@ -347,6 +347,44 @@ class Routed(Scan):
         return [self.asked[x], ids, scores]
 
 
+class Sweep(Scan):
+    """The k best by inner product of the bucket candidates of each setting (tables, probes a table), and how many candidates there are: rows with ``n``."""
+
+    NAMES, SCHEMA = ["cell", *FOUND, "n"], f"cell int, {blocks.FOUND}, n long"
+
+    def __init__(self, asked: np.ndarray, q: np.ndarray, k: int, settings: list[tuple[int, int]], dim: int, rotations: int, seed: int):
+        self.asked, self.q, self.settings = asked, q, settings
+        self.buckets = {p: Buckets(asked, q, dim, max(t for t, _ in settings), rotations, seed, p, 1) for p in {p for _, p in settings}}
+        self.best, self.n = [Best(len(asked), k) for _ in settings], np.zeros(len(settings), np.int64)
+        self.counted = np.zeros(len(asked), bool)  # a query once
+        self.counted[np.unique(asked, return_index=True)[1]] = True
+
+    def offer(self, ids, v):
+        one = next(iter(self.buckets.values()))
+        code, none = one.file(ids, v), one.bits.shape[1] - 1
+        keep = firsts(ids, np.concatenate([v, code], 1), self.best[0].k)
+        head = np.concatenate([[True], ids[1:] != ids[:-1]])
+        near_to, own = v[keep], ids[keep]
+        room = room_for(self.q, near_to, 0.0)
+        scored = lambda x, y: in_order(self.q[x], near_to[y], "ip")
+        for at in range(0, len(self.q), step := max(1, SCORES // max(1, len(ids)))):
+            near, rows = self.q[at : at + step] @ near_to.T, np.arange(at, min(at + step, len(self.q)))
+            for i, (t, p) in enumerate(self.settings):
+                met = self.buckets[p].dense(np.where(code < t * one.width, code, none))(rows)
+                self.n[i] += int(met[self.counted[rows]][:, head].sum())
+                met = met[:, keep]
+                choose(self.best[i], at, near, own, scored, room, lambda x, y, m=met, a=at: m[x - a, y], lambda x, m=met, a=at: m[x - a])
+
+    def found(self):
+        out = []
+        for i, best in enumerate(self.best):
+            x, ids, scores, _ = best.found()
+            out.append((np.full(len(x), i, np.int32), self.asked[x], ids, scores, np.zeros(len(x), np.int64)))
+        cells = np.arange(len(self.n), dtype=np.int32)
+        zeros = np.zeros(len(cells), np.int64)
+        return [np.concatenate(c) for c in zip(*out, (cells, zeros, zeros, zeros.astype(float), self.n), strict=True)]
+
+
 class Signs(Scan):
     """The k smallest Hamming distances of hyperplane sign codes, as negative scores."""
 

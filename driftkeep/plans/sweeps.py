@@ -120,20 +120,14 @@ SETTINGS = [(t, p) for t in range(1, LT + 1) for p in (1, LP)]
 
 
 def ann(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates and recall of multi-probe search by tables and probes; every setting filters one table of probed pairs."""
+    """Candidates and recall of multi-probe search by tables and probes; all settings in one pass over the base."""
     q, b = ask(spark, d), base(spark, d)
     truth = knn.exact(q, b, K).select("query_id", "item_id")
-    filed = knn.probed(b, "v", DIM, LT, 2, 42, 1, [F.col("item_id")]).select("item_id", "table", "bucket")
-    asked = knn.probed(q, "q", DIM, LT, 2, 42, LP, [F.col("query_id")]).select("query_id", "table", "bucket", "probe")
-    met = asked.join(filed, ["table", "bucket"])
-    cells = F.array(*[F.when((F.col("table") < t) & (F.col("probe") < p), F.lit(i)) for i, (t, p) in enumerate(SETTINGS)])
-    pairs = met.withColumn("cell", F.explode(cells)).filter("cell is not null").select("cell", "query_id", "item_id").distinct()
-    scored = knn.with_vectors(pairs, q, b).select("cell", "query_id", "item_id", dot(F.col("q"), F.col("v")).alias("score"))
-    hits = knn.top_k(scored, K, ["cell", "query_id"]).join(truth, ["query_id", "item_id"]).groupBy("cell").agg(F.count(F.lit(1)).alias("hits"))
-    sizes = pairs.groupBy("cell").agg(F.count(F.lit(1)).alias("candidates"))
+    near = knn.bucket_sweep(q, b, K, DIM, SETTINGS).join(truth.withColumn("true", F.lit(1)), ["query_id", "item_id"], "left")
+    both = near.groupBy("cell").agg(F.sum("n").alias("candidates"), F.count("true").alias("hits"))
     n = q.agg(F.count(F.lit(1)).alias("asked"))
     named = spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate(SETTINGS)], "cell int, tables long, probes long")
-    return named.join(sizes, "cell", "left").join(hits, "cell", "left").fillna(0).join(F.broadcast(n)).select("tables", "probes", "candidates", rounded(F.col("hits") / (F.col("asked") * float(K))).alias("recall"))
+    return named.join(both, "cell", "left").fillna(0).join(F.broadcast(n)).select("tables", "probes", "candidates", rounded(F.col("hits") / (F.col("asked") * float(K))).alias("recall"))
 
 
 ANN_SQL = with_(

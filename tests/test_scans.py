@@ -115,6 +115,17 @@ def test_unique_ids_count_by_their_best_copy(spark, vectors, way):
     assert paired(found) == 0 or scans.QUERY_ROWS == 7
 
 
+def test_settings_of_bucket_tables(spark, vectors, way):
+    x, base, q = vectors
+    settings = [(1, 1), (1, 3), (2, 1), (2, 3)]
+    found = knn.bucket_sweep(q, base, 5, 8, settings).collect()
+    for i, (t, p) in enumerate(settings):
+        met = shared_buckets(q, base, tables=t, n_probes=p)
+        assert {(r.query_id, r["rank"], r.item_id) for r in found if r.cell == i and r.n == 0} == best((x[::11, None] * x[None]).sum(2), 5, met)
+        assert sum(r.n for r in found if r.cell == i) == met.sum()
+    assert paired(knn.bucket_sweep(q, base, 5, 8, settings)) == 0 or scans.QUERY_ROWS == 7
+
+
 @pytest.mark.parametrize("at_least", [0.1, 0.3, 0.6])
 def test_signature_pairs(spark, at_least):
     sig = np.random.default_rng(1).integers(0, 3, (200, 4))
