@@ -30,16 +30,6 @@ def top_k(scored: DataFrame, k: int, by: str | list[str] = "query_id", score: st
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long")).filter(F.col("rank") <= k)
 
 
-def against(queries: DataFrame, base: DataFrame) -> DataFrame:
-    """Every query beside every base row: by broadcast if the queries are few, else by tiles."""
-    if queries.count() <= BROADCAST_QUERIES:
-        return base.join(F.broadcast(queries))
-    groups = max(1, -(-base.count() // GROUP_ROWS))
-    dealt = base.withColumn("__g", F.pmod(F.xxhash64("item_id"), F.lit(groups)))
-    asked = queries.withColumn("__g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    return dealt.join(asked, "__g").drop("__g")
-
-
 def exact(queries: DataFrame, base: DataFrame, k: int, metric: str = "ip") -> DataFrame:
     """query_id, item_id, score, rank for queries (query_id, q) and base (item_id, v)."""
     if metric not in ("ip", "cosine", "l2"):
@@ -67,10 +57,8 @@ def spot_check(truth: DataFrame, again: DataFrame, k: int = 10) -> DataFrame:
 
 def hamming(queries: DataFrame, base: DataFrame, k: int, n_bits: int, dim: int, seed: int = 7) -> DataFrame:
     """Top-k by Hamming distance of hyperplane sign codes."""
-    words = hashing.simhash_udf(n_bits // 32, 32, dim, seed)
-    codes = lambda df, i, v: df.select(i, words(F.col(v)).alias("c_" + v))
-    both = against(codes(queries, "query_id", "q"), codes(base, "item_id", "v"))
-    return top_k(both.select("query_id", "item_id", hashing.hamming(F.col("c_q"), F.col("c_v")).alias("score")), k, ascending=True)
+    planes = hashing.hyperplanes(n_bits // 32, 32, dim, seed)
+    return top_k(scans.scan(queries, base, lambda asked, q: scans.Signs(asked, q, k, planes), scans.FOUND, blocks.FOUND), k, ascending=True)
 
 
 def probed(df: DataFrame, vector: str, dim: int, tables: int, rotations: int, seed: int, n_probes: int, keep: list[Column]) -> DataFrame:

@@ -115,6 +115,17 @@ def test_unique_ids_count_by_their_best_copy(spark, vectors, way):
     assert paired(found) == 0 or scans.QUERY_ROWS == 7
 
 
+def test_hamming(spark, vectors, way):
+    from driftkeep.functions import hashing
+
+    x, base, q = vectors
+    signs = x @ hashing.hyperplanes(1, 32, 8, 7).T > 0
+    found = knn.hamming(q, base, 10, 32, 8)
+    assert rows(found) == best(-(signs[::11, None] != signs[None]).sum(2), 10)
+    assert {r.score for r in found.filter("rank = 1").collect()} == {0.0}
+    assert paired(found) == 0 or scans.QUERY_ROWS == 7
+
+
 def test_settings_of_bucket_tables(spark, vectors, way):
     x, base, q = vectors
     settings = [(1, 1), (1, 3), (2, 1), (2, 3)]
