@@ -17,13 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftkeep.functions import hashing
-from driftkeep.functions.vectors import dot, similarity
+from driftkeep.functions.vectors import dot
 from driftkeep.operators import blocks, scans
 from driftkeep.sources.staging import staged
 
-BROADCAST_QUERIES, GROUP_ROWS = 10_000, 100_000
-
-
 def top_k(scored: DataFrame, k: int, by: str | list[str] = "query_id", score: str = "score", item: str = "item_id", ascending: bool = False) -> DataFrame:
     """rank 1 to k per query, ties to the smaller item."""
     order = [F.asc(score) if ascending else F.desc(score), F.asc(item)]
@@ -141,8 +138,9 @@ def bucket_sweep(queries: DataFrame, base: DataFrame, k: int, dim: int, settings
 def routed(queries: DataFrame, base: DataFrame, centroids: DataFrame, k: int, nprobe: int) -> DataFrame:
     """Top-k by inner product in the ``nprobe`` regions whose centroids (region, c) are nearest; base has ``region``."""
     reach = top_k(queries.join(F.broadcast(centroids)).select("query_id", "q", F.col("region").alias("item_id"), dot(F.col("q"), F.col("c")).alias("score")), nprobe)
-    hits = reach.select("query_id", "q", F.col("item_id").alias("region")).join(base, "region")
-    return top_k(hits.select("query_id", "item_id", dot(F.col("q"), F.col("v")).alias("score")), k)
+    known = reach.groupBy("query_id", "q").agg(F.collect_set(F.col("item_id").cast("long")).alias("reach"))
+    make = lambda asked, q, regions: scans.Routed(asked, q, regions, k)
+    return top_k(scans.scan(known, base.filter("region is not null"), make, scans.FOUND, blocks.FOUND, {"reach": F.col("reach")}, {"region": F.col("region").cast("long")}), k)
 
 
 def mean_centroids(base: DataFrame) -> DataFrame:

@@ -340,7 +340,7 @@ class Routed(Scan):
         ids, v, region = ids[keep], v[keep], region[keep]
         dense = lambda x: np.logical_or.reduce([(self.reach[x, j][:, None] == region[None, :]) & (j < self.lengths[x])[:, None] for j in range(self.reach.shape[1])])
         allowed = lambda x, y: np.logical_or.reduce([(self.reach[x, j] == region[y]) & (j < self.lengths[x]) for j in range(self.reach.shape[1])])
-        each(self.best, self.q, v, 0.0, ids, lambda x, y: blocks._exact_scores(self.q[x], v[y], "ip"), "ip", allowed=allowed, dense=dense)
+        each(self.best, self.q, v, 0.0, ids, lambda x, y: in_order(self.q[x], v[y], "ip"), "ip", allowed=allowed, dense=dense)
 
     def found(self):
         x, ids, scores, _ = self.best.found()

@@ -126,6 +126,16 @@ def test_hamming(spark, vectors, way):
     assert paired(found) == 0 or scans.QUERY_ROWS == 7
 
 
+def test_regions(spark, vectors, way):
+    x, base, q = vectors
+    centroids = spark.createDataFrame([(i, np.eye(8)[i].tolist()) for i in range(6)], "region long, c array<double>")
+    near = np.argsort(-x[::11, :6], axis=1)[:, :2]
+    allowed = (np.arange(300) % 6)[None, :, None] == near[:, None, :]
+    found = knn.routed(q, base, centroids, 10, 2)
+    assert rows(found) == best((x[::11, None] * x[None]).sum(2), 10, allowed.any(2))
+    assert paired(found) == 0 or scans.QUERY_ROWS == 7
+
+
 def test_settings_of_bucket_tables(spark, vectors, way):
     x, base, q = vectors
     settings = [(1, 1), (1, 3), (2, 1), (2, 3)]
