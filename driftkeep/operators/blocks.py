@@ -62,23 +62,6 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
-def nearest_by_cell(queries: DataFrame, base: DataFrame, k: int, metric: str = "ip") -> DataFrame:
-    """cell, query_id, item_id, score: as ``nearest``, for a broadcast query set against each of many sets (cell, item_id, v) in one pass."""
-    shared = _shared(queries)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, q = shared.value
-        for batch in batches:
-            if not batch.num_rows or not len(asked):
-                continue
-            cells, ids, v = batch.column("cell").to_numpy(), batch.column("item_id").to_numpy(), _matrix(batch.column("v"), batch.num_rows)
-            for cell in np.unique(cells):
-                found = best_of(asked, q, ids[cells == cell], v[cells == cell], k, metric)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), cell)), *(pa.array(c) for c in found)], names=["cell", "query_id", "item_id", "score"])
-
-    return base.select(F.col("cell").cast("long").alias("cell"), F.col("item_id").cast("long").alias("item_id"), "v").filter("v is not null").mapInArrow(run, f"cell long, {FOUND}")
-
-
 def _shared(queries: DataFrame):
     rows = queries.select("query_id", "q").toArrow()
     asked = rows.column("query_id").to_numpy()

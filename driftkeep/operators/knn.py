@@ -135,6 +135,16 @@ def bucket_sweep(queries: DataFrame, base: DataFrame, k: int, dim: int, settings
     return top_k(found.withColumns({c: F.when(F.col("n") == 0, F.col(c)) for c in ("query_id", "item_id", "score")}).withColumn("part", F.when(F.col("n") > 0, F.monotonically_increasing_id())), k, ["cell", "query_id", "part"]).drop("part")
 
 
+def exact_by_cell(queries: DataFrame, base: DataFrame, k: int, cells: list[Column]) -> DataFrame:
+    """cell, query_id, item_id, score, rank: the k best by inner product of each set of the base that a condition gives, in one pass."""
+    if len(cells) > 62:
+        raise ValueError("62 sets at most")
+    mask = reduce(add, [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(cells)])
+    n = len(cells)
+    make = lambda asked, q: scans.Cells(asked, q, k, n)
+    return top_k(scans.scan(queries, base, make, scans.Cells.NAMES, scans.Cells.SCHEMA, given={"mask": mask}), k, ["cell", "query_id"])
+
+
 def routed(queries: DataFrame, base: DataFrame, centroids: DataFrame, k: int, nprobe: int) -> DataFrame:
     """Top-k by inner product in the ``nprobe`` regions whose centroids (region, c) are nearest; base has ``region``."""
     reach = top_k(queries.join(F.broadcast(centroids)).select("query_id", "q", F.col("region").alias("item_id"), dot(F.col("q"), F.col("c")).alias("score")), nprobe)

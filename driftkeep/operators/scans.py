@@ -385,6 +385,34 @@ class Sweep(Scan):
         return [np.concatenate(c) for c in zip(*out, (cells, zeros, zeros, zeros.astype(float), self.n), strict=True)]
 
 
+class Cells(Scan):
+    """The k best by inner product within each of some sets of items; a row's ``mask`` has a bit for each set that holds it."""
+
+    NAMES, SCHEMA = ["cell", *FOUND], f"cell long, {blocks.FOUND}"
+
+    def __init__(self, asked: np.ndarray, q: np.ndarray, k: int, cells: int):
+        self.asked, self.q, self.best = asked, q, [Best(len(asked), k) for _ in range(cells)]
+
+    def offer(self, ids, v, mask):
+        keep = firsts(ids, np.concatenate([v, mask[:, None].view(np.float64)], 1), self.best[0].k)
+        ids, v, mask = ids[keep], v[keep], mask[keep]
+        within = [np.flatnonzero(mask >> i & 1) for i in range(len(self.best))]
+        room = room_for(self.q, v, 0.0)
+        for at in range(0, len(self.q), step := max(1, SCORES // max(1, len(ids)))):
+            near = self.q[at : at + step] @ v.T
+            for best, at_items in zip(self.best, within, strict=True):
+                if len(at_items):
+                    own = v[at_items]
+                    choose(best, at, near if len(at_items) == len(ids) else near[:, at_items], ids[at_items], lambda x, y, own=own: in_order(self.q[x], own[y], "ip"), room)
+
+    def found(self):
+        out = []
+        for i, best in enumerate(self.best):
+            x, ids, scores, _ = best.found()
+            out.append((np.full(len(x), i), self.asked[x], ids, scores))
+        return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
 class Signs(Scan):
     """The k smallest Hamming distances of hyperplane sign codes, as negative scores."""
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from driftkeep.functions import hashing
 from driftkeep.functions.hashing import hash01, hash32
-from driftkeep.functions.vectors import dot, rounded
-from driftkeep.operators import blocks, knn, pq, policies, reports, streams
+from driftkeep.functions.vectors import rounded
+from driftkeep.operators import knn, pq, policies, reports, streams
 from driftkeep.plans.fragments import BASE, BITS, DIM, POS, QUERIES, SIG, TABLES, h, machine, numbers, sig_sql, top, with_
 from driftkeep.plans.search import K, LP, LT, _filed, ask, base, dup_sql, show, signed, stream
 
@@ -30,7 +30,7 @@ def policy_budget(spark: SparkSession, d: str) -> DataFrame:
     kept = ranked.withColumn("cell", F.explode(F.array(*[F.when(keeps[p](b), F.lit(i)) for i, p, _, b in cells]))).filter("cell is not null")
     q = ask(spark, d)
     truth = knn.exact(q, base(spark, d), K).select("query_id", "item_id")
-    found = knn.top_k(blocks.nearest_by_cell(q, kept, K), K, ["cell", "query_id"])
+    found = knn.exact_by_cell(q, ranked, K, [keeps[p](b) for _, p, _, b in cells])
     hits = found.join(truth, ["query_id", "item_id"]).groupBy("cell").agg(F.count(F.lit(1)).alias("hits"))
     asked = truth.agg(F.countDistinct("query_id").alias("asked"), F.countDistinct("item_id").alias("true_items"))
     covered = kept.select("cell", "item_id").distinct().join(truth.select("item_id").distinct(), "item_id").groupBy("cell").agg(F.count(F.lit(1)).alias("covered"))

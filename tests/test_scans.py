@@ -58,6 +58,8 @@ def test_product_codes(spark, vectors, way):
 def test_product_codes_make_no_pairs(spark, vectors):
     _, base, q = vectors
     assert paired(knn.pq_search(q, base, knn.pq_codebooks(base.filter("v is not null"), 4, 8, 6), 10)) == 0
+
+
 def shared_buckets(queries, base, **index):
     """Pairs of queries and items, as knn.multiprobe_candidates lists them."""
     pairs = {(r.query_id, r.item_id) for r in knn.multiprobe_candidates(queries, base.filter("v is not null"), 8, **index).collect()}
@@ -147,6 +149,13 @@ def test_settings_of_bucket_tables(spark, vectors, way):
     assert paired(knn.bucket_sweep(q, base, 5, 8, settings)) == 0 or scans.QUERY_ROWS == 7
 
 
+def test_sets_in_one_pass(spark, vectors, way):
+    x, base, q = vectors
+    found = knn.exact_by_cell(q, base, 10, [F.col("item_id") < 4, F.col("region") == 2, F.lit(True)])
+    for i, held in enumerate((np.arange(300) < 4, np.arange(300) % 6 == 2, np.ones(300, bool))):
+        assert rows(found.filter(F.col("cell") == i)) == best((x[::11, None] * x[None]).sum(2), 10, np.repeat(held[None], 28, 0))
+
+
 @pytest.mark.parametrize("at_least", [0.1, 0.3, 0.6])
 def test_signature_pairs(spark, at_least):
     sig = np.random.default_rng(1).integers(0, 3, (200, 4))
