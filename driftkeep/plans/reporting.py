@@ -10,7 +10,7 @@ from driftkeep.operators import knn, metrics, policies, qa, reports
 from driftkeep.plans.fragments import BASE, BITS, DIM, TABLES, h, with_
 from driftkeep.plans.search import base, signed
 from driftkeep.sources.readers import embed
-from driftkeep.sources.staging import new_folder
+from driftkeep.sources.staging import new_folder, staged
 from driftkeep.streaming import policies as streaming
 
 
@@ -77,10 +77,10 @@ ANSWERS_SQL = with_(TURNS, _ANSWERS, select="SELECT conv_id, pos, score FROM an"
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    t = embed(turns(spark, d), dim=16)
-    asked = qa.questions(turns(spark, d)).join(t.select("conv_id", F.col("pos").alias("query_id"), F.col("v").alias("q")), ["conv_id", "query_id"])
+    t = staged(embed(turns(spark, d), dim=16), "turns")
+    asked = qa.questions(t, "v").withColumnRenamed("v", "q")
     memory = t.select("conv_id", F.col("pos").alias("item_id"), "v", F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("line"))
-    return qa.answered(asked, memory, qa.kept_turns(turns(spark, d)))
+    return qa.answered(asked, memory, qa.kept_turns(t))
 
 
 def qa_answers(spark: SparkSession, d: str) -> DataFrame:
