@@ -367,12 +367,18 @@ class Sweep(Scan):
         near_to, own = v[keep], ids[keep]
         room = room_for(self.q, near_to, 0.0)
         scored = lambda x, y: in_order(self.q[x], near_to[y], "ip")
+        met_by = []
+        for t, p in self.settings:
+            own_code = np.where(code < t * one.width, code, none)
+            met_by.append(self.buckets[p].dense(own_code[:, (own_code != none).any(0)]))
         for at in range(0, len(self.q), step := max(1, SCORES // max(1, len(ids)))):
             near, rows = self.q[at : at + step] @ near_to.T, np.arange(at, min(at + step, len(self.q)))
-            for i, (t, p) in enumerate(self.settings):
-                met = self.buckets[p].dense(np.where(code < t * one.width, code, none))(rows)
-                self.n[i] += int(met[self.counted[rows]][:, head].sum())
-                met = met[:, keep]
+            counted = self.counted[rows]
+            for i, dense in enumerate(met_by):
+                met = dense(rows)
+                once = met if counted.all() else met[counted]
+                self.n[i] += np.count_nonzero(once if head.all() else once[:, head])
+                met = met if len(keep) == len(ids) else met[:, keep]
                 choose(self.best[i], at, near, own, scored, room, lambda x, y, m=met, a=at: m[x - a, y], lambda x, m=met, a=at: m[x - a])
 
     def found(self):
